@@ -2,7 +2,7 @@
 
 from marlstone.llm.quality_rules import INSULTS
 
-_WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(string_split_regex(coalesce({0}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _STRIPPED = r"regexp_replace({0}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -11,7 +11,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("text")} AS w
 m AS (
   SELECT doc_id, t, w, len(w) AS n, length(array_to_string(w, '')) AS chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM m, unnest(range(1, n - 1)) AS u(i)),
 again AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1),
 covered AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g JOIN again USING (doc_id, g)) GROUP BY doc_id),
@@ -21,7 +21,7 @@ b AS (
 SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines,
   rep::BIGINT AS n_repeat_words, failed AS base_failed,
   NOT (failed OR chars < 2 * n OR chars > 14 * n OR 100 * symbols > 15 * n OR 100 * dups > 30 * len(string_split(t, chr(10)))
-    OR 100 * len(list_filter(w, x -> x <> lower(x) AND x = upper(x))) > 30 * n
+    OR 100 * len(list_filter(w, lambda x: x <> lower(x) AND x = upper(x))) > 30 * n
     OR 100 * (length(t) - length(replace(t, '!', ''))) > 30 * n
     OR {" + ".join(f"contains(lower(t), '{x}')::INT" for x in INSULTS)} >= 2) AS kept
 FROM b
