@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, oracles, quality_rules, source_mix, warc_zip
+from marlstone.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, oracles, quality_rules, secret_scan, source_mix, warc_zip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "clean_text")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    out = secret_scan.scanned(docs)
+    return out.select("doc_id", F.col("at").alias("word_index"), F.sha2("value", 256).alias("value_sha256"), F.length("value").cast("long").alias("n_chars"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
@@ -65,6 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_source_mix": op5_source_mix,
     "op6_html_extract": op6_html_extract,
