@@ -73,7 +73,8 @@ def mixed(
     fits = F.col("level") * F.col("shape") <= most
     solved = classes.groupBy("its_source").agg(F.max_by("level", F.when(fits, F.col("shape"))).alias("level"))
     per = per.join(solved.withColumnRenamed("its_source", "s2"), F.col("its_source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    rows = rows.join(per, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    # A row a source, written: its size is known, so it is broadcast if small, and skewed sources stay where they are.
+    rows = rows.join(written(per, "sources"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     rows = rows.withColumn("expected", F.coalesce(F.least(F.lit(float(most)), F.col("level") * F.col("shape")), F.when(F.col("size") > 0, float(most)).otherwise(0.0)))
     rows = rows.withColumn("whole", F.floor(F.col("expected") + 1e-9)).withColumn("p", F.greatest(F.lit(0.0), F.col("expected") - F.col("whole")))
     u = _uniform(F.col("doc_id"), seed)
@@ -89,7 +90,7 @@ def mixed(
     ends = sums.groupBy(F.col("source").alias("its_source")).agg(F.max("wanted").alias("wanted"))
     last = last.select(F.col("source").alias("s2"), F.col("bin").alias("last"), "before")
     ends = ends.join(last, F.col("its_source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    rows = rows.join(ends, F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
+    rows = rows.join(written(ends, "ends"), F.col("source").eqNullSafe(F.col("its_source"))).drop("its_source")
     # Within that bin alone, documents in order of rank, up to the one that comes nearest to the wanted words.
     edge = rows.filter(F.col("bin") == F.col("last"))
     w = W.partitionBy("source").orderBy("rank", "size", "hash", "doc_id").rowsBetween(W.unboundedPreceding, 0)
