@@ -2,11 +2,11 @@
 
 A benchmark item leaks into a document if an item-sized window of the document has a weighted Jaccard similarity of at
 least ``threshold`` with it: shingles of ``shingle`` words (all words as one shingle if there are fewer), each weighted
-by how often it occurs. Words are split at ASCII white space and A-Z are lower-cased.
+by how often it occurs. Texts are lower-cased and words split at ASCII white space.
 
-1. Fingerprints. Both sides are cut into pieces of W words: documents at every STRIDE words, items at every word. As
-   W + STRIDE - 1 is at most 13 words, every run of 13 words that a document shares with an item holds a piece that both
-   sides have. Items under 13 words use shorter pieces. The SimHash of a piece is the bitwise majority of its words'
+1. Fingerprints. Both sides are cut into pieces of nine words (eight pairs of neighbours): documents at every five words,
+   items at every word. As 9 + 5 - 1 is 13, every run of 13 words that a document shares with an item holds a piece that both
+   sides have. Items under 13 words use shorter pieces. The SimHash of a piece is the bitwise majority of its pairs'
    64-bit hashes, counted for all bits at once on bit planes.
 2. Candidates. Fingerprints are cut into radius + 1 blocks. Two that differ in at most ``radius`` bits agree in at least
    one block, so the join on (block number, block value) finds all of them; the Hamming distance filters the rest.
@@ -26,11 +26,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.text import LOWER, UPPER, words
+from marlstone.llm.text import words
 from marlstone.plans.shared import written
 
-#: Words in a piece, and words between the starts of two pieces of a document, by the least words of an item.
-PIECES = {13: (8, 6), 7: (4, 4), 3: (2, 2), 1: (1, 1)}
+#: Features in a piece, words between the starts of two pieces of a document, and whether a feature is a pair of neighbouring
+#: words (or else one word), by the least words of an item. Pairs keep apart pieces that have the same common words.
+PIECES = {13: (8, 5, True), 7: (4, 3, True), 3: (2, 1, True), 1: (1, 1, False)}
 
 
 def _added(a: list[Column], b: list[Column]) -> list[Column]:
@@ -49,7 +50,8 @@ def with_simhash(df: DataFrame, hashes: str, n: int, name: str) -> DataFrame:
 
     Each level of the adder tree is a projection of its own, so that no sum is written out more than once.
     """
-    planes = [[F.col(hashes)[i]] for i in range(n)]
+    # Never null, so that no join asks below for what isn't null, with all sums written out.
+    planes = [[F.coalesce(F.col(hashes)[i], F.lit(0))] for i in range(n)]
     while len(planes) > 1:
         sums = [_added(planes[i], planes[i + 1]) for i in range(0, len(planes), 2)]
         names = [[f"_{len(sums)}_{i}_{k}" for k in range(len(s))] for i, s in enumerate(sums)]
@@ -62,7 +64,13 @@ def with_simhash(df: DataFrame, hashes: str, n: int, name: str) -> DataFrame:
 
 
 def _hashed(text: Column) -> Column:
-    return F.transform(words(F.translate(text, UPPER, LOWER)), lambda w: F.xxhash64(w))
+    return F.transform(words(F.lower(text)), lambda w: F.xxhash64(w))
+
+
+def _paired(df: DataFrame, hashes: str, pairs: bool) -> DataFrame:
+    """The word hashes, or those of each word and the next (fewer by one), as column ``_features``."""
+    both = F.transform(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col(hashes), i + 1)))
+    return df.withColumn("_features", both if pairs else F.col(hashes))
 
 
 def _blocks(fingerprint: Column, radius: int) -> Column:
@@ -88,12 +96,13 @@ def _numbered(bag: Column) -> Column:
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 3,
+    docs: DataFrame, items: DataFrame, *, shingle: int = 5, threshold: float = 0.8, radius: int = 2,
     broadcast_rows: int = 500_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, similarity) for each pair of document and item that leaks, with its best window.
 
-    The items' blocks are broadcast only up to ``broadcast_rows`` rows, as counted; beyond that both sides are shuffled.
+    The items' blocks, and the candidates, are broadcast only up to ``broadcast_rows`` rows each, as counted; beyond that
+    both sides are shuffled.
     """
     spark = docs.sparkSession
     doc = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("dt"))
@@ -102,11 +111,11 @@ def contaminated(
     classes = item.groupBy(_least(F.col("n")).alias("least")).agg(F.sum("n").alias("words")).collect()  # of at most four
     found: list[DataFrame] = []
     for c in classes:
-        w, stride = PIECES[c["least"]]
-        theirs = _pieces(item.filter(_least(F.col("n")) == c["least"]), ["item_id", "n"], "ih", w, 1)
+        w, stride, pairs = PIECES[c["least"]]
+        theirs = _pieces(_paired(item.filter(_least(F.col("n")) == c["least"]), "ih", pairs), ["item_id", "n"], "_features", w, 1)
         theirs = theirs.withColumnsRenamed({"at": "offset", "f": "g"}).select("*", F.explode(_blocks(F.col("g"), radius)).alias("block"))
         theirs = F.broadcast(theirs) if c["words"] * (radius + 1) <= broadcast_rows else theirs
-        ours = _pieces(doc.select("doc_id", _hashed(F.col("dt")).alias("dh")), ["doc_id"], "dh", w, stride)
+        ours = _pieces(_paired(doc.select("doc_id", _hashed(F.col("dt")).alias("dh")), "dh", pairs), ["doc_id"], "_features", w, stride)
         ours = ours.select("*", F.explode(_blocks(F.col("f"), radius)).alias("block"))
         hit = ours.join(theirs, "block").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
         found.append(hit.select("doc_id", "item_id", F.greatest(F.lit(0), F.col("at") - F.col("offset")).alias("start")))
@@ -115,8 +124,8 @@ def contaminated(
         return spark.createDataFrame([], "similarity double").select(
             F.lit(None).cast(kinds["doc_id"]).alias("doc_id"), F.lit(None).cast(kinds["item_id"]).alias("item_id"), "similarity"
         )
-    # Few rows are left, of known size once written: Spark broadcasts them if they are small enough, or else shuffles.
     hits = written(reduce(DataFrame.unionByName, found).distinct(), "hits")
+    hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
     pairs = hits.withColumnRenamed("doc_id", "hit_id").join(doc, F.col("hit_id").eqNullSafe(F.col("doc_id"))).join(item.withColumnRenamed("item_id", "its_id"), F.col("its_id").eqNullSafe(F.col("item_id")))
     pairs = pairs.select("doc_id", "item_id", "ih", F.slice(_hashed(F.col("dt")), F.col("start") + 1, F.col("n")).alias("window"))
     pairs = pairs.withColumns({"a": _bag(F.col("window"), shingle), "b": _bag(F.col("ih"), shingle)})

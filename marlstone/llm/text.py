@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 #: The same six characters, for trim().
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: A-Z and their lower-case letters; other letters stay.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
