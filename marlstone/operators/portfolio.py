@@ -95,7 +95,7 @@ def summary(returns: DataFrame, by: str = "portfolio_id", lookback: int = SESSIO
     """Compound return, volatility, drawdown and sessions of the last ``lookback`` returns."""
     df = _tail(returns, lookback, by)
     w = W.partitionBy(by).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("wealth", F.exp(F.sum(F.log1p("ret")).over(w)))
+    df = df.withColumn("wealth", F.product(1 + F.col("ret")).over(w))
     df = df.withColumn("peak", F.greatest(F.lit(1.0), F.max("wealth").over(w)))
     return df.groupBy(by).agg((F.product(1 + F.col("ret")) - 1).alias("return_window"), F.when(F.count("*") >= 2, F.stddev_samp("ret") * F.sqrt(F.lit(252.0))).alias("volatility"), F.min(F.col("wealth") / F.col("peak") - 1).alias("max_drawdown"), F.count("*").alias("sessions"), F.min("date").alias("start"), F.max("date").alias("end"))
 

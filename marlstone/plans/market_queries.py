@@ -135,7 +135,7 @@ _DAILY = "daily AS (SELECT portfolio_id, date, sum(weight * ret) AS ret FROM ali
 def _summary_sql(source: str, key: str) -> str:
     w = f"OVER (PARTITION BY {key} ORDER BY date)"
     return f"""y0 AS (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY date DESC) <= 252),
-y1 AS (SELECT *, exp(sum(ln(1 + ret)) {w}) AS wealth FROM y0), y2 AS (SELECT *, greatest(1, max(wealth) {w}) AS peak FROM y1),
+y1 AS (SELECT *, product(1 + ret) {w} AS wealth FROM y0), y2 AS (SELECT *, greatest(1, max(wealth) {w}) AS peak FROM y1),
 summed AS (SELECT {key}, round(product(1 + ret) - 1, 4) + 0 AS return_window, CASE WHEN count(*) >= 2 THEN round(stddev_samp(ret) * sqrt(252), 4) + 0 END AS volatility,
   round(min(wealth / peak - 1), 4) + 0 AS max_drawdown, count(*) AS sessions, min(date) AS start, max(date) AS "end" FROM y2 GROUP BY {key})"""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from marlstone.plans import market_queries
+from marlstone.plans import evidence_queries, market_queries, pair_queries
 
-QUERIES = market_queries.QUERIES
-ORACLE = market_queries.ORACLE
+_ALL = (market_queries, pair_queries, evidence_queries)
+QUERIES = {name: query for module in _ALL for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _ALL for name, sql in module.ORACLE.items()}
