@@ -25,6 +25,7 @@ one document with several texts; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,9 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.plans.shared import cut, written
+from marlstone.plans.shared import arrow_rows, cut, written
 
-SKETCH_BITS = 18
+SKETCH_BITS = 22  # 16 MB of counts; a bucket then has 25 shingles or so for each 100 million
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,24 +61,27 @@ def _bucket(grams: np.ndarray) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
-    """How many shingles of all documents fall to each of 2 ** SKETCH_BITS buckets; 2 MB, whatever the input."""
-    step = 4096
+    """How many shingles of all documents fall to each of 2 ** SKETCH_BITS buckets: of one size, whatever the input."""
+    step = 1 << 16
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                grams = np.concatenate([shingles(t, width) for t in batch["text"][at : at + 256]])
-                total += np.bincount(_bucket(grams), minlength=len(total))
-        yield pd.DataFrame({"part": range(0, len(total), step), "counts": [total[i : i + step].tobytes() for i in range(0, len(total), step)]})
+            for text in batch["text"]:
+                grams = _bucket(shingles(text, width))
+                places, counts = np.unique(grams, return_counts=True)
+                total[places] += counts.astype(np.int32)
+        yield pd.DataFrame({"part": range(0, len(total), step), "counts": [zlib.compress(total[i : i + step].tobytes(), 1) for i in range(0, len(total), step)]})
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, dtype=np.int64) for c in rows["counts"])
-        return pd.DataFrame({"part": rows["part"][:1], "counts": [total.tobytes()]})
+        total = np.zeros(step, dtype=np.int64)
+        for c in rows["counts"]:
+            total += np.frombuffer(zlib.decompress(c), dtype=np.int32)
+        return pd.DataFrame({"part": rows["part"][:1], "counts": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]})
 
     schema = "part long, counts binary"
     rows = docs.select("text").mapInPandas(count, schema).groupBy("part").applyInPandas(add, schema).orderBy("part").collect()
-    return np.concatenate([np.frombuffer(r["counts"], dtype=np.int64) for r in rows]) if rows else np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    return np.concatenate([np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int32) for r in rows]) if rows else np.zeros(1 << SKETCH_BITS, dtype=np.int32)
 
 
 def _points(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
@@ -142,7 +146,11 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8, cell: int = 48, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; the component is the smallest doc_id reachable by links."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    with arrow_rows(docs.sparkSession, 1000):  # all but the last, small joins run in here
+        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, leaf, cell, pivots, rounds)
+
+
+def _joined(docs: DataFrame, width: int, percent: int, leaf: int, cell: int, pivots: int, rounds: int) -> DataFrame:
     points = written(_points(docs, width, percent, _sketch(docs, width)), "points")
     copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"))
     copies = written(copies, "copies")
@@ -164,7 +172,7 @@ def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8,
     large = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), "low").filter(F.col("id") != F.col("low.id"))
     found.append(large.filter(_near(F.col("n"), F.col("low.n"), percent)).select(*_ordered(F.col("id"), F.col("low.id"))))
     links = cut(_distances(docs, reduce(DataFrame.unionByName, found), width).filter(_link(percent)).select("a", "b"))
-    crowd = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.lit(True).alias("native"), F.lit(False).alias("stuck"))
+    crowd = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.p").alias("p"), F.lit(True).alias("native"), F.lit(False).alias("stuck"))
     links = _split(docs, crowd, links, width=width, percent=percent, cell=cell, pivots=pivots, rounds=rounds)
     # Rows of one id with different sets make these sets' points one document.
     many = points.filter("same is not null").groupBy("doc_id").agg(F.min("same").alias("s1"), F.max("same").alias("s2")).filter("s1 <> s2").select("doc_id")
@@ -178,7 +186,7 @@ def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8,
 
 def _open_regions(crowd: DataFrame, links: DataFrame) -> DataFrame:
     """Members of the regions that still hold more than one component, with their components and the region's size."""
-    crowd = _labelled(crowd.select("r", "id", "n", "native", "stuck"), links)
+    crowd = _labelled(crowd.select("r", "id", "n", "p", "native", "stuck"), links)
     held = crowd.groupBy("r").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("r", "size")
     return written(crowd.join(held, "r"), "crowd")
 
@@ -197,9 +205,9 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
         blocks = F.ceil(F.col("size") / cell).cast("int")
         block = F.pmod(F.xxhash64("id"), blocks).cast("int")
         spread = done.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        x = spread.select("r", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.struct("id", "n", "component", "native").alias("x"))
+        x = spread.select("r", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.struct("id", "n", "p", "component", "native").alias("x"))
         y = x.withColumnRenamed("x", "y")
-        both = x.join(y, ["r", "u", "v"]).filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.native") | F.col("y.native")) & _near(F.col("x.n"), F.col("y.n"), percent))
+        both = x.join(y, ["r", "u", "v"]).filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.native") | F.col("y.native")) & _possible(F.col("x"), F.col("y"), percent))
         more = [both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))]
         if step == rounds:
             return cut(links.union(_distances(docs, more[0], width).filter(_link(percent)).select("a", "b")))
@@ -214,7 +222,7 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
         d = dist.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
         d = d.union(d.select("b", "a", "d")).select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
         known = against.join(d, ["id", "pivot"], "left").withColumn("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        at = known.groupBy("r", "id", "n", "native").agg(F.collect_list(F.struct("d", "pivot")).alias("ds"))  # one for each pivot
+        at = known.groupBy("r", "id", "n", "p", "native").agg(F.collect_list(F.struct("d", "pivot")).alias("ds"))  # one for each pivot
         at = at.withColumn("least", F.array_min("ds"))
         near = F.filter("ds", lambda s: s["d"] <= F.col("least.d") + 2 * eps + 1e-9)
         at = cut(at.withColumn("near", near))
@@ -222,5 +230,5 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
         stuck = at.groupBy(F.col("r").alias("its")).agg((F.sum(F.size("near")) > 2 * F.count("*")).alias("stuck"))
         at = at.join(stuck, F.col("r") == F.col("its")).withColumn("s", F.explode(F.when(F.col("stuck"), F.slice("near", 1, 1)).otherwise(F.col("near"))))
         native = F.col("native") & (F.col("stuck") | (F.col("s.pivot") == F.col("least.pivot")))
-        crowd = at.select(F.when(F.col("stuck"), F.col("r")).otherwise(F.xxhash64("r", "s.pivot")).alias("r"), "id", "n", native.alias("native"), "stuck")
+        crowd = at.select(F.when(F.col("stuck"), F.col("r")).otherwise(F.xxhash64("r", "s.pivot")).alias("r"), "id", "n", "p", native.alias("native"), "stuck")
     return links
