@@ -16,7 +16,7 @@ A similarity of 0.8 with five-word shingles leaves a shared run of 13 words in a
 leak, whatever the radius; the radius only widens the search to edited pieces.
 
 Edge cases: null or empty texts and items never match and give no row. Repeated doc_ids and item_ids are matched
-each and reported once. Other columns of either table are ignored.
+each and reported once, null ids too. Other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -151,7 +151,8 @@ def _pieces(df: DataFrame, keep: list[str], hashes: str, w: int, stride: int) ->
     return with_simhash(rows.select(*keep, F.col("p.at").alias("at"), F.col("p.piece").alias("piece")), "piece", w, "f").drop("piece")
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents into which no item leaks, with all their columns."""
-    leaks = contaminated(docs, items, **options).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs[options.get("doc_id", "doc_id")].eqNullSafe(leaks["_leak"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents into which no item leaks, with all their columns. Rows are told apart by their texts, whatever their ids."""
+    key = docs.select(F.md5(F.col(text)).alias("k"), F.col(text).alias("text"))
+    leaks = contaminated(key, items, doc_id="k", **options).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(leaks, F.md5(docs[text]) == leaks["_leak"], "left_anti")
