@@ -14,7 +14,7 @@ can't be close. Two documents link when 100 * |x and y| >= percent * |x or y|; e
    pivots at most 2 eps further away. Sets within eps of a pivot link to it, and what is linked isn't compared again: a
    cell whose sets are all in one component is done. So copies with small changes cost a row each, not one for each pair. Cells
    are split again, ``rounds`` times at most.
-5. What is still larger (sets that are all about equally far from each other) is joined exactly in blocks of ``leaf`` sets.
+5. What is still larger (sets that are all about equally far from each other) is joined exactly in blocks of ``block`` sets.
 Pairs are verified on whole shingle sets (64-bit hashes of the words), which are computed again from the texts of the
 documents concerned alone.
 
@@ -144,13 +144,13 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8, cell: int = 48, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8, cell: int = 48, block: int = 256, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; the component is the smallest doc_id reachable by links."""
     with arrow_rows(docs.sparkSession, 1000):  # all but the last, small joins run in here
-        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, leaf, cell, pivots, rounds)
+        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, leaf, cell, block, pivots, rounds)
 
 
-def _joined(docs: DataFrame, width: int, percent: int, leaf: int, cell: int, pivots: int, rounds: int) -> DataFrame:
+def _joined(docs: DataFrame, width: int, percent: int, leaf: int, cell: int, block: int, pivots: int, rounds: int) -> DataFrame:
     points = written(_points(docs, width, percent, _sketch(docs, width)), "points")
     copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"))
     copies = written(copies, "copies")
@@ -173,7 +173,7 @@ def _joined(docs: DataFrame, width: int, percent: int, leaf: int, cell: int, piv
     found.append(large.filter(_near(F.col("n"), F.col("low.n"), percent)).select(*_ordered(F.col("id"), F.col("low.id"))))
     links = cut(_distances(docs, reduce(DataFrame.unionByName, found), width).filter(_link(percent)).select("a", "b"))
     crowd = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.p").alias("p"), F.lit(True).alias("native"), F.lit(False).alias("stuck"))
-    links = _split(docs, crowd, links, width=width, percent=percent, cell=cell, pivots=pivots, rounds=rounds)
+    links = _split(docs, crowd, links, width=width, percent=percent, cell=cell, block=block, pivots=pivots, rounds=rounds)
     # Rows of one id with different sets make these sets' points one document.
     many = points.filter("same is not null").groupBy("doc_id").agg(F.min("same").alias("s1"), F.max("same").alias("s2")).filter("s1 <> s2").select("doc_id")
     alike = points.join(many, "doc_id").join(copies, "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -191,7 +191,7 @@ def _open_regions(crowd: DataFrame, links: DataFrame) -> DataFrame:
     return written(crowd.join(held, "r"), "crowd")
 
 
-def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, percent: int, cell: int, pivots: int, rounds: int) -> DataFrame:
+def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, percent: int, cell: int, block: int, pivots: int, rounds: int) -> DataFrame:
     """The links, with those found in large regions added."""
     eps = 1 - percent / 100
     if crowd.isEmpty():
@@ -202,9 +202,8 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
             return links
         # Cells that are small enough, or after the last round all of them, in blocks: pairs of different components.
         done = crowd if step == rounds else crowd.filter((F.col("size") <= cell) | F.col("stuck"))
-        blocks = F.ceil(F.col("size") / cell).cast("int")
-        block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        spread = done.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        blocks = F.ceil(F.col("size") / block).cast("int")
+        spread = done.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
         x = spread.select("r", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.struct("id", "n", "p", "component", "native").alias("x"))
         y = x.withColumnRenamed("x", "y")
         both = x.join(y, ["r", "u", "v"]).filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.native") | F.col("y.native")) & _possible(F.col("x"), F.col("y"), percent))
