@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.plans.shared import cut
+from marlstone.plans.shared import written
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) for each end of a link (a, b); the component is its smallest id.
 
-    Each round gives every id the smallest label among its own and its neighbours', then the label of its label, so the
-    rounds needed grow with the logarithm of the longest chain. Rows are checkpointed each round.
+    Each round puts the ids in a new random order (by hash), hooks each id to its first neighbour if that comes before it, follows hooks
+    to their roots, and goes on with the links between different roots, until none is left. An id with a neighbour stays a root with
+    odds of a half at most, so rounds grow with the logarithm of the ids, whatever their order along a chain, and tables shrink from
+    round to round. Tables are written, not checkpointed: a checkpoint keeps the constraints of its plan, which grow from round to round.
     """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
-        joined = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "m").alias("now"))
-        joined = cut(joined)
-        ahead = joined.select(F.col("id").alias("now"), F.col("now").alias("next"))
-        after = cut(joined.join(ahead, "now", "left").select("id", "was", F.least("now", F.coalesce("next", "now")).alias("component")))
-        changed = not after.filter("was <> component").isEmpty()
-        labels = after.select("id", "component")
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components haven't settled in {rounds} rounds")
-    return labels
+    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter(links["a"].isNotNull() & links["b"].isNotNull())
+    edges = written(edges.distinct(), "edges")
+    hooks: list[DataFrame] = []
+    while not edges.isEmpty():
+        roots = _roots(edges, len(hooks))
+        hooks.append(roots)
+        moved = edges.join(roots.select(F.col("id").alias("a"), F.col("to").alias("x")), "a").join(roots.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+        edges = written(moved.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not hooks:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    last = hooks.pop()
+    while hooks:
+        later = last.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        last = written(hooks.pop().join(later, "to", "left").select("id", F.coalesce("next", "to").alias("to")), "roots")
+    return written(last.join(last.groupBy("to").agg(F.min("id").alias("component")), "to").select("id", "component"), "components")
+
+
+def _roots(edges: DataFrame, seed: int) -> DataFrame:
+    """(id, to): the root to which the hooks of a round lead from each end of an edge."""
+
+    def place(c: str) -> Column:
+        return F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), F.col(c).alias("id"))
+
+    ends = edges.select(F.col("a").alias("id"), F.col("b").alias("near")).union(edges.select("b", "a"))
+    first = ends.groupBy("id").agg(F.min(place("near")).alias("first"))
+    hooks = written(first.select("id", F.when(F.col("first") < place("id"), F.col("first.id")).otherwise(F.col("id")).alias("to")), "hooks")
+    while True:
+        ahead = hooks.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        jumped = written(hooks.join(ahead, "to").select("id", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "hooks")
+        hooks = jumped.select("id", "to")
+        if jumped.filter("moved").isEmpty():
+            return hooks

@@ -17,34 +17,32 @@ from marlstone.plans.shared import cut
 LINEAGE = ["derived_from", "calculated_from", "observed_in", "inferred_from", "extracted_from"]
 
 
-def lineage_closure(edges: DataFrame, roots: DataFrame | None = None, *, kinds: list[str] | None = None, rounds: int = 50) -> DataFrame:
+def lineage_closure(edges: DataFrame, roots: DataFrame | None = None, *, kinds: list[str] | None = None) -> DataFrame:
     """(graph_id, root, node): all that a root leads to over lineage edges, itself not included; cycles end."""
     step = edges.filter(F.col("kind").isin(kinds or LINEAGE)).select("graph_id", F.col("source").alias("node"), F.col("target").alias("next")).distinct()
     start = step.select("graph_id", F.col("node").alias("root")).distinct() if roots is None else roots.select("graph_id", F.col("node_id").alias("root"))
     frontier = cut(start.withColumn("node", F.col("root")).join(step, ["graph_id", "node"]).select("graph_id", "root", F.col("next").alias("node")).distinct())
     found = frontier
-    for _ in range(rounds):
+    while True:
         new = frontier.join(step, ["graph_id", "node"]).select("graph_id", "root", F.col("next").alias("node")).distinct()
         frontier = cut(new.join(found, ["graph_id", "root", "node"], "left_anti"))
         if frontier.isEmpty():
             return found
         found = cut(found.unionByName(frontier))
-    raise RuntimeError(f"the closure is deeper than {rounds} edges")
 
 
-def cycle_nodes(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(graph_id, node_id) of calculations that wait for each other, found by peeling off what has no open input."""
     rest = cut(edges.select("graph_id", "source", "target").distinct())
-    for _ in range(rounds):
+    while True:
         heads = rest.select("graph_id", F.col("source").alias("target")).distinct()
         kept = cut(rest.join(heads, ["graph_id", "target"], "left_semi"))
         if kept.isEmpty() or kept.count() == rest.count():
             return kept.select("graph_id", F.col("source").alias("node_id")).distinct()
         rest = kept
-    raise RuntimeError(f"not peeled in {rounds} rounds")
 
 
-def temporal_statuses(nodes: DataFrame, edges: DataFrame, cutoff: str, *, rounds: int = 50) -> DataFrame:
+def temporal_statuses(nodes: DataFrame, edges: DataFrame, cutoff: str) -> DataFrame:
     """(graph_id, node_id, status) at a cutoff (G8). nodes: (graph_id, node_id, role, available_at); edges: to the inputs.
 
     Hindsight and context nodes by their role; others by their own time if they have one; derived ones when all inputs are decided. What
@@ -58,7 +56,7 @@ def temporal_statuses(nodes: DataFrame, edges: DataFrame, cutoff: str, *, rounds
     state = cut(state.withColumn("status", F.when(F.col("status").isNull() & F.col("derived").isNull(), "date_unknown").otherwise(F.col("status"))))
     late, fine = ["appeared_after_cutoff", "hindsight"], ["available_at_cutoff", "derived_from_available_evidence", "context"]
     inputs = edges.select("graph_id", F.col("source").alias("node_id"), F.col("target").alias("input")).distinct()
-    for _ in range(rounds):
+    while True:
         open_ = state.filter("status is null").select("graph_id", "node_id")
         known = state.select("graph_id", F.col("node_id").alias("input"), F.coalesce("status", F.lit("open")).alias("s"))
         per = inputs.join(open_, ["graph_id", "node_id"], "left_semi").join(known, ["graph_id", "input"], "left")

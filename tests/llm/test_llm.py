@@ -107,6 +107,14 @@ def test_components_of_chains(spark):
     assert {r.id: r.component for r in components(links).collect()} == {i: 0 for i in range(31)} | {100: 50, 50: 50}
 
 
+def test_components_of_long_shuffled_chains(spark):
+    ids = list(range(2000))
+    random.Random(9).shuffle(ids)
+    chain = list(zip(ids, ids[1:], strict=False))
+    links = spark.createDataFrame([*chain, (5000, 5001), (5001, 5000), (6000, 6000)], "a long, b long")
+    assert {r.id: r.component for r in components(links).collect()} == dict.fromkeys(range(2000), 0) | {5000: 5000, 5001: 5000, 6000: 6000}
+
+
 def test_mix_meets_targets_and_repeats(spark):
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randint(1, 60)), "en", None if i % 5 == 4 else f"s{i % 5}", 1) for i in range(1500)] + [(9999, None, "en", "s0", 0), (9998, "", "en", "empty", 0)]

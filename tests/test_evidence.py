@@ -102,6 +102,14 @@ def test_graph_closure_cycles_and_statuses(spark):
     assert {status("2024-02-01")[n] for n in "xyz"} == {"date_unknown"}
 
 
+def test_deep_chains_are_walked_to_their_end(spark):
+    n = 53
+    edges = spark.createDataFrame([("g", f"n{i}", f"n{i + 1}", "derived_from") for i in range(n)], "graph_id string, source string, target string, kind string")
+    nodes = spark.createDataFrame([("g", f"n{i}", "evidence", T(2024, 1, 1) if i == n else None) for i in range(n + 1)], "graph_id string, node_id string, role string, available_at timestamp")
+    got = {r.node_id: r.status for r in graph.temporal_statuses(nodes, edges, "2024-02-01").collect()}
+    assert got.pop(f"n{n}") == "available_at_cutoff" and set(got.values()) == {"derived_from_available_evidence"}
+
+
 def test_universe_rules(spark):
     m = spark.createDataFrame([("A", "u", None, "s", None, D(2020, 1, 1), None), ("B", "u", None, "s", "i", D(2020, 1, 1), D(2020, 6, 1)), ("C", "u", "c", "s", "i", D(2020, 1, 1), None), ("E", "u", None, "s", "i", None, None), ("F", "u", None, "s", "i", D(2020, 1, 1), None)], "ticker string, universe string, currency string, sector string, industry string, valid_from date, valid_to date")
     peers = lambda d: sorted((r.ticker, r.peer) for r in universe.pit_peers(m, m.select("ticker"), d).collect())
