@@ -4,16 +4,20 @@ A benchmark item leaks into a document if an item-sized window of the document h
 least ``threshold`` with it: shingles of ``shingle`` words (all words as one shingle if there are fewer), each weighted
 by how often it occurs. Texts are lower-cased and words split at ASCII white space.
 
-1. Fingerprints. Both sides are cut into pieces of nine words (eight pairs of neighbours): documents at every five words,
-   items at every word. As 9 + 5 - 1 is 13, every run of 13 words that a document shares with an item holds a piece that both
-   sides have. Items under 13 words use shorter pieces. The SimHash of a piece is the bitwise majority of its pairs'
+1. Fingerprints. Both sides are cut into pieces of nine words (eight pairs of neighbours): documents at every four words,
+   items at every word. As 9 + 4 - 1 is 12, every run of 12 words that a document shares with an item holds a piece that both
+   sides have. Items under 13 words, and those that repeat three words in a row, use shorter pieces. The SimHash of a piece is the bitwise majority of its pairs'
    64-bit hashes, counted for all bits at once on bit planes.
 2. Candidates. Fingerprints are cut into radius + 1 blocks. Two that differ in at most ``radius`` bits agree in at least
    one block, so the join on (block number, block value) finds all of them; the Hamming distance filters the rest.
-3. Check. Document position less item offset gives the item-sized window, whose shingles are compared exactly.
+3. Check. Every item-sized window that holds a hit's piece, wherever in the item the piece stands: those with enough
+   shingles that the item has are compared exactly.
 
-A similarity of 0.8 with five-word shingles leaves a shared run of 13 words in an item of 13 or more, so step 1 loses no
-leak, whatever the radius; the radius only widens the search to edited pieces.
+Of a window with a similarity of 0.8 with five-word shingles, at most a ninth of the item's m shingles isn't shared. If no three words
+repeat in the item, each break between shared runs costs two shingles at least, so a run of 12 words is left for 13 words or
+more (eight shingles: all but one at an end for m = 9, two runs of eight for m = 18, longer ones beyond), and all of a window's shingles are
+shared for 7 to 12. Items that do repeat three words are searched by each shingle, pieces of five words at every word. So step 1 loses
+no leak, whatever the radius; the radius only widens the search to edited pieces. Other thresholds or shingles have no such proof.
 
 Edge cases: null or empty texts and items never match and give no row. Repeated doc_ids and item_ids are matched
 each and reported once, null ids too. Other columns of either table are ignored.
@@ -31,7 +35,9 @@ from marlstone.plans.shared import written
 
 #: Features in a piece, words between the starts of two pieces of a document, and whether a feature is a pair of neighbouring
 #: words (or else one word), by the least words of an item. Pairs keep apart pieces that have the same common words.
-PIECES = {13: (8, 5, True), 7: (4, 3, True), 3: (2, 1, True), 1: (1, 1, False)}
+#: REPEATS stands for items of 7 words or more that hold the same three words in a row twice.
+PIECES = {13: (8, 4, True), 7: (4, 3, True), 3: (2, 1, True), 1: (1, 1, False)}
+REPEATS = 0
 
 
 def _added(a: list[Column], b: list[Column]) -> list[Column]:
@@ -81,18 +87,21 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), p) for i, p in enumerate(parts)])
 
 
-def _bag(hashes: Column, shingle: int) -> Column:
-    """The sorted shingle hashes of an array of word hashes, repeats kept."""
-    some = F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - (shingle - 1)), lambda i: F.xxhash64(F.slice(hashes, i, shingle))
-    )
-    return F.sort_array(F.when(F.size(hashes) >= shingle, some).otherwise(F.array(F.xxhash64(hashes))))
+def _grams(hashes: Column, width: Column) -> Column:
+    """The hashes of an array's shingles of ``width`` word hashes, in order; none if it has fewer."""
+    n = F.size(hashes)
+    return F.when(n >= width, F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(hashes, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _numbered(bag: Column) -> Column:
-    """Each shingle with its number among equal ones, so that the intersection of sets is that of bags."""
-    start = F.transform(bag, lambda x, i: F.struct(x.alias("x"), (i - F.array_position(bag, x) + 1).alias("k")))
-    return F.transform(start, lambda s: F.xxhash64(s["x"], s["k"]))
+def _count(array: Column, x: Column) -> Column:
+    return F.size(F.filter(array, lambda y: y == x))
+
+
+def _similarity(window: Column) -> Column:
+    """The weighted Jaccard similarity of a window's shingles and the item's (columns ``bag``, and ``twice`` for those that repeat)."""
+    again = F.aggregate("twice", F.lit(0), lambda total, x: total + F.greatest(F.lit(0), F.least(_count(F.col("bag"), x), _count(window, x)) - 1))
+    shared = F.size(F.array_intersect(window, F.col("bag"))) + again
+    return F.transform(F.array(shared), lambda c: c / (F.size(window) + F.size("bag") - c))[0]
 
 
 def contaminated(
@@ -107,31 +116,40 @@ def contaminated(
     spark = docs.sparkSession
     doc = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("dt"))
     item = items.select(F.col(item_id).alias("item_id"), _hashed(F.col(item_text)).alias("ih"))
-    item = written(item.withColumn("n", F.size("ih")).filter("n > 0"), "items")
-    classes = item.groupBy(_least(F.col("n")).alias("least")).agg(F.sum("n").alias("words")).collect()  # of at most four
+    item = written(item.withColumn("n", F.size("ih")).filter("n > 0"), "words")
+    item = item.withColumns({"width": F.least("n", F.lit(shingle)), "threes": _grams(F.col("ih"), F.lit(3))})
+    item = item.withColumns({"bag": _grams(F.col("ih"), F.col("width")), "least": F.when((F.col("n") >= 7) & (F.size("threes") > F.size(F.array_distinct("threes"))), REPEATS).otherwise(_least(F.col("n")))})
+    item = written(item.withColumn("twice", F.array_distinct(F.filter("bag", lambda x: _count(F.col("bag"), x) > 1))).drop("threes"), "items")
+    classes = item.groupBy("least").agg(F.sum("n").alias("words")).collect()  # of at most five
     found: list[DataFrame] = []
     for c in classes:
-        w, stride, pairs = PIECES[c["least"]]
-        theirs = _pieces(_paired(item.filter(_least(F.col("n")) == c["least"]), "ih", pairs), ["item_id", "n"], "_features", w, 1)
-        theirs = theirs.withColumnsRenamed({"at": "offset", "f": "g"}).select("*", F.explode(_blocks(F.col("g"), radius)).alias("block"))
+        w, stride, pairs = PIECES[c["least"]] if c["least"] != REPEATS else (4, 1, True)
+        theirs = _pieces(_paired(item.filter(F.col("least") == c["least"]), "ih", pairs), ["item_id", "n"], "_features", w, 1)
+        theirs = theirs.drop("at").withColumnRenamed("f", "g").select("*", F.explode(_blocks(F.col("g"), radius)).alias("block"))
         theirs = F.broadcast(theirs) if c["words"] * (radius + 1) <= broadcast_rows else theirs
         ours = _pieces(_paired(doc.select("doc_id", _hashed(F.col("dt")).alias("dh")), "dh", pairs), ["doc_id"], "_features", w, stride)
         ours = ours.select("*", F.explode(_blocks(F.col("f"), radius)).alias("block"))
         hit = ours.join(theirs, "block").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)
-        found.append(hit.select("doc_id", "item_id", F.greatest(F.lit(0), F.col("at") - F.col("offset")).alias("start")))
+        found.append(hit.select("doc_id", "item_id", F.greatest(F.lit(0), F.col("at") + (w + pairs) - F.col("n")).alias("low"), F.col("at").alias("high")))
     if not found:
         kinds = {f.name: f.dataType for f in [*doc.schema, *item.schema]}
         return spark.createDataFrame([], "similarity double").select(
             F.lit(None).cast(kinds["doc_id"]).alias("doc_id"), F.lit(None).cast(kinds["item_id"]).alias("item_id"), "similarity"
         )
-    hits = written(reduce(DataFrame.unionByName, found).distinct(), "hits")
-    hits = F.broadcast(hits) if hits.count() <= broadcast_rows else hits
+    spans = reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    hits = written(spans, "hits")
+    hits = F.broadcast(hits) if (hits.agg(F.sum(F.size("spans"))).first()[0] or 0) <= broadcast_rows else hits
     pairs = hits.withColumnRenamed("doc_id", "hit_id").join(doc, F.col("hit_id").eqNullSafe(F.col("doc_id"))).join(item.withColumnRenamed("item_id", "its_id"), F.col("its_id").eqNullSafe(F.col("item_id")))
-    pairs = pairs.select("doc_id", "item_id", "ih", F.slice(_hashed(F.col("dt")), F.col("start") + 1, F.col("n")).alias("window"))
-    pairs = pairs.withColumns({"a": _bag(F.col("window"), shingle), "b": _bag(F.col("ih"), shingle)})
-    pairs = pairs.withColumns({"a": _numbered(F.col("a")), "b": _numbered(F.col("b"))})
-    shared = F.size(F.array_intersect("a", "b"))
-    pairs = pairs.withColumn("similarity", shared / (F.size("a") + F.size("b") - shared))
+    first, last = F.array_min("spans.low"), F.array_max("spans.high") + F.col("n")
+    starts = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["low"] - first, s["high"] - first))))
+    pairs = pairs.select("doc_id", "item_id", "width", "bag", "twice", starts.alias("starts"), F.slice(_hashed(F.col("dt")), first + 1, last - first).alias("part"))
+    pairs = pairs.select("doc_id", "item_id", "bag", "twice", "starts", _grams(F.col("part"), F.col("width")).alias("grams"))
+    # Written, so that what lambdas use below are columns read from a file and not computed again for each element.
+    pairs = written(pairs.withColumn("known", F.transform("grams", lambda x: F.array_contains("bag", x))), "windows")
+    size = F.size("bag")
+    bound = lambda s: F.transform(F.array(F.slice("known", s + 1, size)), lambda k: (1 + threshold) * F.size(F.filter(k, lambda x: x)) >= threshold * (F.size(k) + size) - 1e-9)[0]
+    close = F.filter("starts", lambda s: (s < F.size("grams")) & bound(s))
+    pairs = pairs.withColumn("similarity", F.array_max(F.transform(close, lambda s: F.transform(F.array(F.slice("grams", s + 1, size)), _similarity)[0])))
     # The threshold stands after the aggregation: a filter below it would be pushed down and repeat all these expressions.
     return pairs.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity")).filter(F.col("similarity") >= threshold)
 

@@ -238,6 +238,26 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_in_another_order_or_cut_short(spark):
+    rng = random.Random(10)
+    long_, short, again = prose(rng, 44).split(), prose(rng, 13).split(), prose(rng, 3).split() + prose(rng, 11).split()
+    again = again[:8] + again[:3] + again[8:11]  # the same three words twice
+    items = [long_, short, again]
+    texts = [" ".join([*prose(rng, 30).split(), *long_[22:], *long_[:22], *prose(rng, 50).split()])]
+    for lead in range(10, 15):
+        texts += [" ".join([*prose(rng, lead).split(), *w, *prose(rng, 20).split()]) for w in (short[1:], short[:-1], again[1:])]
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)])
+    want = {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i, iw in enumerate(items):
+            best = max(sum((bag(w[s : s + len(iw)]) & bag(iw)).values()) / sum((bag(w[s : s + len(iw)]) | bag(iw)).values()) for s in range(len(w)))
+            if best >= 0.8:
+                want[(d, i)] = best
+    assert (0, 0) in want and len(want) >= 11 and got == pytest.approx(want)
+
+
 NASTY = "doc_id long, text string, lang string, source string, n_chars long, host string, id long, n string, size string, t string, x string, a long, b long, key string, same string, pages string, path string, turn int, w string, page string, block int, _lines string"
 
 
