@@ -27,10 +27,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; those that had nothing else go."""
-    out = line_dedup.without_boilerplate(docs)
-    out = out.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return out.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(*COLUMNS)
+    """Documents without their source's boilerplate lines; those that have nothing else stay as they are, for the join to keep one.
+
+    Copies of a text count as one page, so that a group of copies doesn't make its own lines boilerplate.
+    """
+    out = line_dedup.without_boilerplate(docs, copies=False)
+    text = F.when((F.col("n_removed") > 0) & (F.col("n_removed") >= F.col("n_lines")), F.col("text")).otherwise(F.col("clean_text"))
+    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ Only the boilerplate is kept a host, in an array: at most the average number of
 broadcast if it has at most ``broadcast_lines`` lines in all, as counted; beyond that, pages are shuffled by host and one of
 ``salts`` random parts, so that a host with a third of all pages is spread.
 
-Edge cases: a null text stays null and an empty one empty; a null host is a host of its own; repeated pages count each;
-other columns are kept as they are.
+Edge cases: a null text stays null and an empty one empty; a null host is a host of its own; repeated pages count each,
+or once for each distinct text of a host if ``copies`` is False; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ def _key(line: Column) -> Column:
     return F.unhex(F.md5(stripped(line)))
 
 
-def boilerplate(pages: DataFrame, *, ratio: float = 0.1, min_pages: int = 5, host: str = "source", text: str = "text") -> DataFrame:
+def boilerplate(pages: DataFrame, *, ratio: float = 0.1, min_pages: int = 5, copies: bool = True, host: str = "source", text: str = "text") -> DataFrame:
     """(host, key, pages, total) for each line over the ratio."""
-    page = pages.select(F.col(host).alias("host"), F.split(F.col(text), "\n").alias("lines"))
+    page = pages.select(F.col(host).alias("host"), F.col(text).alias("text"))
+    if not copies:
+        page = page.groupBy("host", F.unhex(F.md5("text")).alias("same")).agg(F.first("text").alias("text"))
+    page = page.select("host", F.split("text", "\n").alias("lines"))
     full = F.filter("lines", lambda x: stripped(x) != "")
     lines = page.select("host", F.explode(F.array_distinct(F.transform(full, _key))).alias("key"))
     held = lines.groupBy("host", "key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
@@ -37,10 +40,10 @@ def boilerplate(pages: DataFrame, *, ratio: float = 0.1, min_pages: int = 5, hos
 
 
 def without_boilerplate(
-    pages: DataFrame, *, ratio: float = 0.1, min_pages: int = 5, broadcast_lines: int = 200_000, salts: int = 32, host: str = "source", text: str = "text"
+    pages: DataFrame, *, ratio: float = 0.1, min_pages: int = 5, copies: bool = True, broadcast_lines: int = 200_000, salts: int = 32, host: str = "source", text: str = "text"
 ) -> DataFrame:
     """The pages with ``clean_text``, ``n_lines`` (lines that aren't blank) and ``n_removed`` added."""
-    lines = written(boilerplate(pages, ratio=ratio, min_pages=min_pages, host=host, text=text), "boilerplate")
+    lines = written(boilerplate(pages, ratio=ratio, min_pages=min_pages, copies=copies, host=host, text=text), "boilerplate")
     sets = lines.groupBy(F.col("host").alias("_host")).agg(F.collect_list("key").alias("_drop"))
     same = pages[host].eqNullSafe(F.col("_host"))
     if lines.count() <= broadcast_lines:

@@ -41,6 +41,18 @@ def test_stages_in_order_keep_clean_documents(spark, tmp_path):
     assert set(out.doc_id) <= ids[3] and (out.copies >= 1).all() and out.taken.sum() == pytest.approx(words, abs=200)
 
 
+def test_a_third_of_copies_keeps_one(spark):
+    rng = random.Random(7)
+    copy = "\n".join(prose(rng, 12) for _ in range(6))
+    rows = [(i, copy if i < 20 else f"Shared footer line\n{prose(rng, 40)}", "en", "s", 1) for i in range(60)]
+    rows += [(100 + i, copy if i < 5 else prose(rng, 40), "en", "small", 1) for i in range(9)]
+    cleaned = cp.lines(spark, spark.createDataFrame(rows, DOC), "")
+    texts = {r.doc_id: r.text for r in cleaned.collect()}
+    assert all(texts[i] == copy for i in [*range(20), *range(100, 105)]) and not any("footer" in t for t in texts.values()) and len(texts) == 69
+    only = [(i, f"Menu\n{'' if i % 2 else 'Home'}{' ' * i}", "en", "s", 1) for i in range(30)]
+    assert cp.lines(spark, spark.createDataFrame(only, DOC), "").filter("text like 'Menu%'").count() == 30
+
+
 @pytest.mark.parametrize("stage", [f for _, f in cp.STAGES], ids=[n for n, _ in cp.STAGES])
 def test_each_stage_takes_anything(spark, tmp_path, stage):
     spark.createDataFrame([(1, "same text here that is long enough"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
