@@ -39,16 +39,14 @@ FROM k LEFT JOIN over AS o ON k.source IS NOT DISTINCT FROM o.source AND k.key =
 """
 
 OP10 = rf"""
-WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark),
-ds AS (SELECT doc_id, len(w) AS n, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) AS u(i)),
-bs AS (SELECT item_id, len(w) AS size, i - 1 AS pos, array_to_string(w[i : i + 4], ' ') AS g FROM b, unnest(range(1, len(w) - 3)) AS u(i)),
-starts AS (SELECT DISTINCT doc_id, item_id, n, size, greatest(0, ds.pos - bs.pos) AS start FROM ds JOIN bs USING (g)),
-a AS (
-  SELECT s.*, ds.g, row_number() OVER (PARTITION BY s.doc_id, item_id, start, ds.g ORDER BY pos) AS k
-  FROM starts AS s JOIN ds ON s.doc_id = ds.doc_id AND ds.pos BETWEEN start AND start + size - 5),
-e AS (SELECT item_id, g, row_number() OVER (PARTITION BY item_id, g ORDER BY pos) AS k FROM bs),
-c AS (SELECT doc_id, item_id, start, any_value(n) AS n, any_value(size) AS size, count(e.g) AS shared FROM a LEFT JOIN e USING (item_id, g, k) GROUP BY ALL),
-r AS (SELECT doc_id, item_id, max(shared / (least(size, n - start) - 4 + size - 4 - shared)) AS similarity FROM c GROUP BY ALL)
-SELECT doc_id, item_id, round(similarity, 6) AS similarity FROM r WHERE similarity >= 0.8
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, w, len(w) AS size, least(5, len(w)) AS k FROM (SELECT item_id, {_WORDS.format(_LOWER.format("text"))} AS w FROM benchmark) WHERE len(w) > 0),
+bs AS (SELECT q, size, k, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS g FROM b, unnest(range(1, size - k + 2)) AS u(i)),
+ds AS (SELECT r, k, len(w) - k + 1 AS n, i - 1 AS pos, array_to_string(w[i : i + k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM b) AS ks, unnest(range(1, len(w) - k + 2)) AS u(i)),
+starts AS (SELECT DISTINCT r, q, size - k + 1 AS m, ds.k, n, unnest(range(greatest(0, ds.pos - (size - k)), ds.pos + 1)) AS start FROM ds JOIN bs USING (k, g)),
+a AS (SELECT s.*, ds.g, count(*) AS c FROM starts AS s JOIN ds ON s.r = ds.r AND s.k = ds.k AND ds.pos BETWEEN start AND start + m - 1 GROUP BY ALL),
+e AS (SELECT q, g, count(*) AS c FROM bs GROUP BY ALL),
+s AS (SELECT r, q, start, any_value(n) AS n, any_value(m) AS m, sum(least(a.c, e.c)) AS shared FROM a JOIN e USING (q, g) GROUP BY ALL),
+x AS (SELECT doc_id, item_id, max(shared / (least(m, n - start) + m - shared)) AS similarity FROM s JOIN d USING (r) JOIN b USING (q) GROUP BY ALL)
+SELECT doc_id, item_id, round(similarity, 6) AS similarity FROM x WHERE similarity >= 0.8
 """

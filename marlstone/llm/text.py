@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space between words; everything else belongs to a word.
@@ -19,3 +21,18 @@ def words(text: Column) -> Column:
 def stripped(text: Column) -> Column:
     """The text without white space at its ends."""
     return F.btrim(text, F.lit(SPACE_CHARS))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A name like this that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out, k = f"_{name}", 0
+    while out.lower() in taken:
+        k += 1
+        out = f"_{name}_{k}"
+    return out

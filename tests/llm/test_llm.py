@@ -217,45 +217,69 @@ def test_zip_directories(tmp_path):
         warc_zip.directory(io.BytesIO(b"nothing"), 7)
 
 
+def brute_leaks(texts, items) -> dict[tuple[int, int], float]:
+    bag = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    best = {}
+    for d, t in enumerate(texts):
+        w = (t or "").lower().split()
+        for i, it in enumerate(items):
+            iw = (it or "").lower().split()
+            k = min(5, len(iw))
+            for s in range(len(w)):
+                a, b = bag(w[s : s + len(iw)], k), bag(iw, k)
+                both = sum((a & b).values())
+                if both and both >= 0.8 * (a.total() + b.total() - both):
+                    best[d, i] = max(best.get((d, i), 0), both / (a.total() + b.total() - both))
+    return best
+
+
+def found_leaks(spark, texts, items, **options) -> dict[tuple[int, int], float]:
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs_of(spark, texts), bench, **options).collect()}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(8)
-    items = [prose(rng, n) for n in (1, 3, 6, 8, 13, 15, 15, 30, 45, 59)]
+    items = [prose(rng, n) for n in (1, 3, 4, 6, 8, 13, 15, 15, 30, 45, 59)]
     texts: list[str | None] = [None, ""]
     for it in items:
         w = it.split()
         cut = [" ".join(w), " ".join(w[1:]), " ".join(w[: max(1, len(w) // 2)]), " ".join([*w[: len(w) // 2], "zzz", *w[len(w) // 2 :]]), " ".join(reversed(w))]
         texts += [prose(rng, rng.randint(0, 40)) + " " + c.upper() + " " + prose(rng, rng.randint(0, 40)) for c in cut] + [it]
-    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame([(i, t) for i, t in enumerate([*items, None, ""])], "item_id long, text string")).collect()}
-    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)])
-    want = set()
-    for d, t in enumerate(texts):
-        w = (t or "").lower().split()
-        for i, it in enumerate(items):
-            iw = it.split()
-            if any(sum((bag(w[s : s + len(iw)]) & bag(iw)).values()) >= 0.8 * sum((bag(w[s : s + len(iw)]) | bag(iw)).values()) for s in range(len(w))):
-                want.add((d, i))
-    assert want <= got and len(want) >= 20
-    assert decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame([], "item_id long, text string")).count() == 0
+        texts += [prose(rng, 9) + " " + " ".join(w[:k]) for k in range(len(w) * 3 // 4, len(w))]  # the document ends within the item
+    want = brute_leaks(texts, items)
+    assert len(want) >= 40 and found_leaks(spark, texts, [*items, None, ""]) == pytest.approx(want)
+    assert found_leaks(spark, texts, [*items, None, ""], broadcast_rows=0) == pytest.approx(want)
+    assert found_leaks(spark, texts, []) == {} == found_leaks(spark, [None, ""], items)
 
 
 def test_leaks_in_another_order_or_cut_short(spark):
     rng = random.Random(10)
     long_, short, again = prose(rng, 44).split(), prose(rng, 13).split(), prose(rng, 3).split() + prose(rng, 11).split()
     again = again[:8] + again[:3] + again[8:11]  # the same three words twice
-    items = [long_, short, again]
+    a, b, c, d, x = (prose(rng, n).split() for n in (3, 3, 3, 3, 4))
+    items = [" ".join(w) for w in (long_, short, again, [*a, *x, *b, *x, *c, *x, *d])]
     texts = [" ".join([*prose(rng, 30).split(), *long_[22:], *long_[:22], *prose(rng, 50).split()])]
+    texts += [" ".join([*prose(rng, 30).split(), *a, *x, *c, *x, *b, *x, *d, *prose(rng, k).split()]) for k in (0, 30)]  # equal bags of shingles
     for lead in range(10, 15):
         texts += [" ".join([*prose(rng, lead).split(), *w, *prose(rng, 20).split()]) for w in (short[1:], short[:-1], again[1:])]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(docs_of(spark, texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
-    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or Counter([tuple(w)])
-    want = {}
-    for d, t in enumerate(texts):
-        w = t.split()
-        for i, iw in enumerate(items):
-            best = max(sum((bag(w[s : s + len(iw)]) & bag(iw)).values()) / sum((bag(w[s : s + len(iw)]) | bag(iw)).values()) for s in range(len(w)))
-            if best >= 0.8:
-                want[(d, i)] = best
-    assert (0, 0) in want and len(want) >= 11 and got == pytest.approx(want)
+    want = brute_leaks(texts, items)
+    assert (0, 0) in want and want[1, 3] == want[2, 3] == 1 and len(want) >= 13 and found_leaks(spark, texts, items) == pytest.approx(want)
+
+
+def test_fingerprints_and_blocks(spark):
+    rng = random.Random(1)
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(k)] for k in (1, 2, 3, 8, 40, 101)]
+    out = spark.createDataFrame([(r,) for r in rows], "h array<long>").select("h", decontaminate.simhash(F.col("h")).alias("f")).collect()
+    for r in out:
+        assert all((r.f >> b & 1) == (2 * sum(h >> b & 1 for h in r.h) > len(r.h)) for b in range(64))
+    pairs = []
+    for flips in range(20):  # every fingerprint within the radius shares a block with the index
+        f = rng.getrandbits(64)
+        g = f ^ sum(1 << b for b in rng.sample(range(64), flips))
+        pairs.append((f - (1 << 64) if f >> 63 else f, g - (1 << 64) if g >> 63 else g))
+    keys = lambda c, k: decontaminate.block_keys(F.col(c), F.lit(30), 5, k)
+    assert spark.createDataFrame(pairs, "f long, g long").filter(F.arrays_overlap(keys("f", 0), keys("g", 3))).count() == 20
 
 
 NASTY = "doc_id long, text string, lang string, source string, n_chars long, host string, id long, n string, size string, t string, x string, a long, b long, key string, same string, pages string, path string, turn int, w string, page string, block int, _lines string"
