@@ -2,17 +2,19 @@
 
 A page is cut into flat blocks of text at block-level tags. A block's features are its word count and link density, those
 of the blocks before and after it, and which kind of container it is in. A decision tree, trained on the small labelled
-table LABELLED below, says which blocks are main text; these are joined in page order by one space.
+table PATTERNS below, says which blocks are main text; these are joined in page order by one space.
 
 Cutting is a small function on each page; features of neighbours, the tree and the joining are column expressions.
 
-Edge cases: a null or empty page gives an empty text; an unclosed tag, comment or script ends with the page;
-repeated pages are extracted each; other columns are kept.
+Edge cases: a null or empty page gives an empty text; an unclosed tag, comment, script or style ends with the page, as in browsers, and other
+elements with the one around them; a head ends where the body's text begins. Pages of any length are read whole; repeated and equal pages
+are extracted each. Other columns are kept whatever their names; a column ``main_text`` of the caller's is replaced.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 
 import pandas as pd
@@ -21,29 +23,49 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements whose content isn't text, elements that end a block, and containers.
-RAW = "script style noscript template svg math iframe object canvas head".split()
-BLOCK = "address article aside blockquote body br button caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split()
-CONTAINER = "article aside blockquote body button details dialog div dl fieldset figure footer form header label main menu nav ol p section select span table textarea ul".split()
-OUTSIDE = "aside button dialog footer form header label menu nav select textarea".split()
+from marlstone.llm.text import let, unused
+
+#: Elements that hold plain characters up to their end tag, none of them text of the page.
+RAW = "script style title textarea iframe xmp noembed noframes".split()
+#: Elements whose content isn't shown, elements that end a block, and containers.
+HIDDEN = "svg math object canvas template noscript datalist audio video".split()
+BLOCK = "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+CONTAINER = "article aside blockquote body button dd details dialog div dl dt fieldset figure footer form header label li main menu nav ol p section select span table td th tr ul".split()
+OUTSIDE = "aside button dialog footer form header label menu nav select".split()
 MAIN = "article main".split()
-#: Words in class, id or role that tell a container which isn't main text.
-HINTS = "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs byline comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login menu meta modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toc toolbar widget".split()
+#: Elements that end an open one of their kind, up to the list or table around it.
+IMPLIED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table", "tr"), "th": ("table", "tr"), "tr": ("table",)}
+#: Words in class, id or role that tell a container which isn't main text, and those that an article or main element within it
+#: overrides if they are only part of a name (a layout that is called after its sidebar).
+HINTS = "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget".split()
+LAYOUT = "banner breadcrumb breadcrumbs contentinfo footer header menu nav navbar navigation sidebar toc toolbar".split()
+#: Parts of a name after which a hint says what else the page has.
+LACKS = "has with no without hide show when".split()
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*+>.*?(?:</(?P=raw)\b[^>]*+(?:>|\Z)|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?/a-z][^>]*+(?:>|\Z)",
+    r"<!--.*?(?:--!?>|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?/a-z][^>]*+(?:>|\Z)|<\Z",
     re.IGNORECASE | re.DOTALL,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_BLOCK, _CONTAINER, _OUTSIDE, _MAIN, _HINTS = map(frozenset, (BLOCK, CONTAINER, OUTSIDE, MAIN, HINTS))
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_HREF = re.compile(r"(?<![\w-])href\s*=", re.IGNORECASE)
+_WORD = re.compile(r"\w")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+_BLOCK, _CONTAINER, _OUTSIDE, _MAIN, _HINTS, _HIDDEN, _LAYOUT, _LACKS = map(frozenset, (BLOCK, CONTAINER, OUTSIDE, MAIN, HINTS, HIDDEN, LAYOUT, LACKS))
 BLOCKS = "array<struct<text:string,words:int,links:int,main:int,outside:int,hint:int,heading:int>>"
-FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "main", "outside", "hint", "heading"]
+FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "main", "outside", "hint", "heading", "page_main"]
 
 
-def _hinted(attrs: str) -> bool:
-    return any(p.lower() in _HINTS for m in _NAMED.finditer(attrs) for p in _PART.findall(m[1] or m[2] or m[3] or ""))
+def _hint(attrs: str, main: int) -> int:
+    """0 if no name in class, id or role is a hint, 1 if only layouts are named after one, 2 otherwise."""
+    level = 0
+    for m in _NAMED.finditer(attrs):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PART.findall(name)]
+            for k, part in enumerate(parts):
+                if part in _HINTS and not (main and part == "header") and not _LACKS.intersection(parts[:k]):
+                    level = max(level, 1 if part in _LAYOUT and len(parts) > 1 else 2)
+    return level
 
 
 def blocks(page: str | None) -> list[dict]:
@@ -51,52 +73,88 @@ def blocks(page: str | None) -> list[dict]:
     found: list[dict] = []
     texts: list[tuple[str, bool]] = []
     open_: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag; inside main, an outside container, a hinted one
-    link = heading = False
+    hidden: list[str] = []  # open elements that aren't shown
+    linked = 0  # how many containers were open where the link began, or 0
+    heading = False
 
     def close() -> None:
         if texts:
-            words = html.unescape("".join(t for t, _ in texts)).split()
+            parts = [(html.unescape(t), a) for t, a in texts]
+            words = "".join(t for t, _ in parts).split()
             if words:
-                linked = sum(len(html.unescape(t).split()) for t, a in texts if a)
+                counted = sum(1 for w in words if _WORD.search(w))  # separators aren't words
+                links = sum(1 for t, a in parts if a for w in t.split() if _WORD.search(w))
                 _, main, outside, hint = open_[-1]
-                found.append({"text": " ".join(words), "words": len(words), "links": min(linked, len(words)), "main": main, "outside": outside, "hint": hint, "heading": int(heading)})
+                found.append({"text": " ".join(words), "words": counted, "links": min(links, counted), "main": main, "outside": outside, "hint": int(hint > 0), "heading": int(heading)})
             texts.clear()
 
+    def shut(k: int) -> None:
+        nonlocal linked
+        del open_[k:]
+        if linked > k:
+            linked = 0
+
     at = 0
     for m in _TOKEN.finditer(page or ""):
-        if m.start() > at:
-            texts.append((page[at : m.start()], link))
+        if m.start() > at and not hidden:
+            texts.append((page[at : m.start()], linked > 0))
         at = m.end()
-        if m["raw"]:
+        if m["raw"] and m["raw"].lower() in ("title", "textarea", "iframe"):
             close()
         if not m["tag"]:
             continue
         tag, ends = m["tag"].lower(), bool(m["end"])
+        if hidden:
+            if tag in _HIDDEN:
+                if ends:
+                    k = next((i for i in range(len(hidden) - 1, -1, -1) if hidden[i] == tag), -1)
+                    hidden = hidden[:k] if k >= 0 else hidden
+                elif not m["attrs"].endswith("/"):
+                    hidden.append(tag)
+                continue
+            opens = hidden[0] in ("svg", "math") and not ends and tag in _BLOCK
+            around = ends and tag in _CONTAINER and any(o[0] == tag for o in open_) and hidden[0] != "template"
+            if not (opens or around):
+                continue
+            hidden = []  # what was left open ends with what is around it, a drawing at the next block
+        if tag in _HIDDEN:
+            if not ends and not m["attrs"].endswith("/"):
+                hidden = [tag]
+            continue
         if tag in _BLOCK:
             close()
         if tag == "a":
-            link = not ends
+            linked = len(open_) if not ends and _HREF.search(m["attrs"]) else 0
         elif len(tag) == 2 and tag[0] == "h" and tag[1].isdigit():
             heading = not ends
         if tag in _CONTAINER:
             if tag == "p" or (not ends and open_[-1][0] == "p" and tag in _BLOCK):  # a paragraph ends at the next block
                 while open_[-1][0] == "p":
-                    open_.pop()
+                    shut(len(open_) - 1)
             if ends:
                 k = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), 0)
                 if k:
                     if tag in ("span", "label", "button"):
                         close()
-                    del open_[k:]
+                    shut(k)
             elif not m["attrs"].endswith("/"):
+                if tag in IMPLIED:
+                    for i in range(len(open_) - 1, 0, -1):
+                        if open_[i][0] == tag or (tag in ("dd", "dt") and open_[i][0] in ("dd", "dt")) or (tag in ("td", "th") and open_[i][0] in ("td", "th")):
+                            shut(i)
+                            break
+                        if open_[i][0] in IMPLIED[tag]:
+                            break
                 _, main, outside, hint = open_[-1]
                 outside = int(outside or (tag in _OUTSIDE and not (tag == "header" and main)))
-                hinted = _hinted(m["attrs"]) if m["attrs"] and tag not in ("body", "html") and tag not in _MAIN else False
-                if hinted and tag in ("span",):
+                mine = _hint(m["attrs"], main) if m["attrs"] and tag not in ("body", "html") else 0
+                if tag in _MAIN:
+                    hint, mine = (0 if hint == 1 else hint), (mine if mine == 2 else 0)
+                if mine and tag == "span":
                     close()
-                open_.append((tag, int(main or tag in _MAIN), outside, int(hint or hinted)))
-    if page and at < len(page):
-        texts.append((page[at:], link))
+                open_.append((tag, int(main or tag in _MAIN), outside, max(hint, mine)))
+    if page and at < len(page) and not hidden:
+        texts.append((page[at:], linked > 0))
     close()
     return found
 
@@ -105,42 +163,76 @@ def _density(b: Column) -> Column:
     return F.try_divide(b["links"], b["words"])
 
 
-def _features(all_: Column, b: Column, i: Column) -> dict[str, Column]:
+def _features(all_: Column, b: Column, i: Column, page_main: Column) -> dict[str, Column]:
     before, after = F.get(all_, i - 1), F.get(all_, i + 1)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
-    values = [b["words"], _density(b), before["words"], _density(before), after["words"], _density(after), b["main"], b["outside"], b["hint"], b["heading"]]
+    values = [b["words"], _density(b), before["words"], _density(before), after["words"], _density(after), b["main"], b["outside"], b["hint"], b["heading"], page_main]
     return {name: zero(v) for name, v in zip(FEATURES, values, strict=True)}
 
 
-#: The labelled table, pages with their main blocks marked by data-main. 1 is main text.
-_LONG = "The council agreed on Tuesday to repair the old stone bridge before winter and asked the county to pay half of the cost over three years."
-_SHORT = "Nobody was hurt."
-LABELLED = [
-    f'<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav><div class="ad">Buy two lamps and get one free today.</div><article><h1 data-main>Bridge repair</h1><p data-main>{_LONG}</p><p data-main>{_SHORT}</p><p data-main>Read <a href="/x">more here</a> about it.</p></article><footer>&copy; county.example All rights kept. {_SHORT}</footer>',
-    f'<header><a href="/">The Herald</a><p>{_LONG}</p></header><main><h2 data-main>Storm</h2><p data-main>{_LONG}</p><p data-main>Yes.</p><aside><p>{_LONG}</p></aside><div class="comments"><p>{_LONG}</p><p>Me too.</p></div></main><form><p>Send us a letter about this page now please.</p><label>Name</label></form>',
-    f'<div id="menu"><p>Home</p><p>About us and our work</p></div><article><p data-main>{_SHORT}</p><p data-main>{_LONG} {_LONG}</p><div class="share"><p>Share this page with all of your friends</p></div><section id="reader-comments"><p>{_LONG}</p></section></article><div class="sidebar"><p>{_LONG}</p></div><div class="cookie-notice"><p>{_LONG}</p></div>',
-    f'<div><p data-main>{_LONG}</p><p data-main>{_LONG} {_LONG}</p><p data-main>{_LONG}</p></div><div><a href="/a">Home</a> <a href="/b">Contact</a></div><div><p>Back to top</p></div>',
-    f'<div><a href="/a">One</a> <a href="/b">Two</a> <a href="/c">Three</a></div><div><p data-main>{_LONG}</p><p data-main>{_LONG}</p></div><div><p>Version 2</p></div><footer><p>{_LONG}</p></footer>',
-    f'<main><p data-main>Note: {_SHORT}</p><ul><li data-main>First of all.</li><li data-main>Then <a href="/x">this</a>.</li></ul><nav><a href="/1">1</a> <a href="/2">2</a></nav><p data-main><a href="/y">Whole linked line</a></p></main><aside class="widget">{_LONG}</aside>',
-    f'<div class="banner"><p>{_LONG} {_LONG}</p></div><article><table><tr><td data-main>Rain</td><td data-main>12</td></tr></table><form><p>{_LONG}</p></form><p data-main>{_LONG}</p></article><div role="contentinfo"><p>{_SHORT}</p></div>',
+#: The labelled table, page patterns with their main blocks marked by data-main. L stands for 10 to 80 words, A for 1
+#: to 60, S for 1 to 4, K for a link of 1 to 6 words and N for a menu of 3 to 7 links; ``labelled_pages`` fills each in several ways.
+PATTERNS = [
+    # Pages whose tags and names tell.
+    '<nav>{N}</nav><div class="ad">{A}</div><article><h1 data-main>{A}</h1><p data-main>{A}</p><p data-main>{A}</p><p data-main>{L} {K}</p></article><footer>{A}</footer>',
+    '<header>{K}<p>{A}</p></header><main><h2 data-main>{A}</h2><p data-main>{A}</p><p data-main>{A}</p><aside><p>{A}</p></aside><div class="comments"><p>{A}</p><p>{A}</p></div></main><form><p>{A}</p><label>{S}</label></form>',
+    '<div id="menu"><p>{S}</p><p>{A}</p></div><article><p data-main>{A}</p><p data-main>{A}</p><div class="share"><p>{A}</p></div><section id="reader-comments"><p>{A}</p></section></article><div class="sidebar"><p>{A}</p></div><div class="cookie-notice"><p>{A}</p></div>',
+    "<main><p data-main>{A}</p><ul><li data-main>{A}</li><li data-main>{L} {K}.</li></ul><nav>{K} {K}</nav><p data-main>{A}</p></main><aside>{A}</aside>",
+    '<div class="banner"><p>{A}</p></div><article><table><tr><td data-main>{S}</td><td data-main>{S}</td></tr></table><form><p>{A}</p></form><p data-main>{A}</p></article><div role="contentinfo"><p>{A}</p></div>',
+    "<p>{A}</p><p>{A}</p><article><p data-main>{A}</p></article><p>{A}</p><div>{A}</div>",
+    "<article><h1 data-main>{K}</h1><p data-main>{A}</p>{N}</article><div>{A}</div>",
+    "<nav>{K}</nav><article><h2 data-main>{K}</h2><p data-main>{A}</p><h2 data-main>{A}</h2><p data-main>{A}</p></article>",
+    "<main><p data-main>{A}</p><p data-main>{L} {K}</p>{N}<p data-main>{A}</p></main><p>{A}</p>",
+    "{N}<article><p data-main>{A}</p><p data-main>{A}</p></article>",
+    "{N}<p>{A}</p><main><p data-main>{A}</p><h2 data-main>{S}</h2><p data-main>{A}</p></main>{N}",
+    # Pages of plain divisions: length, links and neighbours tell.
+    "{N}<div><p data-main>{L}</p><p data-main>{A}</p><p data-main>{L}</p><p data-main>{A}</p></div>{N}<div><p>{S}</p></div>{N}",
+    "{N}<h2 data-main>{A}</h2><p data-main>{L}</p><p data-main>{A}</p><p data-main>{L} {K}</p>{N}<div>{S}</div>{N}",
+    "{N}<div>{S}</div>{N}<div><p data-main>{L}</p><p data-main>{A}</p><p data-main>{L}</p><p data-main>{A}</p></div>{N}",
+    "<div><p data-main>{L}</p><p data-main>{A}</p><p data-main>{L}</p></div>{N}<div>{S}</div>{N}",
+    "{N}<div>{S}</div>{N}<h1 data-main>{A}</h1><div data-main>{L}</div><div data-main>{L} {K}</div><div data-main>{L}</div><footer><p>{A}</p></footer>",
+    '<div class="top-nav">{N}<p>{A}</p></div><p data-main>{L}</p><p data-main>{A}</p><p data-main>{L}</p><aside><p>{A}</p><p>{S}</p></aside>',
+    "{N}<div data-main>{A}</div><div data-main>{L}</div><div data-main>{A}</div>",
+    "<p data-main>{L}</p><p data-main>{A}</p><p data-main>{L}</p>",
+    "<div data-main>{A}</div>",
+    "{N}<p data-main>{L}</p>{N}",
 ]
+FILLINGS = 12
+
+
+def labelled_pages() -> list[str]:
+    """The patterns, each filled ``FILLINGS`` times with numbered words of random lengths, from a fixed seed."""
+    rng = random.Random(6)
+    text = lambda low, high: " ".join(f"word{k}" for k in range(rng.randint(low, high)))
+    link = lambda: f'<a href="/x">{text(1, 6)}</a>'
+
+    def menu() -> str:
+        links, shape = [link() for _ in range(rng.randint(3, 7))], rng.randrange(3)
+        return "<div>" + rng.choice([" ", " | "]).join(links) + "</div>" if shape == 0 else "".join(f"<div>{x}</div>" for x in links) if shape == 1 else "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
+
+    fill = {"L": lambda: text(10, 80), "A": lambda: text(1, rng.choice([4, 60])), "S": lambda: text(1, 4), "K": link, "N": menu}
+    return [re.sub(r"\{([LASKN])\}", lambda m: fill[m[1]](), pattern) for pattern in PATTERNS for _ in range(FILLINGS)]
+
+
+_MARK = re.compile(r"<(h1|h2|p|li|td|div) data-main>")
 
 
 def labelled_blocks() -> list[tuple[float, list[float]]]:
     """(label, features) of each block of the labelled table."""
     rows = []
-    for page in LABELLED:
-        plain = blocks(page)
-        marks = [b["text"] for b in blocks(re.sub(r"<(h1|h2|p|li|td) data-main>", r"<\1>" + "\x02 ", page))]
-        density = [b["links"] / b["words"] for b in plain]
+    for page in labelled_pages():
+        plain = blocks(_MARK.sub(r"<\1>", page))
+        marks = [b["text"] for b in blocks(_MARK.sub("<\\1>\x02 ", page))]
+        density = [b["links"] / max(1, b["words"]) for b in plain]
+        some = max(b["main"] for b in plain)
         for i, b in enumerate(plain):
             near = [(plain[k]["words"], density[k]) if 0 <= k < len(plain) else (0, 0.0) for k in (i - 1, i + 1)]
-            values = [b["words"], density[i], near[0][0], near[0][1], near[1][0], near[1][1], b["main"], b["outside"], b["hint"], b["heading"]]
+            values = [b["words"], density[i], near[0][0], near[0][1], near[1][0], near[1][1], b["main"], b["outside"], b["hint"], b["heading"], some]
             rows.append((1.0 if marks[i].startswith("\x02") else 0.0, [float(v) for v in values]))
     return rows
 
 
-def train(spark: SparkSession, depth: int = 5):
+def train(spark: SparkSession, depth: int = 8):
     """The decision tree, as the root of nested tuples (feature, threshold, left, right) with labels as leaves."""
     rows = [(label, *values) for label, values in labelled_blocks()]
     table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["label", *FEATURES]))
@@ -174,6 +266,8 @@ def _cut(page: Column) -> Column:
 def extracted(pages: DataFrame, tree=None, *, page: str = "html") -> DataFrame:
     """The pages with ``main_text`` added: an empty string where there is none."""
     tree = train(pages.sparkSession) if tree is None else tree
-    df = pages.withColumn("_blocks", _cut(F.coalesce(F.col(page), F.lit(""))))
-    kept = F.filter("_blocks", lambda b, i: _decided(tree, _features(F.col("_blocks"), b, i)))
-    return df.withColumn("main_text", F.array_join(F.transform(kept, lambda b: b["text"]), " ")).drop("_blocks")
+    cut = unused(pages, "blocks")
+    df = pages.withColumn(cut, _cut(F.coalesce(F.col(page), F.lit(""))))
+    some = F.exists(cut, lambda b: b["main"] == 1).cast("int")
+    kept = let(some, lambda page_main: F.filter(cut, lambda b, i: _decided(tree, _features(F.col(cut), b, i, page_main))))
+    return df.withColumn("main_text", F.array_join(F.transform(kept, lambda b: b["text"]), " ")).drop(cut)

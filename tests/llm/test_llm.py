@@ -149,6 +149,57 @@ def test_main_text(spark):
     assert [text(h) for h in (None, "", "<", "<p", "<!-- x", "<script>x", "<nav><a>x</a></nav>")] == [""] * 7
 
 
+def test_main_text_of_generated_pages(spark):
+    """Pages put together at random from parts whose text is main or not, with and without telling tags."""
+    rng = random.Random(12)
+
+    def para() -> str:
+        return prose(rng, rng.choice([1, 2, 5, 12, 30, 80])).replace("a", "&eacute;").replace("j", "x\n &amp; y")
+
+    def links() -> str:
+        each = [f'<a href="/{k}">{prose(rng, rng.randint(1, 6))}</a>' for k in range(rng.randint(3, 8))]
+        return rng.choice([lambda: "<ul>" + "".join(f"<li>{x}" for x in each) + "</ul>", lambda: "".join(f"<div>{x}</div>" for x in each), lambda: "<p>" + " | ".join(each) + "</p>"])()
+
+    def other() -> str:
+        t = prose(rng, rng.randint(1, 60))
+        return rng.choice([f"<aside><p>{t}</p></aside>", f'<div class="cookie-notice">{t}</div>', f"<form><p>{t}</p><textarea>{t}</textarea></form>", f"<nav>{links()}</nav>", f"<script>if (a<b) x('{t}')</script>", f"<style>p {{ }} /* {t} */</style>", f'<svg viewBox="0 0 1 1"/><object data="x"/><svg><text>{t}</text></svg>', f"<!-- <p>{t}</p> -->", f'<ol id="comments"><li class="comment"><article><p>{t}</p></article></li></ol>', f"<footer>{t}</footer>"])
+
+    pages, want = [], []
+    for k in range(300):
+        kept: list[str] = []
+
+        def main(size: int = 0) -> str:
+            t = para() if not size else prose(rng, size)
+            kept.append(" ".join(html_extract.html.unescape(t).split()))
+            return rng.choice([f"<p>{t}", f"<p>{t}</p>", f"<div>{t}</div>", f'<p class="intro"><a name="n">{t[:0]}</a><b>{t}</b><br></p>', f"<p><svg-icon>{t}</svg-icon></p>"])
+
+        if k % 2:
+            wrap = rng.choice(['<div class="content has-sidebar">{}</div>', '<div id="page" class="with-header"><div>{}</div></div>', '<section class="search-results">{}</section>', "{}"])
+            body = f"<article>{rng.choice(['<header class=entry-header>{}</header>', '{}'])}".format(main()) + "".join(rng.choice([main, main, other])() for _ in range(rng.randint(1, 9))) + "</article>"
+            page = rng.choice(["", links()]) + other() + wrap.format(body) + other()
+        else:  # no tag tells: links stand alone, texts of some length around short ones
+            body = main(30) + "".join(main(rng.choice([2, 12, 40])) + main(25) for _ in range(rng.randint(0, 4)))
+            page = links() + body + rng.choice([links(), links() + "<div>Print</div>" + links(), ""])
+        pages.append((k, "<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8>" + rng.choice(["</head><body>", "<body>", "</head>"]) + page))
+        want.append(" ".join(x for x in kept if x))
+    got = {r.page_id: r.main_text for r in html_extract.extracted(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    wrong = [(pages[k][1], want[k], got[k]) for k in range(300) if got[k] != want[k]]
+    assert not wrong, (len(wrong), wrong[0])
+    tree = str(html_extract.train(spark))
+    assert all(f in tree for f in ("'words'", "'density'", "'density_before'", "'density_after'"))
+
+
+def test_main_text_of_odd_pages(spark):
+    text = lambda h: " ".join(b["text"] for b in html_extract.blocks(h))
+    assert text("<head><title>T</title><body><article>All <b>of</b> it") == "All of it"
+    assert text('<svg width="1"/>a<object data="x"/>b<svg-icon>c</svg-icon><svg><g>no</g></svg>d<svg>no<p>e</p>') == "abcd e"
+    assert text("<p>a<script>no</p><p>no") == "a" and text("<title>no") == "" and text("<div><object>no</div>yes") == "yes"
+    linked = [b["links"] for b in html_extract.blocks('<a name="top">a b<p>c d</p><p><a href=x>e f</p><p>g</p>')]
+    assert linked == [0, 0, 2, 0]
+    hints = [b["hint"] for b in html_extract.blocks('<div class="ad">a</div><div class="has-ads">b</div><div class="sidebar-layout">c<article>d<p class="header">e<div class="comments">f</div></article></div>')]
+    assert hints == [1, 0, 1, 0, 0, 1]
+
+
 def test_chat_round_trip_and_rewriting(spark):
     rng = random.Random(4)
     pieces = ["\\", "###", "</turn>", "<turn>", ": ", "\n", "a", "\\\\", "### Assistant: ", "é\U0001f600", ""]
