@@ -7,10 +7,12 @@ are one matrix product. Nyström: a text's features are its kernels with the lan
 landmarks' own kernel matrix; on these, one-versus-rest kernel ridge regression is solved in closed form.
 
 Fitting takes a bounded sample: at most ``per_language`` labelled texts of each language and ``most_rows`` in all,
-those whose hashed ids are lowest. Only their bit vectors reach the driver (2 KB each). Prediction reads whole texts.
+those whose hashes of id and text are lowest. Only their bit vectors reach the driver (2 KB each). Prediction reads whole texts.
 
-Edge cases: a null text, or one without a letter, is ``und`` with score 0; so is every text if no labelled row was there to
-learn from. Labels that are null aren't learned. Equal scores go to the first language in code-point order. Repeated ids and other columns are kept.
+Edge cases: a null text, or one without a letter (Unicode category L), is ``und`` with score 0; so is every text if no labelled row was
+there to learn from. Labels that are null aren't learned; ids may be null or repeat, and rows with the same id and text are learned
+once. Equal scores go to the first language in code-point order. Other columns are kept whatever their names; columns ``lang_pred``
+and ``score`` of the caller's are replaced.
 """
 
 from __future__ import annotations
@@ -21,11 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.llm.text import unused
+
 LENGTHS, BITS, BATCH, CHUNK = (1, 2, 3), 14, 256, 1 << 20
-_LETTER, _SPACES = re.compile(r"[^\W\d_]"), re.compile(r"\s+")
+_LETTER, _SPACES = regex.compile(r"\p{L}"), re.compile(r"\s+")
 
 
 def presence(text: str, lengths: tuple[int, ...] = LENGTHS, bits: int = BITS) -> np.ndarray:
@@ -64,19 +70,18 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, *, per_language: int = 150, most_rows: int = 20_000, landmarks: int = 128, ridge: float = 0.01, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model from a bounded sample of labelled rows; None if there are none."""
-    rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(most_rows).collect()}
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("u")).filter("text is not null and lang is not null")
+    # Rows of one id and text count once, whatever their number. Languages beyond ``most_rows``, the rarest, aren't learned.
+    counts = {r[0]: r[1] for r in rows.select("lang", "u").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()}
     if not counts:
         return None
     each = max(1, min(per_language, most_rows // len(counts)))
-    # About twice the wanted rows of each language by hashed id, then the lowest of these: no sort of all rows.
-    kept = F.lit(False)
-    u = F.xxhash64(F.col(doc_id), F.lit("fit"))
-    for name, n in counts.items():
-        top = (min(1.0, (2 * each + 20) / n) * 2 - 1) * 2.0**63
-        kept = kept | ((F.col(lang) == name) & (u.cast("double") <= top))
-    sample = rows.filter(kept).select(u.alias("u"), F.col(lang).alias("lang"), _packed(F.col(text)).alias("bits")).toPandas()
-    sample = sample.sort_values(["lang", "u"], kind="stable").groupby("lang").head(each)
+    # About twice the wanted rows of each language by hash, then the lowest of these: no sort of all rows.
+    tops = [F.struct(F.lit(name).alias("name"), F.lit((min(1.0, (2 * each + 20) / n) * 2 - 1) * 2.0**63).alias("top")) for name, n in sorted(counts.items())]
+    some = rows.filter(F.exists(F.array(*tops), lambda t: (t["name"] == F.col("lang")) & (F.col("u").cast("double") <= t["top"])))
+    some = some.groupBy("lang", "u").agg(F.first("text").alias("text"))
+    lowest = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("u"))).filter(F.col("r") <= each)
+    sample = lowest.select("u", "lang", _packed(F.col("text")).alias("bits")).toPandas().sort_values(["lang", "u"], kind="stable")
     languages = sorted(sample["lang"].unique())
     packed = np.stack([np.frombuffer(b, dtype=np.uint8) for b in sample["bits"]])
     x = np.unpackbits(packed, axis=1).astype(np.float32)
@@ -122,7 +127,8 @@ def identified(docs: DataFrame, model: Model | None, *, text: str = "text") -> D
                 scores[part] = np.clip((f[np.arange(len(part)), best] + 1) / 2, 0, 1)
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_p", predict(F.col(text))).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    p = unused(docs, "p")
+    return docs.withColumn(p, predict(F.col(text))).withColumns({"lang_pred": F.col(p)["lang_pred"], "score": F.col(p)["score"]}).drop(p)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

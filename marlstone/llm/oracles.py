@@ -23,19 +23,22 @@ SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGIN
   NOT (failed OR chars < 2 * n OR chars > 14 * n OR 100 * symbols > 15 * n OR 100 * dups > 30 * len(string_split(t, chr(10)))
     OR 100 * len(list_filter(w, lambda x: x <> lower(x) AND x = upper(x))) > 30 * n
     OR 100 * (length(t) - length(replace(t, '!', ''))) > 30 * n
-    OR {" + ".join(f"contains(lower(t), '{x}')::INT" for x in INSULTS)} >= 2) AS kept
-FROM b
+    OR (insults >= 2 AND 200 * insults > n)) AS kept
+FROM (SELECT *, len(regexp_extract_all(t, '(?i)\b({"|".join(INSULTS)})\b')) AS insults FROM b)
 """
 
 OP2 = rf"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, text FROM documents),
+l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 k AS (SELECT *, {_STRIPPED.format("line")} AS key FROM l),
-total AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-held AS (SELECT source, key, count(DISTINCT doc_id) AS pages FROM k WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT doc_id) >= 5),
-over AS (SELECT held.source, key FROM held JOIN total ON held.source IS NOT DISTINCT FROM total.source WHERE pages > 0.1 * total)
-SELECT k.doc_id, (count(*) FILTER (WHERE k.key <> ''))::BIGINT AS n_lines, count(o.key)::BIGINT AS n_removed,
-  coalesce(string_agg(CASE WHEN o.key IS NULL THEN line END, chr(10) ORDER BY pos), '') AS clean_text
-FROM k LEFT JOIN over AS o ON k.source IS NOT DISTINCT FROM o.source AND k.key = o.key GROUP BY k.doc_id
+total AS (SELECT source, count(*) AS total FROM d GROUP BY source),
+held AS (SELECT source, key, count(DISTINCT r) AS pages FROM k WHERE key <> '' GROUP BY source, key HAVING count(DISTINCT r) >= 2),
+over AS (SELECT held.source, key FROM held JOIN total ON held.source IS NOT DISTINCT FROM total.source WHERE pages > 0.1 * total),
+p AS (
+  SELECT k.r, (count(*) FILTER (WHERE k.key <> ''))::BIGINT AS n_lines, count(o.key)::BIGINT AS n_removed,
+    coalesce(string_agg(CASE WHEN o.key IS NULL THEN line END, chr(10) ORDER BY pos), '') AS clean_text
+  FROM k LEFT JOIN over AS o ON k.source IS NOT DISTINCT FROM o.source AND k.key = o.key GROUP BY k.r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, clean_text FROM d LEFT JOIN p USING (r)
 """
 
 OP10 = rf"""

@@ -362,3 +362,40 @@ def test_nulls_long_texts_repeats_and_clashing_names(spark, nasty, empty):
     turns = docs.select(F.col("doc_id").alias("conv_id"), F.col("n_chars").alias("turn"), F.col("lang").alias("role"), "text", "size")
     assert chat_format.digests(chat_format.formatted(turns)).agg(F.sum("n_turns")).first()[0] == (None if empty else n)
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_language_sample_of_odd_ids(spark):
+    rng = random.Random(7)
+    letters = {"aa": "abcdefg", "bb": "hijklmn"}
+    rows = [(1 if k < 300 else None, prose(rng, 12, letters[lang]), lang) for k in range(600) for lang in (rng.choice("ab") * 2,)] + [(5, "same text", "aa")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, per_language=30, landmarks=20)
+    out = language_id.identified(docs.withColumn("_p", F.lit("mine")).withColumn("_p_1", F.lit(1)), model).collect()
+    assert sum(r.lang_pred == r.lang for r in out if r.text != "same text") >= 590 and {(r["_p"], r["_p_1"]) for r in out} == {("mine", 1)}
+    odd = language_id.identified(spark.createDataFrame([(1, "½ ²"), (2, "٣ 12 _"), (3, "ß")], "doc_id long, text string"), model).collect()
+    assert [r.lang_pred == "und" for r in odd] == [True, True, False] and odd[0].score == 0
+
+
+def test_callers_columns_come_back(spark):
+    rng = random.Random(13)
+    mine = ["_words", "_lines", "_pairs", "_drop", "_host", "_part", "_salt", "_kept", "_blocks", "_p", "_leak", "_over", "_again", "_windows", "host", "size", "k"]
+    docs = docs_of(spark, [prose(rng, 60), "a b\nc", None, "x"] * 3).select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in mine], F.lit(7).alias("n_words"), F.lit(8).alias("score"))
+    bench = spark.createDataFrame([(1, "never there at all")], "item_id long, text string")
+    model = language_id.fit(docs)
+    for out in (quality_rules.judged(docs), line_dedup.without_boilerplate(docs), line_dedup.without_boilerplate(docs, broadcast_lines=-1), html_extract.extracted(docs, page="text"), language_id.identified(docs, model), decontaminate.decontaminated(docs, bench)):
+        rows = out.collect()
+        assert len(rows) == 12 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in mine)
+    assert {r.n_words for r in quality_rules.judged(docs).collect()} == {60, 3, 0, 1}
+
+
+def test_insults_are_words_and_frequent(spark):
+    rng = random.Random(14)
+    long_ = [prose(rng, 600).replace("\n", " ") for _ in range(3)]
+    texts = [long_[0] + " closer oxymoron smugly", long_[1] + " idiot trash", " ".join(prose(rng, 8) + " Idiot," for _ in range(20)), long_[2] + " losers"]
+    assert [r.rejected_by for r in quality_rules.judged(docs_of(spark, texts)).orderBy("doc_id").collect()] == [None, None, "insults", None]
+
+
+def test_small_hosts_lose_repeated_lines_alone(spark):
+    rows = [(1, "Menu\nown", "en", "a", 1), (2, "Menu\nother", "en", "a", 1), (3, "alone\nMenu", "en", "b", 1)]
+    out = {r.doc_id: (r.clean_text, r.n_removed) for r in line_dedup.without_boilerplate(spark.createDataFrame(rows, DOC)).collect()}
+    assert out == {1: ("own", 1), 2: ("other", 1), 3: ("alone\nMenu", 0)}
