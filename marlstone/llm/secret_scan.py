@@ -1,7 +1,8 @@
 """Secret scanning: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least 16 characters of keys and tokens that has both a letter and a digit, within one word. Its
-features are its length and character mix, how often neighbouring characters change class, how much of it dictionary words
+A candidate is a run of at least 16 characters of keys and tokens that has both a letter and a digit, within one word; a name and an
+equals sign before it don't belong to it, up to two at its end (padding) do. Its features are its length and character mix, how often
+neighbouring characters change class and how often consonants and vowels take turns, how much of it dictionary words
 cover, its document's path, and the words beside it. The forest is trained on labelled findings: rows (value, before, after, path, label), of
 which at most ``most_rows`` are taken. Without any, those of ``example_findings`` are used, which are made by rule.
 
@@ -9,7 +10,8 @@ Everything is DataFrame expressions and Spark's own random forest. Texts without
 into words.
 
 Edge cases: null and empty texts have no candidate; a null path is an empty one; a candidate that occurs again is a finding each
-time; rows with the same id are scanned each; other columns are ignored.
+time, candidates of one word have the text between them as their context; rows with the same id are scanned each; long texts are read whole; an
+empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.text import words
 
-_RUN = r"[A-Za-z0-9+/_=\-]"
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_=\-]*[0-9])(?=[0-9+/_=\-]*[A-Za-z]){_RUN}{{16,}}+"
+_RUN = r"[A-Za-z0-9+/_\-]"
+CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z+/_\-]*[0-9])(?=[0-9+/_\-]*[A-Za-z]){_RUN}{{16,}}+={{0,2}}+"
 #: Words that names are made of, and words that tell secrets, other digests and stand-ins apart.
 DICTIONARY = "account address admin app base build cache class client code config content count create data date default demo delete dev doc example feature field file first folder form get group handler image index info input item key last level line link list load local main make manager message model module name node number object option order output page part path place port prod project property query read release report request resource response result root sample save script search server service session set setting size source start state status string style system table target task template test text time title token type update upload user util value version view web word work write your".split()
 TELLING = "token|secret|passw|pwd|api.?key|credential|auth|bearer|private.?key|access.?key"
 OTHER = "commit|revision|checksum|sha1|sha256|md5|digest|etag|uuid|guid|version|build|blob|tree"
 STAND_IN = "example|sample|dummy|placeholder|changeme|your|fake|test|xxxx"
-FEATURES = ["length", "changes", "digits", "uppers", "symbols", "hex", "distinct", "covered", "path_test", "told", "assigned", "other", "stand_in"]
+FEATURES = ["length", "changes", "digits", "uppers", "symbols", "hex", "distinct", "turns", "covered", "path_test", "told", "assigned", "other", "stand_in"]
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -53,6 +55,7 @@ def with_features(findings: DataFrame) -> DataFrame:
             "symbols": _share(v, r"[+/_=\-]"),
             "hex": flag(F.regexp_like(lower, F.lit("^[0-9a-f]+$"))),
             "distinct": F.size(F.array_distinct(F.split(v, ""))) / F.length(v),
+            "turns": _share(lower, "(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])"),
             "covered": (F.length(v) - F.length(F.regexp_replace(lower, "|".join(longest), ""))) / F.length(v),
             "path_test": flag(F.regexp_like(path, F.lit("test|example|sample|fixture|mock|doc"))),
             "told": flag(F.regexp_like(before, F.lit(TELLING))),
@@ -96,11 +99,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, value, at, before, after): each candidate of (doc_id, path, text), its word's index and the words beside it."""
     some = docs.filter(F.regexp_like("text", F.lit(CANDIDATE))).select("doc_id", F.coalesce("path", F.lit("")).alias("path"), words(F.col("text")).alias("w"))
     near = lambda i, *ks: F.concat_ws(" ", *[F.get("w", i + k) for k in ks])
-    lead = lambda x: F.split(x, CANDIDATE)[0]  # noqa: E731  what stands before the candidate in its own word
     hits = F.filter(F.transform("w", lambda x, i: F.when(F.regexp_like(x, F.lit(CANDIDATE)), F.struct(x.alias("x"), i.alias("i")))), lambda s: s.isNotNull())
     rows = some.select("doc_id", "path", "w", F.explode(hits).alias("s"))
-    rows = rows.select("doc_id", "path", F.col("s.i").cast("long").alias("at"), F.concat_ws(" ", near(F.col("s.i"), -3, -2, -1), lead(F.col("s.x"))).alias("before"), near(F.col("s.i"), 1, 2).alias("after"), F.col("s.x").alias("x"))
-    return rows.withColumn("value", F.explode(F.regexp_extract_all("x", F.lit(CANDIDATE), F.lit(0)))).drop("x")
+    # What stands between the candidates of a word: the first has the words before it too, the last those after it.
+    rows = rows.select("doc_id", "path", F.col("s.i").cast("long").alias("at"), near(F.col("s.i"), -3, -2, -1).alias("b"), near(F.col("s.i"), 1, 2).alias("a"), F.regexp_extract_all(F.col("s.x"), F.lit(CANDIDATE), F.lit(0)).alias("vs"), F.split(F.col("s.x"), CANDIDATE, -1).alias("gaps"))
+    rows = rows.select("doc_id", "path", "at", "a", "b", "gaps", F.size("vs").alias("n"), F.posexplode("vs").alias("k", "value"))
+    gap = lambda i: F.get("gaps", i)
+    before = F.when(F.col("k") == 0, F.concat_ws(" ", "b", gap(F.col("k")))).otherwise(gap(F.col("k")))
+    after = F.when(F.col("k") == F.col("n") - 1, F.concat_ws(" ", gap(F.col("k") + 1), "a")).otherwise(gap(F.col("k") + 1))
+    return rows.select("doc_id", "path", "at", before.alias("before"), after.alias("after"), "value")
 
 
 def scanned(docs: DataFrame, model: RandomForestClassificationModel | None = None, *, least: float = 0.5) -> DataFrame:
