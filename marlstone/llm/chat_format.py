@@ -2,9 +2,13 @@
 
 A template is any function from a list of (role, text) to a string. It is rendered over successive prefixes of a
 conversation. If each output begins with the one before, what is new is the span of the turn that came last; if not, the
-template rewrites history, which is reported, and the span begins where the two outputs first differ. Within a span, two
-probe texts that differ in every character show where the text itself begins and ends. Spans of assistant texts make the
-loss mask.
+template rewrites history, which is reported. Two probe texts that differ in every character show where the text itself
+begins and ends. Spans of assistant texts make the loss mask.
+
+A long conversation is rendered in runs of ``run`` turns, each by prefixes of its own, so work doesn't grow with the square of the
+turns; the runs' outputs put together must equal the template's output for all turns. Where they don't, as the template
+looks at what came before, whole prefixes are rendered. If history is rewritten, offsets into earlier outputs mean nothing: spans are
+then those of the texts that stand in the last output, found by probing each turn in the whole conversation, and no turn spans are given.
 
 ``marked`` is the template of the query: ``### Role: text</turn>`` and a line break a turn. It escapes control strings in
 roles and texts with a backslash, and backslashes too, so that any text can be read back.
@@ -65,18 +69,52 @@ def _same(a: str, b: str) -> int:
     return low
 
 
-def rendered(template: Template, turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """The output, a (start, end, text start, text end) for each turn, and whether the template rewrites history."""
-    before, spans, rewrites = template([]), [], False
+Span = tuple[int, int, int, int]
+
+
+def _text_span(template: Template, before: list[tuple[str, str]], role: str, after: list[tuple[str, str]], length: int) -> tuple[int, int] | None:
+    """Where a turn's text stands in an output of this length; None if it isn't shown."""
+    one, two = template([*before, (role, "0"), *after]), template([*before, (role, "1"), *after])
+    if one == two:
+        return None
+    head = _same(one, two)
+    return head, length - (len(one) - head - 1)
+
+
+def _prefixes(template: Template, turns: list[tuple[str, str]]) -> tuple[str, list[Span], bool]:
+    """The output, a (start, end, text start, text end) for each turn, and whether an output doesn't begin with the one before."""
+    before, spans = template([]), []
     for k, (role, _) in enumerate(turns):
         now = template(turns[: k + 1])
-        start = len(before) if now.startswith(before) else _same(before, now)
-        rewrites |= start < len(before)
-        one, two = template([*turns[:k], (role, "0")]), template([*turns[:k], (role, "1")])
-        head = _same(one, two)
-        spans.append((start, len(now), head, len(now) - (len(one) - head - 1)))
+        text = _text_span(template, turns[:k], role, [], len(now))
+        if not now.startswith(before) or text is None:
+            return now, [], True
+        spans.append((len(before), len(now), *text))
         before = now
-    return before, spans, rewrites
+    return before, spans, False
+
+
+def rendered(template: Template, turns: list[tuple[str, str]], run: int = 16) -> tuple[str, list[Span], bool]:
+    """The output, a (start, end, text start, text end) for each turn, and whether the template rewrites history.
+
+    Where it does, start and end are those of the text, and equal for a text that the output doesn't show.
+    """
+    whole = template(turns)
+    parts, spans, at = [], [], 0
+    for k in range(0, len(turns), run):
+        output, found, rewrites = _prefixes(template, turns[k : k + run])
+        if rewrites:
+            break
+        spans += [tuple(at + x for x in s) for s in found]
+        parts.append(output)
+        at += len(output)
+    if len(spans) == len(turns) and "".join(parts) == whole:
+        return whole, spans, False
+    output, spans, rewrites = _prefixes(template, turns)
+    if not rewrites and output == whole:
+        return whole, spans, False
+    shown = [_text_span(template, turns[:k], role, turns[k + 1 :], len(whole)) or (0, 0) for k, (role, _) in enumerate(turns)]
+    return whole, [(*s, *s) for s in shown], True
 
 
 def _digest(parts: Iterator[str]) -> str:
@@ -102,7 +140,7 @@ def formatted(conversations: DataFrame, template: Template = marked) -> DataFram
                 pairs = [(t["role"], t["text"]) for t in turns]
                 output, spans, rewrites = rendered(template, pairs)
                 loss = [s[2:] for s, (role, _) in zip(spans, pairs, strict=True) if role == LEARNED]
-                rows.append((conv_id, output, as_spans([s[:2] for s in spans]), as_spans(loss), rewrites))
+                rows.append((conv_id, output, as_spans([] if rewrites else [s[:2] for s in spans]), as_spans([s for s in loss if s[0] < s[1]] if rewrites else loss), rewrites))
             yield pd.DataFrame(rows, columns=["conv_id", "output", "turn_spans", "loss_spans", "rewrites_history"])
 
     return grouped.mapInPandas(render, f"conv_id {kind}, output string, turn_spans {span}, loss_spans {span}, rewrites_history boolean")
