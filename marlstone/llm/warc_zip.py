@@ -10,7 +10,8 @@ Spark deals out pages to writers and records to readers. A writer streams into o
 at most an unused file. Files are opened through pyarrow.fs, by the scheme of the shared folder.
 
 Of the records with the same payload of at least ``least_bytes`` bytes, the one with the largest page_id is the response; others
-are revisits that name it and carry no payload. Equal digests are found on (digest, id) alone; payloads don't take part in that shuffle.
+are revisits that name it and carry no payload. Equal digests are found on (digest, id) alone. Up to ``broadcast_rows`` digests that occur
+again, payloads aren't shuffled either; beyond that, pages are dealt by digest and one of ``salts`` parts.
 
 Edge cases: a null page is an empty payload; a null url is written as an empty one; a null page_id is a record without id and never what others revisit; pages that
 repeat with the same id and payload are all responses; other columns are ignored; an empty table gives no package and no rows.
@@ -88,24 +89,30 @@ class _Package:
         self.member.write(member)
         self.at += len(member)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
         self.member.close()
         self.zip.writestr(zipfile.ZipInfo(INDEX), "".join(self.lines))
         self.zip.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": [{"path": ARCHIVE}, {"path": INDEX}]}))
         self.zip.close()
         self.stream.close()
-        return self.uri, len(self.lines)
+        return self.uri, len(self.lines), self.at
 
 
-def archived(pages: DataFrame, folder: str, *, least_bytes: int = 1000, package_bytes: int = 64 << 20, broadcast_rows: int = 200_000) -> DataFrame:
-    """Writes the pages (page_id, url, html) below ``folder``; (package, records) for each package, already run."""
+def archived(pages: DataFrame, folder: str, *, least_bytes: int = 1000, package_bytes: int = 64 << 20, broadcast_rows: int = 200_000, salts: int = 32) -> DataFrame:
+    """Writes the pages (page_id, url, html) below ``folder``; (package, records, bytes) for each package, already run."""
     page = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     page = page.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     ids = page.filter(F.octet_length("html") >= least_bytes).groupBy(F.col("digest").alias("same")).agg(F.max("page_id").alias("first"), F.count("*").alias("n"))
     same = written(ids.filter((F.col("n") > 1) & F.col("first").isNotNull()).drop("n"), "same")
     if same.count() <= broadcast_rows:
         same = F.broadcast(same)
-    page = page.join(same, page["digest"] == same["same"], "left")
+        page = page.join(same, page["digest"] == same["same"], "left")
+    else:
+        # Pages are shuffled by digest here; a digest that many pages share is dealt to ``salts`` parts.
+        salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+        page = page.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        same = same.select("same", "first", salt).withColumnRenamed("salt", "its_salt")
+        page = page.join(same, (F.col("digest") == F.col("same")) & (F.col("salt") == F.col("its_salt")), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     page = page.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
 
@@ -121,11 +128,11 @@ def archived(pages: DataFrame, folder: str, *, least_bytes: int = 1000, package_
                     package = None
         if package:
             done.append(package.close())
-        yield pd.DataFrame(done, columns=["package", "records"])
+        yield pd.DataFrame(done, columns=["package", "records", "bytes"])
 
     # Ids as text: pandas would turn a column of ids with a null among them into floats and round large ones.
     ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
-    return written(page.withColumns(ids).mapInPandas(write, "package string, records long"), "packages")
+    return written(page.withColumns(ids).mapInPandas(write, "package string, records long, bytes long"), "packages")
 
 
 def directory(file, size: int) -> dict[str, tuple[int, int, int]]:
@@ -199,6 +206,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 rows = []
                 for package, at, length in batch.iloc[k : k + 500].itertuples(index=False, name=None):
                     if package != uri:
+                        if file:
+                            file.close()
                         system, path = _opened(package)
                         uri, file = package, system.open_input_file(path)
                     file.seek(at)
@@ -209,14 +218,19 @@ def read_records(index: DataFrame) -> DataFrame:
                         raise ValueError(f"{package}: the record at {at} doesn't hold what its digest says")
                     rows.append((warc["WARC-Record-ID"], warc["WARC-Target-URI"], r["length"], named, kind, warc.get("WARC-Refers-To"), payload))
                 yield pd.DataFrame(rows, columns=["record", "url", "payload_bytes", "payload_digest", "record_type", "refers", "payload"])
+        if file:
+            file.close()
 
     out = index.mapInPandas(read, "record string, url string, payload_bytes long, payload_digest string, record_type string, refers string, payload binary")
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]*)>", 1), F.lit("")).cast("long")
     return out.select(number("record").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"), "payload")
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """The pages' records, written as packages and read back. Readers are dealt records, not packages, in file order."""
+def round_trip(pages: DataFrame, *, part_bytes: int = 4 << 20, **options) -> DataFrame:
+    """The pages' records, written as packages and read back.
+
+    Readers are dealt records, not packages, in file order, so many that each reads about ``part_bytes`` of the archives.
+    """
     packages = archived(pages, new_path(pages.sparkSession, "packages"), **options)
-    index = indexed(packages)
-    return read_records(index.repartitionByRange("package", "at"))
+    parts = -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // part_bytes)
+    return read_records(indexed(packages).repartitionByRange(max(1, parts), "package", "at"))
