@@ -138,12 +138,25 @@ def _link(percent: int) -> Column:
     return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows (id, ...) with ``component``, their own id where they have no link."""
-    labels = components(links)
     return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (id, component) with new links taken in: only links between different components are gone through again."""
+    for end in ("a", "b"):
+        mine = labels.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
+        links = links.join(mine, end, "left").withColumn(f"c_{end}", F.coalesce(f"c_{end}", end))
+    apart = written(links.filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "apart")
+    if apart.isEmpty():
+        return labels
+    later = components(apart).withColumnsRenamed({"id": "component", "component": "whole"})
+    known = labels.join(later, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+    fresh = later.select(F.col("component").alias("id"), F.col("whole").alias("component")).join(labels.select("id"), "id", "left_anti")
+    return written(known.unionByName(fresh), "labels")
+
+
 def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8, cell: int = 48, block: int = 256, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; the component is the smallest doc_id reachable by links."""
     with arrow_rows(docs.sparkSession, 1000):  # all but the last, small joins run in here
@@ -173,33 +186,33 @@ def _joined(docs: DataFrame, width: int, percent: int, leaf: int, cell: int, blo
     found.append(large.filter(_near(F.col("n"), F.col("low.n"), percent)).select(*_ordered(F.col("id"), F.col("low.id"))))
     links = cut(_distances(docs, reduce(DataFrame.unionByName, found), width).filter(_link(percent)).select("a", "b"))
     crowd = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.p").alias("p"), F.lit(True).alias("native"), F.lit(False).alias("stuck"))
-    links = _split(docs, crowd, links, width=width, percent=percent, cell=cell, block=block, pivots=pivots, rounds=rounds)
+    labels = _split(docs, crowd, components(links), width=width, percent=percent, cell=cell, block=block, pivots=pivots, rounds=rounds)
     # Rows of one id with different sets make these sets' points one document.
     many = points.filter("same is not null").groupBy("doc_id").agg(F.min("same").alias("s1"), F.max("same").alias("s2")).filter("s1 <> s2").select("doc_id")
     alike = points.join(many, "doc_id").join(copies, "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    labels = components(links.union(alike.filter("a <> b")))
+    labels = _merged(labels, alike.filter("a <> b"))
     whole = points.join(copies.withColumnRenamed("id", "point"), "same", "left")
     whole = whole.join(labels.withColumnRenamed("id", "point"), "point", "left")
     own = F.coalesce("component", "point", "doc_id")
     return whole.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _open_regions(crowd: DataFrame, links: DataFrame) -> DataFrame:
+def _open_regions(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the regions that still hold more than one component, with their components and the region's size."""
-    crowd = _labelled(crowd.select("r", "id", "n", "p", "native", "stuck"), links)
+    crowd = _labelled(crowd.select("r", "id", "n", "p", "native", "stuck"), labels)
     held = crowd.groupBy("r").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("r", "size")
     return written(crowd.join(held, "r"), "crowd")
 
 
-def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, percent: int, cell: int, block: int, pivots: int, rounds: int) -> DataFrame:
-    """The links, with those found in large regions added."""
+def _split(docs: DataFrame, crowd: DataFrame, labels: DataFrame, *, width: int, percent: int, cell: int, block: int, pivots: int, rounds: int) -> DataFrame:
+    """The labels, with the links found in large regions taken in."""
     eps = 1 - percent / 100
     if crowd.isEmpty():
-        return links
+        return labels
     for step in range(rounds + 1):
-        crowd = _open_regions(crowd, links)
+        crowd = _open_regions(crowd, labels)
         if crowd.isEmpty():
-            return links
+            return labels
         # Cells that are small enough, or after the last round all of them, in blocks: pairs of different components.
         done = crowd if step == rounds else crowd.filter((F.col("size") <= cell) | F.col("stuck"))
         blocks = F.ceil(F.col("size") / block).cast("int")
@@ -209,7 +222,7 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
         both = x.join(y, ["r", "u", "v"]).filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.native") | F.col("y.native")) & _possible(F.col("x"), F.col("y"), percent))
         more = [both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))]
         if step == rounds:
-            return cut(links.union(_distances(docs, more[0], width).filter(_link(percent)).select("a", "b")))
+            return _merged(labels, cut(_distances(docs, more[0], width).filter(_link(percent)).select("a", "b")))
         # Pivots: sets of different components where there are some, by hash; a fixed number for each region.
         crowd = crowd.filter((F.col("size") > cell) & ~F.col("stuck"))
         slot = F.pmod(F.xxhash64("component", F.lit(step)), F.lit(pivots))
@@ -217,7 +230,7 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
         against = crowd.join(chosen.select("r", F.col("c.id").alias("pivot")), "r")
         more.append(against.select(*_ordered(F.col("id"), F.col("pivot"))))
         dist = cut(_distances(docs, reduce(DataFrame.unionByName, more), width))
-        links = cut(links.union(dist.filter(_link(percent)).select("a", "b")))
+        labels = _merged(labels, dist.filter(_link(percent)).select("a", "b"))
         d = dist.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
         d = d.union(d.select("b", "a", "d")).select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
         known = against.join(d, ["id", "pivot"], "left").withColumn("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
@@ -230,4 +243,4 @@ def _split(docs: DataFrame, crowd: DataFrame, links: DataFrame, *, width: int, p
         at = at.join(stuck, F.col("r") == F.col("its")).withColumn("s", F.explode(F.when(F.col("stuck"), F.slice("near", 1, 1)).otherwise(F.col("near"))))
         native = F.col("native") & (F.col("stuck") | (F.col("s.pivot") == F.col("least.pivot")))
         crowd = at.select(F.when(F.col("stuck"), F.col("r")).otherwise(F.xxhash64("r", "s.pivot")).alias("r"), "id", "n", "p", native.alias("native"), "stuck")
-    return links
+    return labels
