@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Filing forms, concepts that are balances on a day, day counts of periods.
+#: Filing forms, concepts that are balances on a day, day counts of periods, bands of fiscal quarters.
 FORMS = ["10-K", "10-K/A", "10-Q", "10-Q/A"]
-INSTANT = "cash current_assets current_liabilities current_long_term_debt finance_lease_current finance_lease_noncurrent long_term_debt shareholders_equity short_term_debt total_assets total_debt shares_outstanding".split()
+INSTANT = "shares_outstanding cash accounts_receivable inventory current_assets total_assets accounts_payable current_liabilities short_term_debt current_long_term_debt long_term_debt total_debt finance_lease_current finance_lease_noncurrent shareholders_equity".split()
 DAYS = {"annual": (350, 380), "quarterly": (80, 100), "cumulative": (80, 380)}
 FISCAL_BANDS = [(1, 80, 100), (2, 170, 195), (3, 260, 290), (4, 350, 380)]
 #: Fixed values: (metric, numerator, denominator) of the plain ratios.
@@ -84,14 +84,23 @@ def financial_metrics(facts: DataFrame, concepts: list[str], *, financial: bool
     return out.select("ticker", "period_end", "metric", F.when(~barred, F.col("value")).alias("value"), F.when(barred, "not_applicable").when(F.col("value").isNull(), "unavailable").otherwise("available").alias("status"))
 
 
+#: The metrics of which trends are told.
+TRENDS = ["operating_margin", "roic", "free_cash_flow_margin", "net_debt"]
+
+
 def metric_trends(metrics: DataFrame, least: int = 3) -> DataFrame:
-    """(ticker, metric, first, last, points, change): the latest unbroken run of annual points, at least three."""
-    w = W.partitionBy("ticker", "metric").orderBy("period_end")
-    df = metrics.filter("value is not null").withColumn("_p", F.lag("period_end").over(w))
-    cut = F.when(F.datediff("period_end", "_p").between(350, 380), 0).otherwise(1)
-    df = df.withColumn("_run", F.sum(cut).over(w)).withColumn("_last", F.max("_run").over(W.partitionBy("ticker", "metric"))).filter("_run = _last")
-    out = df.groupBy("ticker", "metric").agg(F.min_by("value", "period_end").alias("first"), F.max_by("value", "period_end").alias("last"), F.count("*").alias("points"))
-    return out.filter(F.col("points") >= least).withColumn("change", F.col("last") - F.col("first"))
+    """(ticker, metric, period_end, first, last, points, value, unit): the change from the first to the last annual point.
+
+    A series of fewer than ``least`` points, or with a gap anywhere, has none. Margins change in basis points; net debt in percent, where it
+    begins above 0 and ends at 0 or more.
+    """
+    df = metrics.filter(F.col("value").isNotNull() & F.col("metric").isin(TRENDS))
+    before = F.lag("period_end").over(W.partitionBy("ticker", "metric").orderBy("period_end"))
+    df = df.withColumn("_gap", ~F.coalesce(F.datediff("period_end", before).between(350, 380), F.lit(True)))
+    out = df.groupBy("ticker", "metric").agg(F.max("period_end").alias("period_end"), F.min_by("value", "period_end").alias("first"), F.max_by("value", "period_end").alias("last"), F.count("*").alias("points"), F.bool_or("_gap").alias("_gap"))
+    first, last, debt = F.col("first"), F.col("last"), F.col("metric") == "net_debt"
+    out = out.filter((F.col("points") >= least) & ~F.col("_gap") & (~debt | ((first > 0) & (last >= 0)))).drop("_gap")
+    return out.withColumns({"value": F.when(debt, (_ratio(last, first) - 1) * 100).otherwise((last - first) * 10000), "unit": F.when(debt, "percent").otherwise("bps")})
 
 
 def _quarter(days: Column) -> Column:

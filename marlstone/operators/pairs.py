@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marlstone.plans.shared import written
 from marlstone.functions.rolling import log
 from marlstone.operators.unitroot import adf, integrated, mackinnon_p
 
@@ -138,7 +139,7 @@ def fit_pairs(bars: DataFrame, *, observations: int = 252, floor: float = 0.5, a
     peers_ = top_peers(pair_correlation(calendar_returns(bars, observations), least_rows=observations - 2), k=peers, floor=floor)
     good = integrated_tickers(bars, observations).filter("i1").select("grp", "ticker")
     peers_ = peers_.join(good.withColumnRenamed("ticker", "a"), ["grp", "a"], "left_semi").join(good.withColumnRenamed("ticker", "b"), ["grp", "b"], "left_semi")
-    aligned = aligned_pairs(bars, peers_, observations)
+    aligned = written(aligned_pairs(bars, peers_, observations), "aligned")  # read by both branches below
     fits = pair_statistics(aligned).join(cointegrated(aligned), ["grp", "a", "b"])
     return fits.filter((F.col("nobs") == observations) & (F.col("correlation") >= floor) & (F.col("pvalue") < alpha) & (F.col("spread_std") > 0))
 
@@ -173,16 +174,52 @@ def pair_positions(bars: DataFrame, fits: DataFrame, *, entry: float = 2.0) -> D
     return z.select("date", F.when(F.col("z") > 0, F.col("a")).otherwise(F.col("b")).alias("short"), F.when(F.col("z") > 0, F.col("b")).otherwise(F.col("a")).alias("long"))
 
 
+def scan_dates(bars: DataFrame, *, observations: int = 252, after: int = 20) -> DataFrame:
+    """(as_of): sessions with at least ``observations`` sessions strictly before and ``after`` later ones (F5, C8). Only the calendar is ordered."""
+    w = W.orderBy("date")
+    days = bars.select("date").distinct().withColumns({"_before": F.row_number().over(w) - 1, "_all": F.count("*").over(W.partitionBy())})
+    return days.filter((F.col("_before") >= observations) & (F.col("_all") - F.col("_before") - 1 >= after)).select(F.col("date").alias("as_of"))
+
+
+def resolve_session(bars: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, as_of): the latest session at or before each asked date; null if there is none."""
+    sessions = bars.select(F.col("date").alias("d"), F.col("date").alias("s"), F.lit(None).cast("date").alias("asked")).distinct()
+    both = sessions.unionByName(asked.select(F.col("asked").alias("d"), F.lit(None).cast("date").alias("s"), "asked").distinct())
+    w = W.orderBy("d", F.col("s").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("as_of", F.last("s", ignorenulls=True).over(w)).filter("asked is not null").select("asked", "as_of")
+
+
 def scan_as_of(bars: DataFrame, dates: DataFrame, *, days: int = 450, observations: int = 252, floor: float = 0.5, alpha: float = 0.1, peers: int = 5, entry: float = 2.0) -> DataFrame:
     """Fits on each date's formation window and z on the date itself, all dates in one job: the date becomes part of the group.
 
-    dates: (as_of). No row after a date takes part in its result.
+    dates: (as_of). No row after a date takes part in its result. A pair of several groups is kept once a date, that of the last group (U5).
     """
-    held = bars.join(F.broadcast(dates), (F.col("date") <= F.col("as_of")) & (F.col("date") >= F.date_sub("as_of", days)))
-    held = held.withColumn("grp", F.concat_ws("|", "grp", F.col("as_of").cast("string")))
+    window = dates.select("as_of", F.explode(F.sequence(F.date_sub("as_of", days), F.col("as_of"))).alias("date"))
+    held = bars.join(window, "date").withColumn("grp", F.concat_ws("|", "grp", F.col("as_of").cast("string")))
     fits = fit_pairs(held.filter("date < as_of").select("grp", "date", "ticker", "close"), observations=observations, floor=floor, alpha=alpha, peers=peers)
     z = spread_z(held.filter("date = as_of").select("grp", "date", "ticker", "close"), fits).filter(F.abs("z") > entry)
-    return z.join(fits, ["grp", "a", "b"]).withColumnRenamed("date", "as_of")
+    found = z.join(fits, ["grp", "a", "b"]).withColumnRenamed("date", "as_of")
+    rest = [c for c in found.columns if c not in ("as_of", "a", "b")]
+    return found.groupBy("as_of", "a", "b").agg(F.max_by(F.struct(*rest), "grp").alias("_s")).select("as_of", "a", "b", *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
+def ordered_fits(fits: DataFrame) -> DataFrame:
+    """Fits by p-value, then falling correlation, then names."""
+    return fits.orderBy("pvalue", F.col("correlation").desc(), "a", "b")
+
+
+def top_signals(signals: DataFrame, k: int = 50) -> DataFrame:
+    """The k signals of the largest abs z, then by names, with their rank."""
+    kept = signals.orderBy(F.abs("z").desc(), "a", "b").limit(k)
+    return kept.withColumn("rank", F.row_number().over(W.orderBy(F.abs("z").desc(), "a", "b")))
+
+
+def scan_diagnostics(bars: DataFrame, fits: DataFrame, *, least: float = 0.65, alpha: float = 0.05) -> DataFrame:
+    """One row: price_securities, groups_processed, raw_fit_count, eligible_fit_count (A11); a pair of several groups counts once as eligible."""
+    priced = bars.agg(F.countDistinct("ticker").alias("price_securities"), F.countDistinct("grp").alias("groups_processed"))
+    pair = F.when((F.col("correlation") >= least) & (F.col("pvalue") < alpha), F.struct("a", "b"))
+    counted = fits.agg(F.count("*").alias("raw_fit_count"), F.countDistinct(pair).alias("eligible_fit_count"))
+    return priced.join(counted)
 
 
 def next_open_entry(signals: DataFrame, prices: DataFrame) -> DataFrame:

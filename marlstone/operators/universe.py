@@ -49,3 +49,21 @@ def index_members(history: DataFrame, start: str, end: str) -> DataFrame:
 def group_summary(bars: DataFrame, fits: DataFrame) -> DataFrame:
     """(grp, tickers, fits) (A10)."""
     return bars.groupBy("grp").agg(F.countDistinct("ticker").alias("tickers")).join(fits.groupBy("grp").agg(F.count("*").alias("fits")), "grp", "left").fillna(0, ["fits"])
+
+
+def grouped_bars(bars: DataFrame, members: DataFrame) -> DataFrame:
+    """Bars with ``grp`` for each mapped membership in a universe and currency; a null currency is one too.
+
+    Groups with fewer than two priced tickers are left out. members: (ticker, universe, currency, mapping_status).
+    """
+    grp = F.concat_ws("|", "universe", F.coalesce("currency", F.lit("")))
+    mine = members.filter("mapping_status = 'mapped'").select("ticker", grp.alias("grp")).distinct()
+    priced = bars.select("ticker").distinct().join(mine, "ticker")
+    large = priced.groupBy("grp").agg(F.count("*").alias("n")).filter("n >= 2").select("grp")
+    return bars.join(priced.join(large, "grp", "left_semi"), "ticker")
+
+
+def attach_group(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (ticker, ...) with their universe's name, 'unknown' where there is none, the first by name where there are several."""
+    one = members.groupBy("ticker").agg(F.min("universe").alias("group"))
+    return rows.join(one, "ticker", "left").withColumn("group", F.coalesce("group", F.lit("unknown")))

@@ -86,11 +86,11 @@ def _news(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     at = F.lit("2024-01-01 06:00:00").cast("timestamp") + F.make_dt_interval(F.pmod("n_chars", F.lit(30)).cast("int"))
     host = F.when(F.col("doc_id") % 4 == 0, "https://finnhub.io/").otherwise("https://news.example/")
-    return d.select(F.col("doc_id").alias("news_id"), F.col("source").alias("ticker"), F.split("text", r"\.")[0].alias("title"), F.concat(host, F.col("doc_id").cast("string")).alias("url"), at.alias("published_at"), (F.col("doc_id") % 3 == 0).alias("date_only"), F.substring("text", 1, 200).alias("summary"), F.col("source"))
+    return d.select(F.col("doc_id").alias("news_id"), F.col("source").alias("ticker"), F.split("text", r"\.")[0].alias("title"), F.concat(host, F.col("doc_id").cast("string")).alias("url"), at.alias("published_at"), (F.col("doc_id") % 3 == 0).alias("date_only"), F.col("text").alias("summary"), F.col("source"), "n_chars")
 
 
 _NEWS = """nws AS (SELECT doc_id AS news_id, source AS ticker, split_part(text, '.', 1) AS title, CASE WHEN doc_id % 4 = 0 THEN 'https://finnhub.io/' ELSE 'https://news.example/' END || doc_id AS url,
-  CASE WHEN doc_id % 3 = 0 THEN date_trunc('day', at_) + INTERVAL '86399999999 microseconds' ELSE at_ END AS published_at, doc_id % 3 = 0 AS date_only, substring(text, 1, 200) AS summary
+  CASE WHEN doc_id % 3 = 0 THEN date_trunc('day', at_) + INTERVAL '86399999999 microseconds' ELSE at_ END AS published_at, doc_id % 3 = 0 AS date_only, text AS summary
   FROM (SELECT *, TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(n_chars % 30 AS INT)) AS at_ FROM documents))"""
 
 
@@ -126,18 +126,19 @@ SELECT query_id, news_id, CAST(sum(points) AS BIGINT) AS score FROM words JOIN a
 # --- retrieval: documents are hits of their source's task.
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     n = _news(spark, sf)
-    return n.select(F.substring("ticker", 4, 9).cast("int").alias("task_no"), F.col("news_id").alias("hit_id"), F.concat(F.lit("u"), F.pmod("news_id", F.lit(700))).alias("url"), F.pmod(F.col("news_id") * 7, F.lit(97)).alias("rank"), F.when(F.col("news_id") % 5 > 0, F.col("published_at")).alias("published_at"), "date_only", F.pmod("news_id", F.lit(3)).alias("provider_no"), F.concat(F.lit("q"), F.pmod("news_id", F.lit(4))).alias("query"))
+    return n.select(F.substring("ticker", 4, 9).cast("int").alias("task_no"), F.col("news_id").alias("hit_id"), F.concat(F.lit("u"), F.pmod("news_id", F.lit(700))).alias("url"), F.pmod(F.col("news_id") * 7, F.lit(97)).alias("rank"), F.when(F.col("news_id") % 5 > 0, F.col("published_at")).alias("published_at"), "date_only", F.pmod("news_id", F.lit(3)).alias("provider_no"), F.concat(F.lit("q"), F.pmod("news_id", F.lit(4))).alias("query"), "n_chars")
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     h = _hits(spark, sf)
-    docs = h.groupBy("url").agg(F.min("hit_id").alias("k")).filter("k % 9 > 0").select("url", F.concat(F.lit("d"), F.col("k").cast("string")).alias("document_id"), F.when(F.col("k") % 4 > 0, F.lit("2024-01-10 00:00:00").cast("timestamp") + F.make_dt_interval(F.pmod("k", F.lit(14)).cast("int"))).alias("doc_published_at"), (F.col("k") % 2 == 0).alias("doc_date_only"))
-    return retrieval.retrieval_ledger(h, docs, as_of=NEWS_AS_OF, budget=40)
+    # Pages of under 400 characters couldn't be fetched.
+    docs = h.groupBy("url").agg(F.min("hit_id").alias("k"), F.min_by("n_chars", "hit_id").alias("size")).filter("size >= 400").select("url", F.concat(F.lit("d"), F.col("k").cast("string")).alias("document_id"), F.when(F.col("k") % 4 > 0, F.lit("2024-01-10 00:00:00").cast("timestamp") + F.make_dt_interval(F.pmod("k", F.lit(14)).cast("int"))).alias("doc_published_at"), (F.col("k") % 2 == 0).alias("doc_date_only"))
+    return retrieval.retrieval_ledger(h.drop("n_chars"), docs, as_of=NEWS_AS_OF, budget=40)
 
 
-_HITS = """raw AS (SELECT CAST(substring(source, 4) AS INT) AS task_no, doc_id AS hit_id, 'u' || doc_id % 700 AS url, doc_id * 7 % 97 AS rank, CASE WHEN doc_id % 5 > 0 THEN TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(n_chars % 30 AS INT)) END AS published_at, doc_id % 3 = 0 AS date_only, doc_id % 3 AS provider_no FROM documents)"""
+_HITS = """raw AS (SELECT CAST(substring(source, 4) AS INT) AS task_no, doc_id AS hit_id, 'u' || doc_id % 700 AS url, doc_id * 7 % 97 AS rank, CASE WHEN doc_id % 5 > 0 THEN TIMESTAMP '2024-01-01 06:00:00' + to_days(CAST(n_chars % 30 AS INT)) END AS published_at, doc_id % 3 = 0 AS date_only, doc_id % 3 AS provider_no, n_chars FROM documents)"""
 _END = f"TIMESTAMP '{NEWS_AS_OF}'"
-_LEDGER = f"""WITH {_HITS}, docs AS (SELECT url, 'd' || k AS document_id, CASE WHEN k % 4 > 0 THEN TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(k % 14 AS INT)) END AS dp, k % 2 = 0 AS dd FROM (SELECT url, min(hit_id) AS k FROM raw GROUP BY 1) WHERE k % 9 > 0),
+_LEDGER = f"""WITH {_HITS}, docs AS (SELECT url, 'd' || k AS document_id, CASE WHEN k % 4 > 0 THEN TIMESTAMP '2024-01-10 00:00:00' + to_days(CAST(k % 14 AS INT)) END AS dp, k % 2 = 0 AS dd FROM (SELECT url, min(hit_id) AS k, arg_min(n_chars, hit_id) AS size FROM raw GROUP BY 1) WHERE size >= 400),
 l1 AS (SELECT raw.*, document_id, dp, dd, row_number() OVER (PARTITION BY task_no ORDER BY rank, hit_id) > 40 AS over_, coalesce(CASE WHEN date_only THEN CAST(published_at AS DATE) > CAST({_END} AS DATE) ELSE published_at > {_END} END, false) AS future,
   coalesce(CASE WHEN dd THEN CAST(dp AS DATE) > CAST({_END} AS DATE) ELSE dp > {_END} END, false) AS doc_future FROM raw LEFT JOIN docs USING (url)),
 l2 AS (SELECT *, NOT over_ AND NOT future AND document_id IS NOT NULL AND NOT doc_future AS good FROM l1),
@@ -156,14 +157,14 @@ def _diverse(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.select_diverse(h, 12).select("task_id", "hit_id", "position")
 
 
-# --- claims: an assistant's turn quotes from the user's turn before it, now and then with quotation marks or a change.
+# --- claims: each sentence of a user's turn is a claim and is quoted from it, now and then with quotation marks or a change.
 def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf, "conversations")
-    docs = c.filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("document_id"), "text")
-    part = F.substring("text", 5, 30)
-    quote = F.when(F.col("turn") % 4 == 0, part).when(F.col("turn") % 4 == 2, F.concat(F.lit('"'), part, F.lit('"'))).otherwise(F.upper(part))
-    claims = c.filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("document_id"), F.substring("text", 1, 12).alias("claim"), quote.alias("quote"), F.col("turn").alias("position"), F.col("conv_id").alias("investigation_id"))
-    return claims, docs
+    c = table(spark, sf, "conversations").filter("role = 'user'").withColumn("document_id", F.col("conv_id") * 100 + F.col("turn"))
+    one = c.select("document_id", "conv_id", F.posexplode(F.split("text", r"\. ")).alias("k", "part"))
+    turn = (F.col("document_id") + F.col("k")) % 3
+    quote = F.when(turn == 0, F.col("part")).when(turn == 1, F.concat(F.lit('"'), F.col("part"), F.lit('"'))).otherwise(F.upper("part"))
+    claims = one.select("document_id", F.col("part").alias("claim"), quote.alias("quote"), F.col("k").alias("position"), F.col("conv_id").alias("investigation_id"))
+    return claims, c.select("document_id", "text")
 
 
 def _grounded(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +173,8 @@ def _grounded(spark: SparkSession, sf: str) -> DataFrame:
 
 _STRIP = "regexp_replace({0}, '{1}', '')"
 _MARKS = "[\"''“”‘’«»]+"
-_GROUND = f"""WITH c AS (SELECT conv_id * 100 + turn AS document_id, substring(text, 1, 12) AS claim, text, CASE WHEN turn % 4 = 0 THEN substring(text, 5, 30) WHEN turn % 4 = 2 THEN '"' || substring(text, 5, 30) || '"' ELSE upper(substring(text, 5, 30)) END AS quote FROM conversations WHERE role = 'user'),
+_GROUND = f"""WITH t AS (SELECT conv_id * 100 + turn AS document_id, text, unnest(string_split(text, '. ')) AS claim, generate_subscripts(string_split(text, '. '), 1) - 1 AS k FROM conversations WHERE role = 'user'),
+c AS (SELECT *, CASE (document_id + k) % 3 WHEN 0 THEN claim WHEN 1 THEN '"' || claim || '"' ELSE upper(claim) END AS quote FROM t),
 o AS (SELECT *, regexp_replace(trim(quote), '^{_MARKS}', '') AS q1, regexp_replace(trim(quote), '{_MARKS}$', '') AS q2, regexp_replace(trim(quote), '^{_MARKS}|{_MARKS}$', '', 'g') AS q3 FROM c),
 g AS (SELECT DISTINCT document_id, claim, coalesce(CASE WHEN quote <> '' AND contains(text, quote) THEN quote END, CASE WHEN q1 <> '' AND contains(text, q1) THEN q1 END, CASE WHEN q2 <> '' AND contains(text, q2) THEN q2 END, CASE WHEN q3 <> '' AND contains(text, q3) THEN q3 END) AS grounded FROM o)
 SELECT 'CLAIM-' || substring(sha1(document_id || '|' || claim || '|' || grounded), 1, 12) AS claim_id, document_id, claim, grounded FROM g WHERE grounded IS NOT NULL"""
@@ -248,11 +250,27 @@ SELECT id AS node_id, s AS status FROM (SELECT * FROM r UNION ALL SELECT * FROM
 
 
 def _graph_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.explanation_graph(*_evidence(spark, sf))[1].groupBy("graph_id", "kind").agg(F.count("*").alias("edges"))
+    return graph.explanation_graph(*_evidence(spark, sf))[1].select("graph_id", "source", "target", "kind")
 
 
 def _graph_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.explanation_graph(*_evidence(spark, sf))[0].groupBy("graph_id", "kind").agg(F.count("*").alias("nodes"))
+    return graph.explanation_graph(*_evidence(spark, sf))[0].select("graph_id", "node_id", "kind")
+
+
+def _shown(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The graph's edges, and which of its evidence came out before 18:00 of its day."""
+    assess, evidence, criteria = _evidence(spark, sf)
+    edges = graph.explanation_graph(assess, evidence, criteria)[1]
+    known = evidence.join(assess.select("assessment_id", "anomaly_end_at"), "assessment_id")
+    g = F.col("assessment_id").cast("string")
+    node = F.concat(F.lit("EVD-"), F.substring(F.sha1(F.concat_ws("|", g, F.col("evidence_id").cast("string"))), 1, 12))
+    status = F.when(F.col("published_at") <= F.col("anomaly_end_at"), "available_at_cutoff").otherwise("appeared_after_cutoff")
+    return edges, known.select(g.alias("graph_id"), node.alias("node_id"), status.alias("status"))
+
+
+def _seen_roles(spark: SparkSession, sf: str) -> DataFrame:
+    edges, known = _shown(spark, sf)
+    return graph.evidence_roles(edges.filter(F.col("target").startswith("CLM-")), known)
 
 
 def _violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -304,15 +322,25 @@ QUERIES: dict[str, Query] = {
     "temporal_status": _statuses,
     "review_state": _reviews,
     "page_documents": _pages,
+    "evidence_roles": _seen_roles,
+    "temporal_summary": lambda s, sf: graph.temporal_summary(_seen_roles(s, sf)),
+    "filtered_edges": lambda s, sf: graph.filtered_edges(_lineage(s, sf), _statuses(s, sf).filter("status <> 'date_unknown'").select(F.lit("g").alias("graph_id"), "node_id")).select("source", "target"),
+    "timeline_steps": lambda s, sf: graph.timeline_steps(_nodes(s, sf), "2024-01-03 00:00:00").select("step"),
+    "duplicate_ids": lambda s, sf: graph.duplicate_ids(table(s, sf, "lineitem").select(F.lit("line").alias("kind"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"))),
 }
 
+_IDS = """i AS (SELECT x.*, 'CLM-' || substring(sha1(graph_id), 1, 12) AS clm, 'EVD-' || substring(sha1(graph_id || '|' || evidence_id), 1, 12) AS evd, 'SRC-' || substring(sha1(graph_id || '|' || lineage_id), 1, 12) AS src FROM x),
+ci AS (SELECT graph_id, 'CLM-' || substring(sha1(graph_id), 1, 12) AS clm, 'SUB-' || substring(sha1(graph_id || '|' || name), 1, 12) AS sub, 'EVD-' || substring(sha1(graph_id || '|' || evidence_id), 1, 12) AS evd FROM (SELECT CAST(assessment_id AS VARCHAR) AS graph_id, name, evidence_id FROM crit))"""
+_ROLES_SQL = "SELECT DISTINCT graph_id, evd AS node_id, CASE stance WHEN 'supports' THEN 'support' WHEN 'contradicts' THEN 'counter' ELSE 'context' END AS role FROM i JOIN ass USING (assessment_id) WHERE published_at <= day + INTERVAL 18 HOUR"
 _GRAPH = f"""WITH {_EV}, x AS (SELECT CAST(assessment_id AS VARCHAR) AS graph_id, * FROM ev)"""
 ORACLE: dict[str, str] = {
     "pit_facts": f"{_DUCK}, {_pick('350 AND 380')} SELECT ticker, concept, period_end, round(value, 4) + 0 AS value, filed_at FROM picked",
     "financial_metrics": f"{_DUCK}, {_pick('350 AND 380')}, {_WIDE} SELECT ticker, period_end, metric, round(value, 4) + 0 AS value, CASE WHEN value IS NULL THEN 'unavailable' ELSE 'available' END AS status FROM met",
-    "metric_trends": f"""{_DUCK}, {_pick('350 AND 380')}, {_WIDE}, t1 AS (SELECT *, lag(period_end) OVER (PARTITION BY ticker, metric ORDER BY period_end) AS p FROM met WHERE value IS NOT NULL),
-t2 AS (SELECT *, sum(CASE WHEN period_end - p BETWEEN 350 AND 380 THEN 0 ELSE 1 END) OVER (PARTITION BY ticker, metric ORDER BY period_end) AS run FROM t1), t3 AS (SELECT * FROM t2 QUALIFY run = max(run) OVER (PARTITION BY ticker, metric))
-SELECT ticker, metric, round(arg_min(value, period_end), 4) + 0 AS "first", round(arg_max(value, period_end), 4) + 0 AS "last", count(*) AS points, round(arg_max(value, period_end) - arg_min(value, period_end), 4) + 0 AS change FROM t3 GROUP BY 1, 2 HAVING count(*) >= 3""",
+    "metric_trends": f"""{_DUCK}, {_pick('350 AND 380')}, {_WIDE}, t1 AS (SELECT *, period_end - lag(period_end) OVER (PARTITION BY ticker, metric ORDER BY period_end) AS gap FROM met
+  WHERE value IS NOT NULL AND metric IN ('operating_margin', 'roic', 'free_cash_flow_margin', 'net_debt')),
+t2 AS (SELECT ticker, metric, max(period_end) AS period_end, arg_min(value, period_end) AS f, arg_max(value, period_end) AS l, count(*) AS points, coalesce(bool_or(gap NOT BETWEEN 350 AND 380), false) AS broken FROM t1 GROUP BY 1, 2)
+SELECT ticker, metric, period_end, round(f, 4) + 0 AS "first", round(l, 4) + 0 AS "last", points, round(CASE WHEN metric = 'net_debt' THEN (l / f - 1) * 100 ELSE (l - f) * 10000 END, 4) + 0 AS value,
+  CASE WHEN metric = 'net_debt' THEN 'percent' ELSE 'bps' END AS unit FROM t2 WHERE points >= 3 AND NOT broken AND (metric <> 'net_debt' OR (f > 0 AND l >= 0))""",
     "discrete_quarters": f"{_DUCK}, {_QUARTERS} SELECT ticker, concept, period_end, fiscal_year, quarter, round(value, 4) + 0 AS value, derived FROM quarters",
     "quarter_changes": f"""{_DUCK}, {_QUARTERS} SELECT x.ticker, x.concept, x.period_end, cadence, round(x.value - y.value, 4) + 0 AS change, round(CASE WHEN y.value > 0 THEN x.value / y.value END - 1, 4) + 0 AS growth
 FROM quarters x, (VALUES ('qoq', 1, 70, 110), ('yoy', 4, 350, 380)) k(cadence, k, lo, hi), quarters y WHERE y.ticker = x.ticker AND y.concept = x.concept AND y.fiscal_year * 4 + y.quarter = x.fiscal_year * 4 + x.quarter - k.k AND x.period_end - y.period_end BETWEEN lo AND hi""",
@@ -322,10 +350,13 @@ FROM quarters x, (VALUES ('qoq', 1, 70, 110), ('yoy', 4, 350, 380)) k(cadence, k
     "interleave": f"WITH {_HITS}, a AS (SELECT *, row_number() OVER (PARTITION BY task_no, provider_no ORDER BY rank, hit_id) AS at_ FROM raw) SELECT task_no AS task_id, hit_id, row_number() OVER (PARTITION BY task_no ORDER BY at_, provider_no, hit_id) AS new_rank FROM a QUALIFY new_rank <= 20",
     "ground_claims": _GROUND,
     "causal_score": _SCORE,
-    "graph_nodes": f"""{_GRAPH} SELECT graph_id, 'claim' AS kind, 1::BIGINT AS nodes FROM x GROUP BY 1 UNION ALL SELECT graph_id, 'evidence', count(*) FROM x GROUP BY 1 UNION ALL SELECT graph_id, 'source', count(DISTINCT lineage_id) FROM x GROUP BY 1
-UNION ALL SELECT CAST(assessment_id AS VARCHAR), 'subclaim', count(*) FROM crit GROUP BY 1""",
-    "graph_edges": f"""{_GRAPH} SELECT graph_id, kind, sum(n)::BIGINT AS edges FROM (SELECT CAST(assessment_id AS VARCHAR) AS graph_id, 'part_of' AS kind, count(*) AS n FROM crit GROUP BY 1 UNION ALL SELECT CAST(assessment_id AS VARCHAR), 'supports', count(*) FROM crit GROUP BY 1
-UNION ALL SELECT graph_id, 'derived_from', count(*) FROM x GROUP BY 1 UNION ALL SELECT graph_id, stance, count(*) FROM x GROUP BY 1, 2) GROUP BY 1, 2""",
+    "graph_nodes": f"""{_GRAPH}, {_IDS} SELECT graph_id, clm AS node_id, 'claim' AS kind FROM i UNION SELECT graph_id, evd, 'evidence' FROM i UNION SELECT graph_id, src, 'source' FROM i UNION SELECT graph_id, sub, 'subclaim' FROM ci""",
+    "graph_edges": f"""{_GRAPH}, {_IDS} SELECT graph_id, sub AS source, clm AS target, 'part_of' AS kind FROM ci UNION SELECT graph_id, evd, sub, 'supports' FROM ci UNION SELECT graph_id, evd, src, 'derived_from' FROM i UNION SELECT graph_id, evd, clm, stance FROM i""",
+    "evidence_roles": f"{_GRAPH}, {_IDS} {_ROLES_SQL}",
+    "temporal_summary": f"""{_GRAPH}, {_IDS}, ro AS ({_ROLES_SQL}) SELECT graph_id, count(DISTINCT node_id) AS evidence, count(DISTINCT CASE WHEN role = 'support' THEN node_id END) AS support, count(DISTINCT CASE WHEN role = 'counter' THEN node_id END) AS counter FROM ro GROUP BY 1""",
+    "filtered_edges": f"WITH st AS ({_STATUS}), {_LINEAGE} SELECT DISTINCT source, target FROM e WHERE source IN (SELECT node_id FROM st WHERE status <> 'date_unknown') AND target IN (SELECT node_id FROM st WHERE status <> 'date_unknown')",
+    "timeline_steps": "SELECT TIMESTAMP '2024-01-03 00:00:00' AS step UNION SELECT TIMESTAMP '2024-01-01 00:00:00' + to_days(r_regionkey) FROM region WHERE r_regionkey > 2 AND r_regionkey IN (SELECT n_regionkey FROM nation)",
+    "duplicate_ids": "SELECT 'line' AS kind, l_orderkey || '-' || l_linenumber AS id, count(*) AS n FROM lineitem GROUP BY 2 HAVING count(*) > 1",
     "claim_summary": f"{_GRAPH} SELECT graph_id, 'CLM-' || substring(sha1(graph_id), 1, 12) AS claim, count(*) FILTER (WHERE stance = 'supports') AS supporting, count(*) FILTER (WHERE stance = 'contradicts') AS counter FROM x GROUP BY 1, 2",
     "fk_violations": "SELECT DISTINCT 'order customer' AS check, o_custkey AS ref FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) UNION ALL SELECT DISTINCT 'customer nation', CAST(c_nationkey AS BIGINT) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)".replace("AS check", 'AS "check"'),
     "lineage_closure": f"WITH RECURSIVE {_LINEAGE}, r AS (SELECT source AS root, target AS node FROM e UNION SELECT r.root, e.target FROM r JOIN e ON e.source = r.node) SELECT root, node FROM r",

@@ -53,10 +53,36 @@ def fit_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scan_as_of(spark: SparkSession, sf: str) -> DataFrame:
-    """Point-in-time scans on every eighth week of the last year of data."""
+    """Point-in-time scans of every session with the formation before it and 20 sessions after it."""
     bars = _grouped(spark, sf)
-    weeks = bars.select(F.col("date").alias("as_of")).distinct().filter("as_of >= date'2001-01-01' and weekofyear(as_of) % 8 = 0")
-    return rounded(pairs.scan_as_of(bars, weeks, days=900, observations=100, floor=0.0, alpha=0.5, entry=1.0).select("a", "b", "as_of", "z", "correlation", "pvalue"), 6)
+    dates = pairs.scan_dates(bars, observations=OBS, after=20)
+    return rounded(pairs.scan_as_of(bars, dates, days=7 * (OBS + 2), observations=OBS, floor=0.0, alpha=0.5, entry=1.0).select("a", "b", "as_of", "z", "correlation", "pvalue"), 6)
+
+
+def sessions(spark: SparkSession, sf: str) -> DataFrame:
+    asked = inputs.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("asked"))
+    return pairs.resolve_session(_grouped(spark, sf), asked)
+
+
+def signals_on_date(spark: SparkSession, sf: str) -> DataFrame:
+    bars = _grouped(spark, sf)
+    fits = _statistics(spark, sf, bars.filter(F.col("date") < F.lit(AS_OF).cast("date")))
+    out = pairs.top_signals(pairs.spread_z(bars.filter(F.col("date") == F.lit(AS_OF).cast("date")), fits))
+    return rounded(out.select("a", "b", "z", F.col("rank").cast("long").alias("rank")))
+
+
+def _brands(spark: SparkSession, sf: str) -> DataFrame:
+    """Memberships of brands by their parts' sizes; several a brand."""
+    p = inputs.table(spark, sf, "part").filter("p_size <= 12")
+    return p.select(F.col("p_brand").alias("ticker"), F.concat(F.lit("u"), F.col("p_size") % 3).alias("universe"), F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("c"), F.col("p_size") % 2)).alias("currency"), F.when(F.col("p_size") % 7 == 0, "unmapped").otherwise("mapped").alias("mapping_status"))
+
+
+_BRANDS = "brands AS (SELECT p_brand AS ticker, 'u' || p_size % 3 AS universe, CASE WHEN p_size % 5 > 0 THEN 'c' || p_size % 2 END AS currency, CASE WHEN p_size % 7 = 0 THEN 'unmapped' ELSE 'mapped' END AS mapping_status FROM part WHERE p_size <= 12)"
+
+
+def group_counts(spark: SparkSession, sf: str) -> DataFrame:
+    out = universe.grouped_bars(inputs.weekly(spark, sf), _brands(spark, sf))
+    return out.groupBy("grp").agg(F.countDistinct("ticker").alias("tickers"), F.count("*").alias("bars"), F.min("date").alias("first_date"))
 
 
 def blocked(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,6 +122,11 @@ QUERIES: dict[str, Query] = {
     "forward_outcomes": outcomes,
     "fit_pairs": fit_pairs,
     "scan_as_of": scan_as_of,
+    "scan_dates": lambda s, sf: pairs.scan_dates(_grouped(s, sf), observations=OBS, after=20),
+    "resolve_session": sessions,
+    "top_signals": signals_on_date,
+    "universe_groups": group_counts,
+    "attach_group": lambda s, sf: universe.attach_group(inputs.table(s, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker")), _brands(s, sf).filter("currency = 'c1'")),
     "merge_securities": lambda s, sf: universe.merge_securities(_universe(s, sf)),
     "pit_peers": pit_peers,
 }
@@ -135,6 +166,12 @@ m1 AS (SELECT *, first_value(date) OVER w AS entry, first_value(ca) OVER w AS oa
 m2 AS (SELECT *, -sign(z) / (1 + abs(beta)) * (ca / oa - 1) + sign(z) * beta / (1 + abs(beta)) * (cb / ob - 1) AS path FROM m1),
 m3 AS (SELECT *, greatest(0, max(path) OVER (PARTITION BY a, b ORDER BY date)) AS peak FROM m2), m4 AS (SELECT *, min(path - peak) OVER (PARTITION BY a, b ORDER BY date) AS dd FROM m3)
 SELECT a, b, as_of, entry, horizon, date, round(path * 100, 4) + 0 AS return_pct, round(dd * 100, 4) + 0 AS drawdown_pct FROM m4 WHERE horizon IN (1, 5, 10, 20)""",
+    "scan_dates": f"{_BASE}, c AS (SELECT date, row_number() OVER (ORDER BY date) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM weekly)) SELECT date AS as_of FROM c WHERE pos > {OBS} AND n - pos >= 20",
+    "resolve_session": f"{_BASE} SELECT asked, (SELECT max(date) FROM weekly WHERE date <= asked) AS as_of FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS asked FROM orders)",
+    "top_signals": f"{_BASE}, {_CAL}, {_TOP}, {_fits(_PAST)}, {_Z} SELECT a, b, round(z, 4) + 0 AS z, row_number() OVER (ORDER BY abs(z) DESC, a, b) AS rank FROM zz WHERE date = DATE '{AS_OF}' QUALIFY rank <= 50",
+    "universe_groups": f"""{_BASE}, {_BRANDS}, m AS (SELECT DISTINCT ticker, universe || '|' || coalesce(currency, '') AS grp FROM brands WHERE mapping_status = 'mapped')
+SELECT grp, count(DISTINCT ticker) AS tickers, count(*) AS bars, min(date) AS first_date FROM weekly JOIN m USING (ticker) GROUP BY 1 HAVING count(DISTINCT ticker) >= 2""",
+    "attach_group": f"WITH {_BRANDS} SELECT p_partkey, p_brand AS ticker, coalesce((SELECT min(universe) FROM brands WHERE ticker = p_brand AND currency = 'c1'), 'unknown') AS \"group\" FROM part",
     "merge_securities": f"WITH {_UNIVERSE} SELECT upper(trim(ticker)) AS ticker, arg_min(name, input_pos) FILTER (WHERE trim(name) <> '') AS name, arg_min(sector, input_pos) FILTER (WHERE trim(coalesce(sector, '')) <> '') AS sector, string_agg(DISTINCT universe, ',' ORDER BY universe) AS universes FROM uni WHERE mapping_status = 'mapped' GROUP BY 1",
     "pit_peers": f"""WITH {_MEMBERSHIP}, v AS (SELECT * FROM mem WHERE valid_from <= DATE '2001-01-01' AND (valid_to IS NULL OR DATE '2001-01-01' < valid_to)),
 b AS (SELECT DISTINCT t.ticker, p.ticker AS peer FROM v t JOIN v p ON t.universe IS NOT DISTINCT FROM p.universe AND t.currency IS NOT DISTINCT FROM p.currency AND t.sector = p.sector AND t.ticker <> p.ticker AND (t.industry IS NULL OR t.industry = p.industry))

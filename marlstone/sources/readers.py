@@ -50,7 +50,7 @@ def read_news_archive(spark: SparkSession, path: str, as_of: str | None = None,
     The first seen (file, then position) of each title and day stays, or of each id and time with hindsight, which is marked.
     """
     raw = spark.read.schema(NEWS + ", _corrupt_record string").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    df = raw.withColumns({"ticker": F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1), "_pos": F.monotonically_increasing_id()})
+    df = raw.withColumns({"ticker": F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl?$", 1), "_pos": F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))})
     df = df.filter("_corrupt_record is null and url rlike '^https?://' and trim(coalesce(title, '')) <> '' and id is not null").drop("_corrupt_record")
     at = F.try_to_timestamp("published_at")
     bare = F.coalesce("published_date_only", F.lit(False)) | (F.length("published_at") == 10)
@@ -72,10 +72,10 @@ def read_universe_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_pair_fits(fits: DataFrame, path: str) -> None:
-    """Fits as Parquet by as_of; a pair's groups are collected."""
+    """Fits as Parquet by as_of; only the dates written are replaced; a pair's groups are collected."""
     rest = [c for c in fits.columns if c not in ("as_of", "a", "b", "grp")]
     one = fits.groupBy("as_of", "a", "b").agg(*[F.min_by(c, "grp").alias(c) for c in rest], F.array_sort(F.collect_set("grp")).alias("groups"))
-    one.write.mode("overwrite").partitionBy("as_of").parquet(path)
+    one.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("as_of").parquet(path)
 
 
 def read_pair_fits(spark: SparkSession, path: str, as_of: str) -> DataFrame:

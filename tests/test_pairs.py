@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import pairs, unitroot
+from marlstone.operators import pairs, unitroot, universe
 
 
 def test_mackinnon_at_published_critical_values():
@@ -68,3 +68,34 @@ def test_monitoring_uses_frozen_parameters(spark):
     rows = [("g", dt.date(2020, 1, 1 + i), t, float(100.0 * (np.exp(s) if t == "AAA" else 1))) for i, s in enumerate(spread) for t in ("AAA", "BBB")]
     out = pairs.monitor_pairs(spark.createDataFrame(rows, "grp string, date date, ticker string, close double"), fit, start="2020-01-01", end="2020-01-04").first()
     assert (out.n_days_flagged, out.first_flag, out.direction) == (2, dt.date(2020, 1, 2), "a_rich") and out.z_score == pytest.approx(3)
+
+
+def test_scan_dates_sessions_and_orders(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=2 * i) for i in range(10)]
+    bars = spark.createDataFrame([(d, t) for d in days for t in ("A", "B")], "date date, ticker string")
+    assert [r.as_of for r in pairs.scan_dates(bars, observations=3, after=4).orderBy("as_of").collect()] == days[3:6]
+    assert pairs.scan_dates(bars, observations=6, after=4).count() == 0
+    asked = spark.createDataFrame([(days[0] - dt.timedelta(days=1),), (days[2],), (days[2] + dt.timedelta(days=1),)], "asked date")
+    assert [r.as_of for r in pairs.resolve_session(bars, asked).orderBy("asked").collect()] == [None, days[2], days[2]]
+    fits = spark.createDataFrame([("g", "A", "B", 0.9, 0.04), ("h", "A", "B", 0.9, 0.04), ("g", "A", "C", 0.95, 0.04), ("g", "B", "C", 0.7, 0.2)], "grp string, a string, b string, correlation double, pvalue double")
+    assert [(r.a, r.b) for r in pairs.ordered_fits(fits).collect()] == [("A", "C"), ("A", "B"), ("A", "B"), ("B", "C")]
+    d = pairs.scan_diagnostics(bars.withColumn("grp", F.lit("g")), fits).first()
+    assert (d.price_securities, d.groups_processed, d.raw_fit_count, d.eligible_fit_count) == (2, 1, 4, 2)
+    signals = spark.createDataFrame([("A", "B", -3.0), ("A", "C", 3.0), ("B", "C", 1.0)], "a string, b string, z double")
+    assert [(r.a, r.b, r["rank"]) for r in pairs.top_signals(signals, 2).orderBy("rank").collect()] == [("A", "B", 1), ("A", "C", 2)]
+
+
+def test_groups_of_universe_and_currency(spark):
+    bars = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
+    members = spark.createDataFrame([("A", "u", None, "mapped"), ("B", "u", None, "mapped"), ("C", "u", "c", "mapped"), ("A", "v", "c", "mapped"), ("B", "v", "c", "unmapped"), ("A", "w", "c", "mapped"), ("C", "w", "c", "mapped")], "ticker string, universe string, currency string, mapping_status string")
+    got = sorted((r.grp, r.ticker) for r in universe.grouped_bars(bars, members).collect())
+    assert got == [("u|", "A"), ("u|", "B"), ("w|c", "A"), ("w|c", "C")]
+    assert [r["group"] for r in universe.attach_group(spark.createDataFrame([("A",), ("Z",)], "ticker string"), members).orderBy("ticker").collect()] == ["u", "unknown"]
+
+
+def test_a_pair_of_two_groups_is_one_signal(spark):
+    pdf = series()
+    two = pd.concat([pdf, pdf.assign(grp="h")])
+    dates = spark.createDataFrame([(dt.date(2020, 4, 20),)], "as_of date")
+    out = pairs.scan_as_of(spark.createDataFrame(two), dates, observations=100, floor=0.3, alpha=0.5, entry=0.0).collect()
+    assert len(out) == len({(r.a, r.b) for r in out}) > 0 and all(r.grp.startswith("h|") for r in out)
