@@ -151,7 +151,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     apart = written(links.filter("c_a <> c_b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).distinct(), "apart")
     if apart.isEmpty():
         return labels
-    later = components(apart).withColumnsRenamed({"id": "component", "component": "whole"})
+    later = components(apart).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     known = labels.join(later, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
     fresh = later.select(F.col("component").alias("id"), F.col("whole").alias("component")).join(labels.select("id"), "id", "left_anti")
     return written(known.unionByName(fresh), "labels")

@@ -437,3 +437,11 @@ def test_spans_of_rewriting_and_long_templates(spark):
     table = spark.createDataFrame([(1, 0, "user", "hello"), (1, 1, "assistant", "old"), (1, 2, "user", "x"), (1, 3, "assistant", "new")], "conv_id long, turn long, role string, text string")
     r = chat_format.formatted(table, last).first()
     assert r.rewrites_history and r.turn_spans == [] and [r.output[s.start : s.end] for s in r.loss_spans] == ["new"]
+
+
+def test_new_links_join_components(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (7, 7), (8, 7)], "id long, component long")
+    links = spark.createDataFrame([(2, 4), (4, 2), (1, 2), (9, 8), (0, 3), (20, 21)], "a long, b long")
+    got = {r.id: r.component for r in jaccard_join._merged(labels, links).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
+    assert {r.id: r.component for r in jaccard_join._merged(labels, links.filter("a = 1")).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 7: 7, 8: 7}
