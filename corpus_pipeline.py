@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with the columns of documents; the last gives
 what the mix takes of each document. ``run`` writes each stage's rows as Parquet in the shared folder and reads them
-for the next one. No SQL states the first stage (a trained classifier) nor the last (a hash-ranked sample), so
+for the next one. Stages keep null ids and sources, repeated rows and ties as their operators say (a document without text or
+letters goes in the first stage), run on tables without rows, and return the columns of documents alone: extra ones end at the first stage. No SQL states the first stage (a trained classifier) nor the last (a hash-ranked sample), so
 ORACLE_SQL is None; tests hold the stages against brute force.
 """
 
