@@ -89,11 +89,60 @@ def timeline_steps(nodes: DataFrame, cutoff: str) -> DataFrame:
     return nodes.select("graph_id").distinct().withColumn("step", F.lit(cutoff).cast("timestamp")).unionByName(later)
 
 
-def evidence_roles(edges: DataFrame, statuses: DataFrame) -> DataFrame:
-    """(graph_id, node_id, role): support, counter or context by the edges of nodes available at the cutoff."""
-    role = F.when(F.col("kind").isin("supports", "strengthens"), "support").when(F.col("kind").isin("contradicts", "weakens"), "counter").when(F.col("kind") == "context", "context")
-    shown = statuses.filter(F.col("status").isin("available_at_cutoff", "derived_from_available_evidence", "context")).select("graph_id", F.col("node_id").alias("source"))
-    return edges.join(shown, ["graph_id", "source"], "left_semi").select("graph_id", F.col("source").alias("node_id"), role.alias("role")).filter("role is not null").distinct()
+def evidence_roles(edges: DataFrame, statuses: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node_id, role): support, counter or context by edges, and by the kinds of nodes if given, of what was available at the cutoff."""
+    kind = F.col("kind")
+    of_source = F.when(kind.isin("supports", "strengthens"), "support").when(kind.isin("contradicts", "weakens"), "counter").when(kind.isin("context", "context_for"), "context")
+    of_target = F.when(kind == "supported_by", "support").when(kind == "contradicted_by", "counter")
+    ends = F.array(F.struct(F.col("source").alias("node_id"), of_source.alias("role")), F.struct(F.col("target").alias("node_id"), of_target.alias("role")))
+    found = edges.select("graph_id", F.inline(ends))
+    if nodes is not None:
+        found = found.unionByName(nodes.select("graph_id", "node_id", F.when(kind == "evidence", "support").when(kind == "counter_evidence", "counter").alias("role")))
+    shown = statuses.filter(F.col("status").isin("available_at_cutoff", "derived_from_available_evidence")).select("graph_id", "node_id")
+    return found.filter("role is not null").join(shown, ["graph_id", "node_id"], "left_semi").distinct()
+
+
+#: The kinds of nodes that each count takes.
+COUNTED = {"claims": ["claim", "primary_claim", "subclaim"], "hypotheses": ["hypothesis"], "assumptions": ["assumption"], "missing_evidence": ["missing_evidence"], "calculations": ["calculation"], "sources": ["source"]}
+
+
+def graph_counts(nodes: DataFrame, roles: DataFrame) -> DataFrame:
+    """(graph_id, a count for each of COUNTED, evidence, counter_evidence, context) with zeros, for each graph that has nodes."""
+    per = nodes.groupBy("graph_id").agg(*[F.count_if(F.col("kind").isin(kinds)).alias(name) for name, kinds in COUNTED.items()])
+    by = lambda r: F.countDistinct(F.when(F.col("role") == r, F.col("node_id")))
+    held = roles.groupBy("graph_id").agg(by("support").alias("evidence"), by("counter").alias("counter_evidence"), by("context").alias("context"))
+    return per.join(held, "graph_id", "left").fillna(0, ["evidence", "counter_evidence", "context"])
+
+
+def requirement_coverage(requirements: DataFrame) -> DataFrame:
+    """(graph_id, total, satisfied, unknown) of requirements (graph_id, status); any other or no status is unknown."""
+    known = F.col("status").isin("satisfied", "unsatisfied", "partial")
+    return requirements.groupBy("graph_id").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "satisfied").alias("satisfied"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
+
+
+#: What evidence an assessment can be of, and how it can relate to a hypothesis.
+SOURCE_KINDS = ["claim", "observation", "calculation", "inference"]
+RELATIONS = ["supports", "contradicts", "weakens", "context_for", "unrelated"]
+
+
+def relationship_diagnostics(assessed: DataFrame) -> DataFrame:
+    """(graph_id, source_kind, relation, n), zeros included; source_kind 'all' is the sum over every kind.
+
+    assessed: (graph_id, source_kind, relation). One aggregation, whose counts then become rows.
+    """
+    cells = [(k, r, (F.col("relation") == r) & (F.lit(True) if k == "all" else F.col("source_kind") == k)) for k in ["all", *SOURCE_KINDS] for r in RELATIONS]
+    wide = assessed.groupBy("graph_id").agg(*[F.count_if(c).alias(f"{k}.{r}") for k, r, c in cells])
+    rows = F.array(*[F.struct(F.lit(k).alias("source_kind"), F.lit(r).alias("relation"), F.col(f"`{k}.{r}`").alias("n")) for k, r, _ in cells])
+    return wide.select("graph_id", F.inline(rows))
+
+
+def pair_set_violations(expected: DataFrame, returned: DataFrame) -> DataFrame:
+    """(source_kind, source_id, hypothesis_id, violation): pairs that are missing, unexpected or repeated in what was returned (U8)."""
+    key = ["source_kind", "source_id", "hypothesis_id"]
+    asked = expected.select(*key, F.lit(1).alias("asked"), F.lit(0).alias("given"))
+    both = asked.unionByName(returned.select(*key, F.lit(0).alias("asked"), F.lit(1).alias("given"))).groupBy(*key).agg(F.max("asked").alias("asked"), F.sum("given").alias("given"))
+    wrong = F.array_compact(F.array(F.when(F.col("given") == 0, "missing"), F.when(F.col("asked") == 0, "unexpected"), F.when(F.col("given") > 1, "repeated")))
+    return both.select(*key, F.explode(wrong).alias("violation"))
 
 
 def temporal_summary(roles: DataFrame) -> DataFrame:

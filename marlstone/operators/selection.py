@@ -85,3 +85,13 @@ def assessment_band(score: Column) -> Column:
 def source_category(explicit: Column, kind: Column, derived: list[str]) -> Column:
     """The given category, DERIVED for calculated kinds, else Unclassified."""
     return F.coalesce(F.when(F.trim(explicit) != "", explicit), F.when(kind.isin(derived), "DERIVED"), F.lit("Unclassified"))
+
+
+def unique_items(lists: DataFrame) -> DataFrame:
+    """(list_id, items): each list (list_id, items array) trimmed, without blanks, and of items equal in lower case only the first.
+
+    Lists without such an item give no row. Items are grouped before they are put together again, so long lists cost no quadratic work.
+    """
+    one = lists.select("list_id", F.posexplode("items").alias("at", "item")).withColumn("item", F.trim("item")).filter("item <> ''")
+    first = one.groupBy("list_id", F.lower("item").alias("low")).agg(F.min(F.struct("at", "item")).alias("x"))
+    return first.groupBy("list_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["item"]).alias("items"))

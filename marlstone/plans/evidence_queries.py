@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.operators import fundamentals, graph, news, retrieval, scoring
+from marlstone.operators import fundamentals, graph, news, retrieval, scoring, selection
 from marlstone.plans.inputs import table
 from marlstone.plans.market_queries import Query, rounded
 
@@ -273,6 +273,40 @@ def _seen_roles(spark: SparkSession, sf: str) -> DataFrame:
     return graph.evidence_roles(edges.filter(F.col("target").startswith("CLM-")), known)
 
 
+def _diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as assessments: roles as kinds of source, stances as relations, without a use where k is a multiple of 5."""
+    role, k = F.col("role"), F.col("k")
+    kind = F.when(role == "primary_source", "claim").when(role == "independent_reporting", "observation").when(role == "market_data", "calculation").otherwise("inference")
+    relation = F.when(k % 5 == 0, "unrelated").when(F.col("stance") == "context", "context_for").otherwise(F.col("stance"))
+    k_of = table(spark, sf, "events").select(F.col("event_id").alias("evidence_id"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    ev = _evidence(spark, sf)[1].join(k_of, "evidence_id")
+    return graph.relationship_diagnostics(ev.select(F.col("assessment_id").alias("graph_id"), kind.alias("source_kind"), relation.alias("relation")))
+
+
+def _graph_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.graph_counts(_graph_nodes(spark, sf), _seen_roles(spark, sf))
+
+
+def _coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a customer's requirements."""
+    status = F.when(F.col("o_orderstatus") == "F", "satisfied").when(F.col("o_orderstatus") == "O", "unsatisfied")
+    return graph.requirement_coverage(table(spark, sf, "orders").select(F.col("o_custkey").alias("graph_id"), status.alias("status")))
+
+
+def _pair_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with suppliers: expected of the lines not accepted, returned of those that left the shop; pending orders come back with their customer instead."""
+    line, order = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    named = lambda df, i, h: df.select(F.lit("claim").alias("source_kind"), F.col(i).cast("long").alias("source_id"), F.col(h).cast("long").alias("hypothesis_id"))
+    expected = named(line.filter("l_returnflag <> 'A'"), "l_orderkey", "l_suppkey")
+    returned = named(line.filter("l_returnflag <> 'N'"), "l_orderkey", "l_suppkey").unionByName(named(order.filter("o_orderstatus = 'P'"), "o_orderkey", "o_custkey"))
+    return graph.pair_set_violations(expected, returned)
+
+
+def _unique_words(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("list_id"), F.split("text", " ").alias("items"))
+    return selection.unique_items(c).select("list_id", F.concat_ws("|", "items").alias("items"), F.size("items").cast("long").alias("n"))
+
+
 def _violations(spark: SparkSession, sf: str) -> DataFrame:
     one = lambda n, key, alias: table(spark, sf, n).select(F.lit("g").alias("graph_id"), F.col(key).cast("long").alias(alias))
     c = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.lit("g").alias("graph_id"), F.col("c_custkey").alias("id"))
@@ -323,6 +357,11 @@ QUERIES: dict[str, Query] = {
     "review_state": _reviews,
     "page_documents": _pages,
     "evidence_roles": _seen_roles,
+    "graph_counts": _graph_counts,
+    "relationship_diagnostics": _diagnostics,
+    "requirement_coverage": _coverage,
+    "pair_set_violations": _pair_sets,
+    "unique_items": _unique_words,
     "temporal_summary": lambda s, sf: graph.temporal_summary(_seen_roles(s, sf)),
     "filtered_edges": lambda s, sf: graph.filtered_edges(_lineage(s, sf), _statuses(s, sf).filter("status <> 'date_unknown'").select(F.lit("g").alias("graph_id"), "node_id")).select("source", "target"),
     "timeline_steps": lambda s, sf: graph.timeline_steps(_nodes(s, sf), "2024-01-03 00:00:00").select("step"),
@@ -353,6 +392,22 @@ FROM quarters x, (VALUES ('qoq', 1, 70, 110), ('yoy', 4, 350, 380)) k(cadence, k
     "graph_nodes": f"""{_GRAPH}, {_IDS} SELECT graph_id, clm AS node_id, 'claim' AS kind FROM i UNION SELECT graph_id, evd, 'evidence' FROM i UNION SELECT graph_id, src, 'source' FROM i UNION SELECT graph_id, sub, 'subclaim' FROM ci""",
     "graph_edges": f"""{_GRAPH}, {_IDS} SELECT graph_id, sub AS source, clm AS target, 'part_of' AS kind FROM ci UNION SELECT graph_id, evd, sub, 'supports' FROM ci UNION SELECT graph_id, evd, src, 'derived_from' FROM i UNION SELECT graph_id, evd, clm, stance FROM i""",
     "evidence_roles": f"{_GRAPH}, {_IDS} {_ROLES_SQL}",
+    "graph_counts": f"""{_GRAPH}, {_IDS}, ro AS ({_ROLES_SQL}),
+no AS (SELECT graph_id, clm AS node_id, 'claim' AS kind FROM i UNION SELECT graph_id, evd, 'evidence' FROM i UNION SELECT graph_id, src, 'source' FROM i UNION SELECT graph_id, sub, 'subclaim' FROM ci)
+SELECT graph_id, count(*) FILTER (WHERE kind IN ('claim', 'primary_claim', 'subclaim')) AS claims, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {n}" for k, n in (("hypothesis", "hypotheses"), ("assumption", "assumptions"), ("missing_evidence", "missing_evidence"), ("calculation", "calculations"), ("source", "sources")))},
+  {", ".join(f"(SELECT count(DISTINCT node_id) FROM ro WHERE ro.graph_id = no.graph_id AND role = '{r}') AS {n}" for r, n in (("support", "evidence"), ("counter", "counter_evidence"), ("context", "context")))} FROM no GROUP BY graph_id""",
+    "relationship_diagnostics": f"""WITH {_EV}, d AS (SELECT assessment_id AS graph_id, CASE role WHEN 'primary_source' THEN 'claim' WHEN 'independent_reporting' THEN 'observation' WHEN 'market_data' THEN 'calculation' ELSE 'inference' END AS source_kind,
+  CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 5 = 0 THEN 'unrelated' WHEN stance = 'context' THEN 'context_for' ELSE stance END AS relation FROM ev JOIN events ON event_id = evidence_id),
+cells AS (SELECT graph_id, k AS source_kind, r AS relation FROM (SELECT DISTINCT graph_id FROM d), unnest(['all', 'claim', 'observation', 'calculation', 'inference']) u(k), unnest(['supports', 'contradicts', 'weakens', 'context_for', 'unrelated']) v(r))
+SELECT cells.graph_id, cells.source_kind, cells.relation, count(d.graph_id) AS n FROM cells LEFT JOIN d ON d.graph_id = cells.graph_id AND d.relation = cells.relation AND (cells.source_kind = 'all' OR d.source_kind = cells.source_kind) GROUP BY 1, 2, 3""",
+    "requirement_coverage": "SELECT o_custkey AS graph_id, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS satisfied, count(*) FILTER (WHERE o_orderstatus IS NULL OR o_orderstatus NOT IN ('F', 'O')) AS unknown FROM orders GROUP BY 1",
+    "pair_set_violations": """WITH want AS (SELECT DISTINCT l_orderkey::BIGINT AS s, l_suppkey::BIGINT AS h FROM lineitem WHERE l_returnflag <> 'A'),
+got AS (SELECT l_orderkey::BIGINT AS s, l_suppkey::BIGINT AS h FROM lineitem WHERE l_returnflag <> 'N' UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P')
+SELECT 'claim' AS source_kind, s AS source_id, h AS hypothesis_id, 'missing' AS violation FROM (SELECT * FROM want EXCEPT SELECT * FROM got) UNION ALL SELECT 'claim', s, h, 'unexpected' FROM (SELECT * FROM got EXCEPT SELECT * FROM want)
+UNION ALL SELECT 'claim', s, h, 'repeated' FROM got GROUP BY s, h HAVING count(*) > 1""",
+    "unique_items": """WITH w AS (SELECT conv_id || '-' || turn AS list_id, unnest(string_split(text, ' ')) AS item, generate_subscripts(string_split(text, ' '), 1) AS at_ FROM conversations),
+f AS (SELECT list_id, lower(trim(item)) AS low, min(at_) AS at_, arg_min(trim(item), at_) AS item FROM w WHERE trim(item) <> '' GROUP BY 1, 2)
+SELECT list_id, string_agg(item, '|' ORDER BY at_) AS items, count(*) AS n FROM f GROUP BY 1""",
     "temporal_summary": f"""{_GRAPH}, {_IDS}, ro AS ({_ROLES_SQL}) SELECT graph_id, count(DISTINCT node_id) AS evidence, count(DISTINCT CASE WHEN role = 'support' THEN node_id END) AS support, count(DISTINCT CASE WHEN role = 'counter' THEN node_id END) AS counter FROM ro GROUP BY 1""",
     "filtered_edges": f"WITH st AS ({_STATUS}), {_LINEAGE} SELECT DISTINCT source, target FROM e WHERE source IN (SELECT node_id FROM st WHERE status <> 'date_unknown') AND target IN (SELECT node_id FROM st WHERE status <> 'date_unknown')",
     "timeline_steps": "SELECT TIMESTAMP '2024-01-03 00:00:00' AS step UNION SELECT TIMESTAMP '2024-01-01 00:00:00' + to_days(r_regionkey) FROM region WHERE r_regionkey > 2 AND r_regionkey IN (SELECT n_regionkey FROM nation)",

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import fundamentals, graph, news, retrieval, scoring, universe
+from marlstone.operators import fundamentals, graph, news, retrieval, scoring, selection, universe
 from marlstone.streaming import live
 
 D = dt.date
@@ -136,3 +136,35 @@ def test_streams(spark, tmp_path):
     fits = spark.createDataFrame([("A", "B", 0.0, 1.0, 0.0, 0.1)], "a string, b string, const double, beta double, spread_mean double, spread_std double")
     out = run(live.live_monitor(spark.readStream.schema("ts timestamp, ticker string, close double").parquet(str(tmp_path / "b")), fits), "monitor")
     assert [(r.a, r.b, round(r.z, 3)) for r in out] == [("A", "B", 3.185)]
+
+
+def test_roles_by_both_ends_of_edges_and_kinds_of_nodes(spark):
+    edges = spark.createDataFrame([("g", "a", "h", "supports"), ("g", "h", "b", "supported_by"), ("g", "c", "h", "weakens"), ("g", "h", "d", "contradicted_by"), ("g", "e", "h", "context_for"), ("g", "late", "h", "supports"), ("g", "ctx", "h", "supports")], "graph_id string, source string, target string, kind string")
+    nodes = spark.createDataFrame([("g", "a", "evidence"), ("g", "f", "counter_evidence"), ("g", "h", "hypothesis"), ("g", "s", "subclaim"), ("other", "x", "calculation")], "graph_id string, node_id string, kind string")
+    fine = [("g", n, "available_at_cutoff") for n in "abcdf"] + [("g", "e", "derived_from_available_evidence"), ("g", "late", "appeared_after_cutoff"), ("g", "ctx", "context")]
+    roles = graph.evidence_roles(edges, spark.createDataFrame(fine, "graph_id string, node_id string, status string"), nodes)
+    assert {(r.node_id, r.role) for r in roles.collect()} == {("a", "support"), ("b", "support"), ("c", "counter"), ("d", "counter"), ("e", "context"), ("f", "counter")}
+    counts = {r.graph_id: r for r in graph.graph_counts(nodes, roles).collect()}
+    g, other = counts["g"], counts["other"]
+    assert (g.claims, g.hypotheses, g.evidence, g.counter_evidence, g.context, g.calculations) == (1, 1, 2, 3, 1, 0)
+    assert (other.calculations, other.evidence, other.claims) == (1, 0, 0)
+
+
+def test_coverage_diagnostics_and_pair_sets(spark):
+    required = spark.createDataFrame([("g", s) for s in ("satisfied", "satisfied", "partial", "unsatisfied", None, "odd")], "graph_id string, status string")
+    assert [tuple(r) for r in graph.requirement_coverage(required).collect()] == [("g", 6, 2, 2)]
+    assessed = spark.createDataFrame([("g", "claim", "supports"), ("g", "claim", "supports"), ("g", "inference", "weakens"), ("g", "novel", "supports")], "graph_id string, source_kind string, relation string")
+    rows = {(r.source_kind, r.relation): r.n for r in graph.relationship_diagnostics(assessed).collect()}
+    assert len(rows) == 25 and sum(n for (k, _), n in rows.items() if k != "all") == 3  # a kind of its own counts in the sum alone
+    assert rows["all", "supports"] == 3 and rows["claim", "supports"] == 2 and rows["inference", "weakens"] == 1 and rows["calculation", "unrelated"] == 0
+    schema = "source_kind string, source_id long, hypothesis_id long"
+    expected = spark.createDataFrame([("claim", 1, 1), ("claim", 2, 1)], schema)
+    returned = spark.createDataFrame([("claim", 1, 1), ("claim", 1, 1), ("claim", 3, 1), ("claim", 3, 1)], schema)
+    found = {(r.source_id, r.violation) for r in graph.pair_set_violations(expected, returned).collect()}
+    assert found == {(2, "missing"), (1, "repeated"), (3, "unexpected"), (3, "repeated")}
+    assert graph.pair_set_violations(expected, expected).isEmpty()
+
+
+def test_unique_items_keep_the_first(spark):
+    lists = spark.createDataFrame([(1, [" Oil ", "gas", "OIL", "", None, "Gas", "coal"]), (2, ["  "]), (3, None)], "list_id long, items array<string>")
+    assert [tuple(r) for r in selection.unique_items(lists).collect()] == [(1, ["Oil", "gas", "coal"])]
