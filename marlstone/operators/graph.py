@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marlstone.plans.shared import cut
+from marlstone.plans.shared import cut, written
 
 #: Edge kinds that lead to what a node was made from.
 LINEAGE = ["derived_from", "calculated_from", "observed_in", "inferred_from", "extracted_from"]
@@ -65,7 +65,7 @@ def temporal_statuses(nodes: DataFrame, edges: DataFrame, cutoff: str) -> DataFr
         decided = cut(decided.filter("new is not null").select("graph_id", "node_id", "new"))
         if decided.isEmpty():
             break
-        state = cut(state.join(decided, ["graph_id", "node_id"], "left").withColumn("status", F.coalesce("status", "new")).drop("new"))
+        state = written(state.join(decided, ["graph_id", "node_id"], "left").withColumn("status", F.coalesce("status", "new")).drop("new"), "statuses")
     return state.select("graph_id", "node_id", F.coalesce("status", F.lit("date_unknown")).alias("status"))
 
 
