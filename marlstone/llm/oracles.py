@@ -53,3 +53,43 @@ s AS (SELECT r, q, start, any_value(n) AS n, any_value(m) AS m, sum(least(a.c, e
 x AS (SELECT doc_id, item_id, max(shared / (least(m, n - start) + m - shared)) AS similarity FROM s JOIN d USING (r) JOIN b USING (q) GROUP BY ALL)
 SELECT doc_id, item_id, round(similarity, 6) AS similarity FROM x WHERE similarity >= 0.8
 """
+
+_LETTERS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS[0]}', '{_LETTERS[1]}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+s AS (SELECT count(*)::BIGINT AS total, sum(len(t))::BIGINT AS size FROM d WHERE len(t) > 0),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS term FROM d) GROUP BY r, term),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, s WHERE term IN (SELECT term FROM q) GROUP BY term, total),
+m AS (SELECT r, doc_id, 75 + (25 * len(t)::BIGINT * total) // size AS m FROM d, s WHERE len(t) > 0),
+x AS (SELECT item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r),
+y AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT * FROM y WHERE rank <= 20
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+again AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM g JOIN again USING (g), unnest(range(0, 35)) AS v(k)),
+left_ AS (
+  SELECT p.r, string_agg(word, ' ' ORDER BY p.p) AS kept, count(*) AS n
+  FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) AS p LEFT JOIN gone ON p.r = gone.r AND p.p = gone.p WHERE gone.p IS NULL GROUP BY p.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ USING (r)
+"""
+
+OP13 = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM e AS a JOIN e AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other))::INTEGER AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
