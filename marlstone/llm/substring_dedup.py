@@ -6,11 +6,12 @@
 2. How often each minimiser occurs is counted over all documents. Two bitmaps of fixed size (2^``bits`` bits each) hold what occurs twice or more, and what
    occurs ``hot`` times or more. A super-k-mer whose minimiser occurs once can't repeat, so it doesn't travel. A bitmap errs by saying
    yes too often, which costs time and changes no result.
-3. A minimiser that is hot gets its bucket split: each of its windows takes all its words as the minimiser and travels alone. Equal strings
-   are counted before the shuffle ends, so a passage that a third of all documents hold arrives as one row a task.
+3. A minimiser that is hot gets its bucket split: each of its windows takes all its words as the minimiser and travels alone. Tasks count
+   equal strings before they send them, so a passage that a third of all documents hold arrives about once a task.
 4. Within a bucket (strings sorted by minimiser), the windows' hashes are sorted; equal ones of different strings are compared word by word
    before they count. Within one super-k-mer no two windows can be equal, as their minimiser stands at different places.
-5. The windows found go back to the documents by the string's 128-bit digest, and the words they cover are removed.
+5. The windows found go back to the documents by the string's 128-bit digest, and the words they cover are removed. A third bitmap, of the texts that
+   have any, lets the others be finished where they are.
 
 Edge cases: a null or empty text has no words, nothing to remove and an empty kept text; a text of fewer words than a window keeps all; rows are told apart by text, so a null or repeated doc_id
 changes nothing, and of two equal texts both lose their windows; overlapping windows of one text (``a a a ...``) count as repeats of each other; very long texts
@@ -24,74 +25,36 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.llm.hashing import MIX, Words, grams, least, mixed, parts
 from marlstone.llm.text import unused
 from marlstone.plans.shared import arrow_rows, written
 
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-_LETTER = (np.arange(1, 257, dtype=np.uint64) * _MIX[0]) ^ (np.arange(1, 257, dtype=np.uint64) * _MIX[1] >> np.uint64(29))
-_powers = np.ones(1, dtype=np.uint64)
+_PLACE = np.uint64((1 << 20) - 1)
 
 
-def _power(n: int) -> np.ndarray:
-    """The powers 0 to n - 1 of an odd number, modulo 2^64."""
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, _MIX[2])]), dtype=np.uint64)
-    return _powers[:n]
+def super_kmers(words: Words, window: int, minimiser: int, chunk: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(at, n, minimiser's hash): the runs of windows within a text, by first window and their number, that share a minimiser's place.
 
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
-    return h ^ (h >> np.uint64(29))
-
-
-class Words:
-    """A text's words with one space between them, their places, and their 64-bit hashes. bytes.split() knows ASCII alone, as is wanted."""
-
-    def __init__(self, text: str | bytes | None) -> None:
-        data = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text) if text else b""
-        self.packed = b" ".join(data.split())
-        raw = np.frombuffer(self.packed, dtype=np.uint8)
-        spaces = np.flatnonzero(raw == 32)
-        self.starts = np.concatenate([[0], spaces + 1]) if len(raw) else np.empty(0, dtype=np.int64)
-        self.ends = np.concatenate([spaces, [len(raw)]]) if len(raw) else self.starts
-
-    def __len__(self) -> int:
-        return len(self.starts)
-
-    def hashes(self) -> np.ndarray:
-        raw = np.frombuffer(self.packed + b" ", dtype=np.uint8)
-        lengths = self.ends - self.starts + 1  # the space behind a word counts with it
-        place = np.arange(len(raw)) - np.repeat(self.starts, lengths)
-        return _mixed(np.add.reduceat(_LETTER[raw] * _power(int(lengths.max()))[place], self.starts))
-
-    def part(self, at: int, n: int) -> bytes:
-        """The words from ``at`` on, ``n`` of them, packed."""
-        return self.packed[self.starts[at] : self.ends[at + n - 1]]
-
-
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of n words."""
-    size = len(hashes) - n + 1
-    out = np.zeros(size, dtype=np.uint64)
-    for k in range(n):
-        out = out * _MIX[1] + hashes[k : k + size]
-    return _mixed(out)
-
-
-def super_kmers(hashes: np.ndarray, window: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(at, n, minimiser's hash): the runs of windows, by first window and their number, that share a minimiser's place."""
-    if len(hashes) < window:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    g = grams(hashes, minimiser)
-    wide = np.lib.stride_tricks.sliding_window_view(g, window - minimiser + 1)
-    place = wide.argmin(axis=1) + np.arange(len(wide))
-    at = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
-    return at, np.diff(np.concatenate([at, [len(place)]])), g[place[at]]
+    The order of minimisers is that of the upper 44 bits of their hashes, then of their places, which are the lower 20: ``chunk`` windows are taken at a time.
+    """
+    hashes, text = words.hashes(), np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64))]
+    for low in range(0, len(hashes) - window + 1, chunk):
+        part = slice(low, low + chunk + window - 1)
+        g = grams(hashes[part], minimiser)
+        place = (least((g & ~_PLACE) | np.arange(len(g), dtype=np.uint64), window - minimiser + 1) & _PLACE).astype(np.int64)
+        owner = text[part]
+        place[owner[: len(place)] != owner[window - 1 :]] = -1  # windows over two texts
+        at = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        n = np.diff(np.concatenate([at, [len(place)]]))
+        keep = place[at] >= 0
+        found.append((at[keep] + low, n[keep], g[place[at[keep]]]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _width(window: int, minimiser: int) -> int:
@@ -99,30 +62,37 @@ def _width(window: int, minimiser: int) -> int:
     return min(window, max(minimiser, window - 61))
 
 
+def _bitmap(held: DataFrame, columns: dict[str, object], bits: int) -> list[np.ndarray]:
+    """A bitmap of 2^bits bits for each column of flags: of the upper bits of ``h`` where the flag holds. At most 2^(bits - 6) rows come to the driver."""
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    rows = held.select(F.shiftright(slot, 6).cast("int").alias("word"), *[F.when(flag, bit).otherwise(F.lit(0).cast("long")).alias(name) for name, flag in columns.items()])
+    table = rows.groupBy("word").agg(*[F.bit_or(name).alias(name) for name in columns]).toArrow()
+    out = []
+    for name in columns:
+        made = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        made[table.column("word").to_numpy()] = table.column(name).to_numpy().view(np.uint64)
+        out.append(made)
+    return out
+
+
 def _bitmaps(docs: DataFrame, window: int, minimiser: int, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """The bitmaps of the minimisers that occur twice or more, and ``hot`` times or more: each of 2^bits bits whatever the input."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.empty(0, dtype=np.uint64)]
-            for text in batch.column(0):
-                words = Words(text.as_py())
-                if len(words) >= window:
-                    found.append(super_kmers(words.hashes(), window, minimiser)[2])
+            found = [super_kmers(Words(some), window, minimiser)[2] for _, some in parts(batch.column(0).to_pylist())] or [np.empty(0, dtype=np.uint64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     counts = docs.select("text").mapInArrow(make, "h long").groupBy("h").count().filter("count > 1")
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    held = counts.select(F.shiftright(slot, 6).cast("int").alias("word"), bit.alias("bit"), (F.col("count") >= hot).alias("hot"))
-    held = held.groupBy("word").agg(F.bit_or("bit").alias("some"), F.bit_or(F.when(F.col("hot"), F.col("bit")).otherwise(F.lit(0).cast("long"))).alias("hot"))
-    table = held.toArrow()  # at most 2^(bits - 6) rows
-    out = []
-    for name in ("some", "hot"):
-        made = np.zeros(1 << (bits - 6), dtype=np.uint64)
-        made[table.column("word").to_numpy()] = table.column(name).to_numpy().view(np.uint64)
-        out.append(made)
-    return out[0], out[1]
+    some, many = _bitmap(counts, {"some": F.lit(True), "hot": F.col("count") >= hot}, bits)
+    return some, many
+
+
+def _marked(marks: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of the texts that have marks, by the first eight bytes of their keys."""
+    h = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    return _bitmap(marks.select(h.alias("h")), {"some": F.lit(True)}, bits)[0]
 
 
 def _held(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
@@ -130,20 +100,18 @@ def _held(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def travelling(words: Words, bitmaps: tuple[np.ndarray, np.ndarray], window: int, minimiser: int, bits: int) -> list[tuple[int, int, int]]:
-    """(first window, number of windows, minimiser's hash) of the strings of a text that travel."""
-    if len(words) < window:
-        return []
-    hashes = words.hashes()
-    at, n, h = super_kmers(hashes, window, minimiser)
+def travelling(words: Words, bitmaps: tuple[np.ndarray, np.ndarray], window: int, minimiser: int, bits: int) -> list[tuple[int, int, int, int]]:
+    """(text, first window within it, number of windows, minimiser's hash) of the strings that travel; windows by their words from the text's first on."""
+    at, n, h = super_kmers(words, window, minimiser)
     keep = _held(bitmaps[0], h, bits)
     at, n, h = at[keep], n[keep], h[keep]
     hot = _held(bitmaps[1], h, bits)
-    out = list(zip(at[~hot].tolist(), n[~hot].tolist(), h[~hot].view(np.int64).tolist(), strict=True))
     if hot.any():
-        own = grams(hashes, window).view(np.int64)
-        out += [(i, 1, int(own[i])) for a, k in zip(at[hot].tolist(), n[hot].tolist(), strict=True) for i in range(a, a + k)]
-    return out
+        alone = np.concatenate([np.arange(a, a + k) for a, k in zip(at[hot].tolist(), n[hot].tolist(), strict=True)])
+        own = grams(words.hashes(), window)
+        at, n, h = np.concatenate([at[~hot], alone]), np.concatenate([n[~hot], np.ones(len(alone), dtype=np.int64)]), np.concatenate([h[~hot], own[alone]])
+    text = np.searchsorted(words.first, at, side="right") - 1
+    return list(zip(text.tolist(), (at - words.first[text]).tolist(), n.tolist(), h.view(np.int64).tolist(), strict=True))
 
 
 def _key(text: str) -> bytes:
@@ -160,14 +128,13 @@ def repeated_in(groups: np.ndarray, strings: list[bytes], copies: np.ndarray, wi
     many = np.flatnonzero(~alone).tolist()
     if not many:
         return masks
-    words = Words(b" ".join([strings[k] for k in many]))
+    words = Words([strings[k] for k in many])
     h = grams(words.hashes(), window)
     n = np.array([sizes[k] for k in many])
-    first = np.concatenate([[0], np.cumsum(n + window - 1)[:-1]])  # each string's first word
     owner = np.repeat(np.arange(len(many)), n)
     bit = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    place = first[owner] + bit
-    h = _mixed(h[place] ^ groups[np.array(many)][owner].view(np.uint64) * _MIX[2])
+    place = words.first[owner] + bit
+    h = mixed(h[place] ^ groups[np.array(many)][owner].view(np.uint64) * MIX[2])
     by = np.argsort(h, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], h[by][1:] != h[by][:-1], [True]]))
     for a in np.flatnonzero(np.diff(edges) > 1).tolist():
@@ -182,64 +149,76 @@ def repeated_in(groups: np.ndarray, strings: list[bytes], copies: np.ndarray, wi
     return masks
 
 
-def _repeats(docs: DataFrame, bitmaps: tuple, window: int, minimiser: int, bits: int) -> DataFrame:
-    """(run, mask): the strings that hold windows which occur again, by digest, and which of their windows those are."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+def _repeats(docs: DataFrame, bitmaps: Broadcast, window: int, minimiser: int, bits: int, buffer: int = 48_000_000) -> DataFrame:
+    """(run, mask): the strings that hold windows which occur again, by digest, and which of their windows those are.
+
+    A task counts equal strings in ``buffer`` bytes before it sends them, so one that occurs everywhere arrives about once a task.
+    """
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, size = {}, 0
+
+        def flushed() -> pa.RecordBatch:
+            rows = list(known.items())
+            columns = [pa.array([h for (h, _), _ in rows], pa.int64()), pa.array([s for (_, s), _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["h", "packed", "copies"])
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, strings = [], []
-            for text in batch.column(0):
-                words = Words(text.as_py())
-                for at, n, h in travelling(words, shared.value, window, minimiser, bits):
-                    found.append(h)
-                    strings.append(words.part(at, n + window - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(strings, pa.binary())], ["h", "packed"])
+            for _, some in parts(batch.column(0).to_pylist()):
+                words = Words(some)
+                for text, at, n, h in travelling(words, bitmaps.value, window, minimiser, bits):
+                    string = words.part(int(words.first[text]) + at, n + window - 1)
+                    if (h, string) not in known:
+                        known[h, string], size = 0, size + len(string) + 200
+                    known[h, string] += 1
+                if size > buffer:
+                    yield flushed()
+                    known, size = {}, 0
+        yield flushed()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settled(parts: list[tuple]) -> pa.RecordBatch:
-            h = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, dtype=np.int64)
-            strings = [s for p in parts for s in p[1]]
-            masks = repeated_in(h, strings, np.concatenate([p[2] for p in parts]), window) if strings else []
-            rows = [(xxhash.xxh128_digest(s), m) for s, m in zip(strings, masks, strict=True) if m]
-            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.binary()), pa.array([m for _, m in rows], pa.int64())], ["run", "mask"])
-
-        open_: list[tuple] = []  # the last minimiser's rows, which may go on in the next batch
+        def settled(rows: dict[tuple[int, bytes], int]) -> pa.RecordBatch:
+            h, strings = np.array([h for h, _ in rows], dtype=np.int64), [s for _, s in rows]
+            masks = repeated_in(h, strings, np.array(list(rows.values()), dtype=np.int64), window) if rows else []
+            kept = [(xxhash.xxh128_digest(s), m) for s, m in zip(strings, masks, strict=True) if m]
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in kept], pa.binary()), pa.array([m for _, m in kept], pa.int64())], ["run", "mask"])
+
+        rows: dict[tuple[int, bytes], int] = {}
+        last = None
         for batch in batches:
-            h, strings, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            if not len(h):
-                continue
-            if open_ and open_[-1][0][0] != h[0]:
-                yield settled(open_)
-                open_ = []
-            last = int(np.searchsorted(h, h[-1])) if h[0] != h[-1] else 0
-            if last:
-                yield settled([*open_, (h[:last], strings[:last], copies[:last])])
-                open_ = []
-            open_.append((h[last:], strings[last:], copies[last:]))
-        if open_:
-            yield settled(open_)
-
-    rows = docs.select("text").mapInArrow(make, "h long, packed binary").groupBy("h", "packed").agg(F.count("*").alias("copies"))
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(count, "run binary, mask long")
-
-
-def _places(docs: DataFrame, bitmaps: tuple, window: int, minimiser: int, bits: int) -> DataFrame:
-    """(key, at, run): where in which text each travelling string begins."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+            ready = len(rows) > 50_000
+            for h, string, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ready and h != last:  # whole buckets only
+                    yield settled(rows)
+                    rows, ready = {}, False
+                last = h
+                rows[h, string] = rows.get((h, string), 0) + copies
+        yield settled(rows)
+
+    sent = docs.select("text").mapInArrow(send, "h long, packed binary, copies long")
+    return sent.repartition("h").sortWithinPartitions("h").mapInArrow(count, "run binary, mask long")
+
+
+def _places(docs: DataFrame, bitmaps: Broadcast, window: int, minimiser: int, bits: int) -> DataFrame:
+    """(key, at, run): where in which text each travelling string begins. Equal texts are one."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # texts that this task has had
         for batch in batches:
             keys, ats, runs = [], [], []
-            for text in batch.column(0):
-                words = Words(text.as_py())
-                mine = travelling(words, shared.value, window, minimiser, bits)
-                keys += [_key(text.as_py())] * len(mine) if mine else []
-                ats += [at for at, _, _ in mine]
-                runs += [xxhash.xxh128_digest(words.part(at, n + window - 1)) for at, n, _ in mine]
+            seen = set() if len(seen) > 500_000 else seen
+            for _, every in parts(batch.column(0).to_pylist()):
+                some = [t for t in every if t and (k := _key(t)) not in seen and not seen.add(k)]
+                words, known = Words(some), {}
+                for text, at, n, _ in travelling(words, bitmaps.value, window, minimiser, bits):
+                    if text not in known:
+                        known[text] = _key(some[text])
+                    keys.append(known[text])
+                    ats.append(at)
+                    runs.append(xxhash.xxh128_digest(words.part(int(words.first[text]) + at, n + window - 1)))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ats, pa.int32()), pa.array(runs, pa.binary())], ["key", "at", "run"])
 
-    return docs.select("text").mapInArrow(make, "key binary, at int, run binary").dropDuplicates(["key", "at"])
+    return docs.select("text").mapInArrow(make, "key binary, at int, run binary")
 
 
 def _kept(words: Words, marks: list[dict] | None, window: int) -> tuple[int, int, str]:
@@ -268,40 +247,46 @@ def deduplicated(docs: DataFrame, *, window: int = 35, minimiser: int = 8, bits:
 def _deduplicated(docs: DataFrame, window: int, minimiser: int, bits: int, hot: int, text: str) -> DataFrame:
     docs = docs.drop("n_words", "n_removed", "kept_text")
     texts = docs.select(F.col(text).alias("text"))
-    bitmaps = _bitmaps(texts, window, minimiser, bits, hot)
+    bitmaps = docs.sparkSession.sparkContext.broadcast(_bitmaps(texts, window, minimiser, bits, hot))
     repeats = written(_repeats(texts, bitmaps, window, minimiser, bits), "repeats")
     found = _places(texts, bitmaps, window, minimiser, bits).join(repeats, "run")
-    marks = written(found.groupBy("key").agg(F.collect_list(F.struct("at", "mask")).alias("marks")), "marks")
-    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
+    marks = found.groupBy("key").agg(F.collect_set(F.struct("at", "mask")).alias("marks"))
+    marks = written(marks, "marks")
+    shared = docs.sparkSession.sparkContext.broadcast(_marked(marks, bits))
     key, name = unused(docs, "key"), unused(docs, "marks")
     names = docs.columns
     plain = T.StructType([*docs.schema, *ADDED])
 
     def finished(batch: pa.RecordBatch, marks_of: list) -> pa.RecordBatch:
-        rows = [_kept(Words(t.as_py()), m, window) for t, m in zip(batch.column(text), marks_of, strict=True)]
+        rows = [_kept(Words([t.as_py()]), m, window) for t, m in zip(batch.column(text), marks_of, strict=True)]
         columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         added = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)]
         return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *added], [*names, "n_words", "n_removed", "kept_text"])
 
-    def split(batch: pa.RecordBatch) -> np.ndarray:
-        return np.array([bool(travelling(Words(t.as_py()), shared.value, window, minimiser, bits)) for t in batch.column(text)], dtype=bool)
+    def split(keys: list[bytes | None]) -> np.ndarray:
+        """Which texts can have marks."""
+        return _held(shared.value, np.frombuffer(b"".join(k[:8] if k else bytes(8) for k in keys), dtype=">u8").astype(np.uint64), bits) & np.array([k is not None for k in keys], dtype=bool)
+
+    def keys_of(batch: pa.RecordBatch) -> list[bytes | None]:
+        return [_key(t) if t else None for t in batch.column(text).to_pylist()]
 
     def unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(~split(batch)))
+            part = batch.filter(pa.array(~split(keys_of(batch))))
             yield finished(part, [None] * part.num_rows)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.filter(pa.array(split(batch)))
-            keys = pa.array([_key(t.as_py()) for t in part.column(text)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns, keys], [*part.schema.names, key])
+            keys = keys_of(batch)
+            some = pa.array(split(keys))
+            part = batch.filter(some)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.binary()).filter(some)], [*part.schema.names, key])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield finished(batch, batch.column(name).to_pylist())
 
-    # Texts of which no string travels are done where they are; the others' texts are dealt to their marks.
+    # Texts without marks are done where they are; the others are dealt to their marks.
     own = docs.mapInArrow(keyed, T.StructType([*docs.schema, T.StructField(key, T.BinaryType())]))
     theirs = own.join(marks.select(F.col("key").alias(key), F.col("marks").alias(name)), key, "left")
     return docs.mapInArrow(unmarked, plain).unionByName(theirs.mapInArrow(marked, plain))
