@@ -4,60 +4,65 @@ Jaccard distance d = 1 - |x and y| / |x or y| is a metric, so what is far from a
 can't be close. Two documents link when 100 * |x and y| >= percent * |x or y|; eps is the largest distance of a link.
 
 1. Copies. Documents with the same shingle set are one point, the smallest id; a group of copies costs one row a copy.
-2. Regions of one-shingle pivots. Against {t}, a set has distance 1 - 1/|x| if it holds t, and 1 otherwise: its nearest
-   pivots are its own shingles. Pivots are ordered, those that occur least first. If two sets link, the first shingle that
-   both have is among the first |x| - ceil(percent/100 |x|) + 1 of each. These are the window of regions to which a set goes, as
-   many copies as the triangle inequality asks for and no more. Any order is exact; the counts behind it come from a sketch of fixed
-   size over all documents.
-3. Regions of up to ``leaf`` sets give their pairs, less those that sizes or positions rule out.
-4. Larger regions are split by Voronoi cells of ``pivots`` of their own sets: each set goes to its nearest pivot's cell, and to those of
-   pivots at most 2 eps further away. Sets within eps of a pivot link to it, and what is linked isn't compared again: a
-   cell whose sets are all in one component is done. So copies with small changes cost a row each, not one for each pair. Cells
-   are split again, ``rounds`` times at most.
-5. What is still larger (sets that are all about equally far from each other) is joined exactly in blocks of ``block`` sets.
-Pairs are verified on whole shingle sets (64-bit hashes of the words), which are computed again from the texts of the
-documents concerned alone.
+2. Zones. Nearly all documents of a corpus are at a distance of about 1 from each other, and from any pivots chosen among them, so windows
+   of 2 eps around document pivots of the whole corpus would hold everything. Pivots of one shingle come first: against {t} a set has distance
+   1 - 1/|x| if it holds t and 1 otherwise, so its nearest pivots are its own shingles; pivots are ordered, those that occur least first. If two
+   sets link, the first shingle that both have is among the first |x| - ceil(percent/100 |x|) + 1 of each: that is a set's window.
+   Sets whose windows meet, directly or through others, are a zone; no link leaves a zone.
+3. Voronoi regions. Within a zone, pivots are its own sets. Each set goes to its nearest pivot's region and, as far as the triangle inequality asks, to
+   those of pivots at most 2 eps further away; sets within eps of a pivot link to it. Regions are split again in the same
+   way until each holds one component. A region that doesn't shrink is one of sets about equally far from each other: there each set is a pivot
+   in its turn. Sets of one component aren't compared again, so near copies of a text cost a row each, not one for each pair.
+4. A zone of up to ``room`` shingles is joined so in one task (zones are dealt to tasks, sets read as a stream). A larger one is first cut by the shingles
+   of step 2, and then by Voronoi regions as above with tables: distances to ``pivots`` pivots a region, ``rounds`` rounds at most, each region within
+   ``room`` going on as in step 3, and what is still larger in pairs of blocks of half that room.
+Links are decided on whole shingle sets (64-bit hashes of the words). All steps are exact; the counts behind the order of shingles come from a sketch of
+fixed size over all documents, and any order gives the same result.
 
 Edge cases: null or wordless texts have an empty set, link with nothing and are their own component; a text of fewer words than
 a shingle is one shingle; a row without doc_id gets the component of its equals, null if they have no id; rows that share an id are
-one document with several texts; other columns are ignored.
+one document with several texts; very long texts are one row of their zone, alone beyond ``room`` if need be; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
+from marlstone.llm.hashing import Words, grams, mixed, parts
 from marlstone.plans.shared import arrow_rows, cut, written
 
 SKETCH_BITS = 22  # 16 MB of counts; a bucket then has 25 shingles or so for each 100 million
-_P = np.uint64(0x9E3779B97F4A7C15)
+ID_BITS = 25  # 4 MB: which ids have a zone of several sets; it says yes too often at most
+SET = 512  # what a set counts besides its shingles, so that many small ones don't share a task either
+_UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+_NONE = np.empty(0, dtype=np.int64)
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles. bytes.lower() and bytes.split() know ASCII alone, as is wanted."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.int64)
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(width, len(h)), dtype=np.uint64)
-    for k in range(min(width, len(h))):
-        out = (out ^ h[k : k + n]) * _P
-        out ^= out >> np.uint64(32)
-    return np.unique(out.view(np.int64))
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted 64-bit hashes of each text's distinct shingles."""
+    out: list[np.ndarray] = []
+    for _, some in parts(texts):
+        words = Words([t.encode("utf-8", "surrogatepass").translate(_UPPER) if t else None for t in some])
+        h = words.hashes() if len(words) else np.empty(0, dtype=np.uint64)
+        g = grams(h, width) if len(h) >= width else h
+        for low, high in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            n = high - low
+            own = g[low : high - width + 1] if n >= width else mixed(grams(h[low:high], n) + np.uint64(n)) if n else h[:0]
+            out.append(np.unique(own.view(np.int64)))
+    return out
 
 
-def _bucket(grams: np.ndarray) -> np.ndarray:
-    return (grams.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _bucket(sets: np.ndarray) -> np.ndarray:
+    return (sets.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _sketch(docs: DataFrame, width: int) -> np.ndarray:
@@ -67,9 +72,8 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
         for batch in batches:
-            for text in batch["text"]:
-                grams = _bucket(shingles(text, width))
-                places, counts = np.unique(grams, return_counts=True)
+            for grams_ in shingle_sets(batch["text"].tolist(), width):
+                places, counts = np.unique(_bucket(grams_), return_counts=True)
                 total[places] += counts.astype(np.int32)
         yield pd.DataFrame({"part": range(0, len(total), step), "counts": [zlib.compress(total[i : i + step].tobytes(), 1) for i in range(0, len(total), step)]})
 
@@ -86,63 +90,155 @@ def _sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 def _points(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> DataFrame:
     """(doc_id, n_shingles, same, window): set size, 128-bit hash of the set, and the shingles of its window in order."""
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                grams = shingles(text, width)
-                n = len(grams)
-                first = grams[np.argsort(sketch[_bucket(grams)], kind="stable")[: n - -(-percent * n // 100) + 1]] if n else grams
-                rows.append((doc_id, n, xxhash.xxh128_digest(grams.tobytes()) if n else None, first))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "same", "window"])
-
-    # Ids as text: pandas would turn ids with a null among them into floats.
-    kind = docs.schema["doc_id"].dataType
-    out = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(make, "doc_id string, n_shingles long, same binary, window array<long>")
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+            sets = shingle_sets(batch.column(1).to_pylist(), width)
+            first = [x[np.argsort(shared.value[_bucket(x)], kind="stable")[: len(x) - -(-percent * len(x) // 100) + 1]] if len(x) else _NONE for x in sets]
+            same = [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets]
+            windows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([_NONE, *first])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), windows], ["doc_id", "n_shingles", "same", "window"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n_shingles long, same binary, window array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted (id, same, ...) with ``grams``, the bytes of the set. Only texts of ids that a bitmap of the wanted ones has are read into shingles and dealt out."""
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - ID_BITS)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    held = wanted.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (ID_BITS - 6), dtype=np.uint64)
+    bitmap[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            some = pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            part = batch.filter(some)
+            sets = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), width)]
+            same = [xxhash.xxh128_digest(x) if x else None for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(sets, pa.binary())], ["id", "same", "grams"])
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    mine = docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(make, f"id {kind}, same binary, grams binary")
+    return wanted.join(mine, ["id", "same"])
 
-def _near(n: Column, m: Column, percent: int) -> Column:
-    """Sizes between which a link is possible."""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m))
 
+def voronoi(sets: list[np.ndarray], percent: int, pivots: int = 8, least: int = 3) -> tuple[list[int], dict[str, int]]:
+    """The component of each set (its smallest member), and what was done: regions, distances, links found at pivots, and those of regions that don't shrink.
 
-def _possible(x: Column, y: Column, percent: int) -> Column:
-    """Whether (size n, position p) of the first shared shingle leave enough shingles behind it for a link."""
-    rest = F.least(x["n"] - x["p"], y["n"] - y["p"])
-    return _near(x["n"], y["n"], percent) & ((100 + percent) * rest >= percent * (x["n"] + y["n"]))
+    ``least``: a region of so few sets has each as a pivot, as no cell could be smaller.
+    """
+    eps = 1 - percent / 100
+    parent = list(range(len(sets)))
+    did = dict.fromkeys(("regions", "distances", "pivot_links", "other_links"), 0)
+    sizes = np.array([len(s) for s in sets])
+
+    def find(a: int) -> int:
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    def distances(a: int, others: np.ndarray, how: str) -> np.ndarray:
+        """d(a, each of others); whatever is within eps is linked."""
+        whole = np.concatenate([sets[k] for k in others])
+        place = np.minimum(np.searchsorted(sets[a], whole), len(sets[a]) - 1)
+        starts = np.concatenate([[0], np.cumsum(sizes[others])[:-1]])
+        both = np.add.reduceat((sets[a][place] == whole).astype(np.int64), starts)
+        union = sizes[a] + sizes[others] - both
+        did["distances"] += len(others)
+        for k in others[100 * both >= percent * union].tolist():
+            x, y = find(a), find(k)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                did[how] += 1
+        return 1 - both / union
+
+    todo = [np.arange(len(sets))]
+    while todo:
+        region = todo.pop()
+        roots = np.array([find(k) for k in region.tolist()])
+        if len(region) < 2 or (roots == roots[0]).all():
+            continue
+        did["regions"] += 1
+        # Pivots of different components, spread over the region.
+        _, firsts = np.unique(roots, return_index=True)
+        chosen = region[firsts[:: -(-len(firsts) // pivots)][:pivots]]
+        if len(region) > least:
+            d = np.stack([distances(int(p), region, "pivot_links") for p in chosen])
+            near = d <= d.min(axis=0) + 2 * eps + 1e-9
+            cells = [region[row] for row in near]
+            if sum(map(len, cells)) <= 2 * len(region) and max(map(len, cells)) < len(region):
+                todo += cells
+                continue
+        # Each set as a pivot in its turn, against those of other components of a size that allows a link.
+        for i, a in enumerate(region.tolist()):
+            rest = region[i + 1 :]
+            rest = rest[(100 * np.minimum(sizes[rest], sizes[a]) >= percent * np.maximum(sizes[rest], sizes[a])) & (np.array([find(k) for k in rest.tolist()], dtype=np.int64) != find(a))]
+            if len(rest):
+                distances(a, rest, "pivot_links" if len(region) <= least else "other_links")
+    return [find(k) for k in range(len(sets))], did
+
+
+def _joined_regions(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of rows (r, id, grams): each region r joined by Voronoi regions of its own sets. Regions are read one after the other."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, ids, sets = None, [], []
+
+        def done() -> list[tuple]:
+            roots, _ = voronoi(sets, percent)
+            least: dict[int, object] = {}
+            for i, root in zip(ids, roots, strict=True):
+                least[root] = min(i, least[root]) if root in least else i
+            return [(i, least[root]) for i, root in zip(ids, roots, strict=True)]
+
+        kind = None
+        for batch in batches:
+            kind, out = batch.schema.field("id").type, []
+            for r, i, g in zip(*(batch.column(c).to_pylist() for c in ("r", "id", "grams")), strict=True):
+                if r != region:
+                    out += done() if len(ids) > 1 else []
+                    region, ids, sets = r, [], []
+                ids.append(i)
+                sets.append(np.frombuffer(g, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], kind)], ["id", "component"])
+        if len(ids) > 1:
+            out = done()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], kind)], ["id", "component"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("r", "id", "grams").repartition("r").sortWithinPartitions("r").mapInArrow(make, f"id {kind}, component {kind}")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _distances(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _distances(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, both, n_a, n_b) for distinct pairs of ids: the sizes of both sets and of what they share."""
     pairs = written(pairs.filter("a <> b").distinct(), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-    kind = docs.schema["doc_id"].dataType
+    out = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["doc_id"], "grams": [shingles(t, width) for t in batch["text"]]})
+            read = lambda c, batch=batch: [np.frombuffer(g, dtype=np.int64) for g in batch.column(c).to_pylist()]
+            xs, ys = read("x"), read("y")
+            both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(xs, ys, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array([len(x) for x in xs], pa.int64()), pa.array([len(y) for y in ys], pa.int64())], ["a", "b", "both", "n_a", "n_b"])
 
-    mine = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id"), "left_semi")
-    mine = mine.mapInPandas(sets, f"id {kind.simpleString()}, grams array<long>")
-    out = pairs.join(mine.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(mine.withColumnsRenamed({"id": "b", "grams": "y"}), "b")
-    return out.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size("x").alias("n_a"), F.size("y").alias("n_b"))
+    kind = sets.schema["id"].dataType.simpleString()
+    return out.select("a", "b", "x", "y").mapInArrow(make, f"a {kind}, b {kind}, both long, n_a long, n_b long")
 
 
 def _link(percent: int) -> Column:
     return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (id, ...) with ``component``, their own id where they have no link."""
-    return rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels (id, component) with new links taken in: only links between different components are gone through again."""
     for end in ("a", "b"):
@@ -157,90 +253,83 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.unionByName(fresh), "labels")
 
 
-def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, leaf: int = 8, cell: int = 48, block: int = 256, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document; the component is the smallest doc_id reachable by links."""
+def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, room: int = 1 << 21, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each document; the component is the smallest doc_id reachable by links. ``room``: the shingles that a task holds at once (a set counts ``SET`` more)."""
     with arrow_rows(docs.sparkSession, 1000):  # all but the last, small joins run in here
-        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, leaf, cell, block, pivots, rounds)
+        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, room, pivots, rounds)
 
 
-def _joined(docs: DataFrame, width: int, percent: int, leaf: int, cell: int, block: int, pivots: int, rounds: int) -> DataFrame:
+def _joined(docs: DataFrame, width: int, percent: int, room: int, pivots: int, rounds: int) -> DataFrame:
     points = written(_points(docs, width, percent, _sketch(docs, width)), "points")
-    copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"))
+    copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     copies = written(copies, "copies")
-    # 2. Window rows of one point for each set: shingle, point, set size, position.
-    rows = points.withColumnRenamed("same", "s").join(copies, (F.col("s") == F.col("same")) & (F.col("doc_id") == F.col("id")), "left_semi")
-    rows = rows.select(F.posexplode("window").alias("p", "t"), F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"))
-    rows = rows.select("t", F.struct("id", "n", "p").alias("x"))
-    regions = rows.groupBy("t").agg(F.count("*").alias("size"), F.min("x").alias("low"), F.max("x").alias("high")).filter("size > 1")
-    regions = written(regions, "regions")
-    # 3. Pairs of small regions. A region of two is known from its ends; of others the members are fetched.
-    low, high = F.col("low"), F.col("high")
-    found = [regions.filter("size = 2").filter(_possible(low, high, percent)).select(*_ordered(low["id"], high["id"]))]
-    members = written(rows.join(regions.filter("size > 2").select("t", "size", "low"), "t"), "members")
-    few = members.filter(F.col("size") <= leaf).groupBy("t").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    pair = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, leaf), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    few = few.select(F.explode(pair).alias("q")).filter(_possible(F.col("q.x"), F.col("q.y"), percent))
-    found.append(few.select(*_ordered(F.col("q.x.id"), F.col("q.y.id"))))
-    # 4. Large regions: first everything against the region's first set.
-    large = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), "low").filter(F.col("id") != F.col("low.id"))
-    found.append(large.filter(_near(F.col("n"), F.col("low.n"), percent)).select(*_ordered(F.col("id"), F.col("low.id"))))
-    links = cut(_distances(docs, reduce(DataFrame.unionByName, found), width).filter(_link(percent)).select("a", "b"))
-    crowd = members.filter(F.col("size") > leaf).select(F.xxhash64("t").alias("r"), F.col("x.id").alias("id"), F.col("x.n").alias("n"), F.col("x.p").alias("p"), F.lit(True).alias("native"), F.lit(False).alias("stuck"))
-    labels = _split(docs, crowd, components(links), width=width, percent=percent, cell=cell, block=block, pivots=pivots, rounds=rounds)
+    # 2. The windows of one point for each set; sets whose windows meet are a zone.
+    rows = points.select("doc_id", F.col("same").alias("s"), "window").join(copies, (F.col("s") == F.col("same")) & (F.col("doc_id") == F.col("id")), "left_semi")
+    rows = rows.select(F.explode("window").alias("t"), F.col("doc_id").alias("id"))
+    met = written(rows.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "met")
+    members = written(rows.join(met.select("t", "low"), "t"), "members")
+    zones = components(members.select(F.col("low").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct())
+    sized = zones.join(copies, "id").groupBy(F.col("component").alias("zone")).agg(F.sum(F.col("n") + SET).alias("size"))
+    wanted = zones.join(copies.select("id", "same"), "id").join(sized.withColumnRenamed("zone", "component"), "component").select("id", "same", F.col("component").alias("zone"), "size")
+    sets = written(_sets(docs, written(wanted, "wanted"), width).dropDuplicates(["id", "same"]), "sets")
+    # 3. Zones that a task can hold. An id with several sets is named once a set: its labels are merged below.
+    found = _joined_regions(sets.filter(F.col("size") <= room).withColumnRenamed("zone", "r"), percent)
+    found = written(found.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("other")), "found")
+    labels = found.select("id", "component")
+    # 4. Larger ones, by the shingles of their windows.
+    large = sets.filter(F.col("size") > room).select("id", "grams")
+    if not large.isEmpty():
+        crowd = members.join(large.select("id"), "id", "left_semi").select(F.xxhash64("t").alias("r"), "id", F.lit(False).alias("stuck"))
+        labels = _split(large, crowd, labels, percent=percent, room=room, pivots=pivots, rounds=rounds)
     # Rows of one id with different sets make these sets' points one document.
     many = points.filter("same is not null").groupBy("doc_id").agg(F.min("same").alias("s1"), F.max("same").alias("s2")).filter("s1 <> s2").select("doc_id")
     alike = points.join(many, "doc_id").join(copies, "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    alike = alike.unionByName(found.select(F.col("component").alias("a"), F.col("other").alias("b")))
     labels = _merged(labels, alike.filter("a <> b"))
-    whole = points.join(copies.withColumnRenamed("id", "point"), "same", "left")
+    whole = points.select("doc_id", "n_shingles", "same").join(copies.select("same", F.col("id").alias("point")), "same", "left")
     whole = whole.join(labels.withColumnRenamed("id", "point"), "point", "left")
     own = F.coalesce("component", "point", "doc_id")
     return whole.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _open_regions(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of the regions that still hold more than one component, with their components and the region's size."""
-    crowd = _labelled(crowd.select("r", "id", "n", "p", "native", "stuck"), labels)
-    held = crowd.groupBy("r").agg(F.count("*").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("r", "size")
+def _open_regions(sets: DataFrame, crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of the regions that still hold more than one component, with their components and the region's number of shingles."""
+    crowd = crowd.select("r", "id", "stuck").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    crowd = crowd.join(sets.select("id", ((F.length("grams") / 8).cast("long") + SET).alias("n")), "id")
+    held = crowd.groupBy("r").agg(F.sum("n").alias("size"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("r", "size")
     return written(crowd.join(held, "r"), "crowd")
 
 
-def _split(docs: DataFrame, crowd: DataFrame, labels: DataFrame, *, width: int, percent: int, cell: int, block: int, pivots: int, rounds: int) -> DataFrame:
-    """The labels, with the links found in large regions taken in."""
+def _split(sets: DataFrame, crowd: DataFrame, labels: DataFrame, *, percent: int, room: int, pivots: int, rounds: int) -> DataFrame:
+    """The labels, with the links found in large regions taken in. sets: (id, grams); crowd: (r, id, stuck)."""
     eps = 1 - percent / 100
-    if crowd.isEmpty():
-        return labels
     for step in range(rounds + 1):
-        crowd = _open_regions(crowd, labels)
+        crowd = _open_regions(sets, crowd, labels)
         if crowd.isEmpty():
             return labels
-        # Cells that are small enough, or after the last round all of them, in blocks: pairs of different components.
-        done = crowd if step == rounds else crowd.filter((F.col("size") <= cell) | F.col("stuck"))
-        blocks = F.ceil(F.col("size") / block).cast("int")
+        # Regions with room in a task go there; after the last round all of them, and those that don't shrink, in pairs of blocks.
+        done = crowd if step == rounds else crowd.filter((F.col("size") <= room) | F.col("stuck"))
+        blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / room)).cast("int")
+        blocks = F.when(F.col("size") <= room, 1).otherwise(blocks)
         spread = done.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        x = spread.select("r", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.struct("id", "n", "p", "component", "native").alias("x"))
-        y = x.withColumnRenamed("x", "y")
-        both = x.join(y, ["r", "u", "v"]).filter((F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.native") | F.col("y.native")) & _possible(F.col("x"), F.col("y"), percent))
-        more = [both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))]
+        spread = spread.select(F.xxhash64("r", F.least("i", "j"), F.greatest("i", "j")).alias("r"), "id").distinct()
+        inside = _joined_regions(spread.join(sets, "id"), percent).select(*_ordered(F.col("id"), F.col("component")))
         if step == rounds:
-            return _merged(labels, cut(_distances(docs, more[0], width).filter(_link(percent)).select("a", "b")))
+            return _merged(labels, cut(inside.filter("a <> b")))
         # Pivots: sets of different components where there are some, by hash; a fixed number for each region.
-        crowd = crowd.filter((F.col("size") > cell) & ~F.col("stuck"))
+        crowd = crowd.filter((F.col("size") > room) & ~F.col("stuck"))
         slot = F.pmod(F.xxhash64("component", F.lit(step)), F.lit(pivots))
         chosen = crowd.groupBy("r", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("id", F.lit(step)).alias("h"), "id")).alias("c"))
         against = crowd.join(chosen.select("r", F.col("c.id").alias("pivot")), "r")
-        more.append(against.select(*_ordered(F.col("id"), F.col("pivot"))))
-        dist = cut(_distances(docs, reduce(DataFrame.unionByName, more), width))
-        labels = _merged(labels, dist.filter(_link(percent)).select("a", "b"))
+        dist = cut(_distances(sets, against.select(*_ordered(F.col("id"), F.col("pivot")))))
+        labels = _merged(labels, cut(dist.filter(_link(percent)).select("a", "b").unionByName(inside.filter("a <> b"))))
         d = dist.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
         d = d.union(d.select("b", "a", "d")).select(F.col("a").alias("id"), F.col("b").alias("pivot"), "d")
         known = against.join(d, ["id", "pivot"], "left").withColumn("d", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-        at = known.groupBy("r", "id", "n", "p", "native").agg(F.collect_list(F.struct("d", "pivot")).alias("ds"))  # one for each pivot
-        at = at.withColumn("least", F.array_min("ds"))
-        near = F.filter("ds", lambda s: s["d"] <= F.col("least.d") + 2 * eps + 1e-9)
-        at = cut(at.withColumn("near", near))
+        at = known.groupBy("r", "id").agg(F.collect_list(F.struct("d", "pivot")).alias("ds")).withColumn("least", F.array_min("ds"))  # one for each pivot
+        at = cut(at.withColumn("near", F.filter("ds", lambda s: s["d"] <= F.col("least.d") + 2 * eps + 1e-9)))
         # Where cells would hold more than twice the region's sets, its sets are too alike in distance: it goes on as it is.
         stuck = at.groupBy(F.col("r").alias("its")).agg((F.sum(F.size("near")) > 2 * F.count("*")).alias("stuck"))
         at = at.join(stuck, F.col("r") == F.col("its")).withColumn("s", F.explode(F.when(F.col("stuck"), F.slice("near", 1, 1)).otherwise(F.col("near"))))
-        native = F.col("native") & (F.col("stuck") | (F.col("s.pivot") == F.col("least.pivot")))
-        crowd = at.select(F.when(F.col("stuck"), F.col("r")).otherwise(F.xxhash64("r", "s.pivot")).alias("r"), "id", "n", "p", native.alias("native"), "stuck")
+        crowd = at.select(F.when(F.col("stuck"), F.col("r")).otherwise(F.xxhash64("r", "s.pivot")).alias("r"), "id", "stuck")
     return labels
