@@ -1,10 +1,12 @@
-"""Words of many texts at once, as numpy arrays of their places and 64-bit hashes. White space is ASCII's, as in ``marlstone.llm.text``."""
+"""Words of many texts at once, as numpy arrays of their places and 64-bit hashes, and bitmaps of hashes. White space is ASCII's, as in ``marlstone.llm.text``."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -101,3 +103,23 @@ def parts(texts: list[str | None], most: int = 1 << 22) -> Iterator[tuple[int, l
             low, size = k + 1, 0
     if low < len(texts):
         yield low, texts[low:]
+
+
+def bitmap(held: DataFrame, columns: dict[str, object], bits: int) -> list[np.ndarray]:
+    """A bitmap of 2^bits bits for each column of flags: of the upper bits of ``h`` where the flag holds. At most 2^(bits - 6) rows come to the driver."""
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    rows = held.select(F.shiftright(slot, 6).cast("int").alias("word"), *[F.when(flag, bit).otherwise(F.lit(0).cast("long")).alias(name) for name, flag in columns.items()])
+    table = rows.groupBy("word").agg(*[F.bit_or(name).alias(name) for name in columns]).toArrow()
+    out = []
+    for name in columns:
+        made = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        made[table.column("word").to_numpy()] = table.column(name).to_numpy().view(np.uint64)
+        out.append(made)
+    return out
+
+
+def held(made: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the 64-bit hashes ``h`` a bitmap has, by their upper bits."""
+    slot = h >> np.uint64(64 - bits)
+    return (made[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1

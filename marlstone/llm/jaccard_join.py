@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.hashing import Words, grams, mixed, parts
+from marlstone.llm.hashing import Words, bitmap, grams, held, mixed, parts
 from marlstone.plans.shared import arrow_rows, cut, written
 
 SKETCH_BITS = 22  # 16 MB of counts; a bucket then has 25 shingles or so for each 100 million
-ID_BITS = 25  # 4 MB: which ids have a zone of several sets; it says yes too often at most
+BITS = 26  # 8 MB each for which window shingles several sets have, and which ids have a zone: they say yes too often at most
 SET = 512  # what a set counts besides its shingles, so that many small ones don't share a task either
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _NONE = np.empty(0, dtype=np.int64)
@@ -104,27 +104,48 @@ def _points(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n_shingles long, same binary, window array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted (id, same, ...) with ``grams``, the bytes of the set. Only texts of ids that a bitmap of the wanted ones has are read into shingles and dealt out."""
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - ID_BITS)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
-    held = wanted.select(slot("id").alias("slot")).groupBy(F.shiftright("slot", 6).cast("int").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (ID_BITS - 6), dtype=np.uint64)
-    bitmap[held.column("word").to_numpy()] = held.column("bits").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _met(copies: DataFrame) -> DataFrame:
+    """(t, id): the shingles of each set's window that other windows have too. Which those are is counted over all windows; only they are dealt out with their ids."""
+    often = copies.select(F.explode("window").alias("h")).groupBy("h").count().filter("count > 1")
+    shared = copies.sparkSession.sparkContext.broadcast(bitmap(often, {"some": F.lit(True)}, BITS)[0])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            some = pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-            part = batch.filter(some)
-            sets = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), width)]
-            same = [xxhash.xxh128_digest(x) if x else None for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(sets, pa.binary())], ["id", "same", "grams"])
+            lists = batch.column(1)
+            t = lists.flatten().to_numpy()
+            keep = held(shared.value, t.view(np.uint64), BITS)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), batch.column(0).take(pa.array(owner[keep]))], ["t", "id"])
+
+    kind = copies.schema["id"].dataType.simpleString()
+    return copies.select("id", "window").mapInArrow(make, f"t long, id {kind}")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (id, same, ...) with ``text``: texts of ids that a bitmap of the wanted ones doesn't have stay where they are. A repeated id brings all its texts."""
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("id").alias("h")), {"some": F.lit(True)}, BITS)[0])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.filter(pa.array(held(marks.value, batch.column(2).to_numpy().view(np.uint64), BITS)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    mine = docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(make, f"id {kind}, same binary, grams binary")
-    return wanted.join(mine, ["id", "same"])
+    mine = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(some, f"id {kind}, text string")
+    return wanted.join(mine, "id")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(id, grams): the sets of texts (id, same, text), as bytes, each once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.tobytes() for x in shingle_sets(batch.column(2).to_pylist(), width)]
+            mine = pa.array([bool(x) and xxhash.xxh128_digest(x) == same for x, same in zip(sets, batch.column(1).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mine), pa.array(sets, pa.binary()).filter(mine)], ["id", "grams"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "same", "text").mapInArrow(make, f"id {kind}, grams binary").distinct()
 
 
 def voronoi(sets: list[np.ndarray], percent: int, pivots: int = 8, least: int = 3) -> tuple[list[int], dict[str, int]]:
@@ -184,35 +205,47 @@ def voronoi(sets: list[np.ndarray], percent: int, pivots: int = 8, least: int =
     return [find(k) for k in range(len(sets))], did
 
 
-def _joined_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of rows (r, id, grams): each region r joined by Voronoi regions of its own sets. Regions are read one after the other."""
+def _joined_regions(rows: DataFrame, percent: int, width: int = 0) -> DataFrame:
+    """(id, component) of rows (r, id, grams), or (r, id, same, text) with a ``width``: each region r joined by Voronoi regions of its own sets. Regions are read one after the other."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, ids, sets = None, [], []
 
         def done() -> list[tuple]:
+            if len(ids) < 2:
+                return []
             roots, _ = voronoi(sets, percent)
             least: dict[int, object] = {}
             for i, root in zip(ids, roots, strict=True):
                 least[root] = min(i, least[root]) if root in least else i
             return [(i, least[root]) for i, root in zip(ids, roots, strict=True)]
 
-        kind = None
+        def given(out: list[tuple], type_: pa.DataType) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type_), pa.array([x for _, x in out], type_)], ["id", "component"])
+
+        type_ = None
         for batch in batches:
-            kind, out = batch.schema.field("id").type, []
-            for r, i, g in zip(*(batch.column(c).to_pylist() for c in ("r", "id", "grams")), strict=True):
+            type_, out = batch.schema.field("id").type, []
+            rs, names = batch.column("r").to_pylist(), batch.column("id").to_pylist()
+            if width:
+                mine = shingle_sets(batch.column("text").to_pylist(), width)
+                fits = [len(x) > 0 and xxhash.xxh128_digest(x.tobytes()) == same for x, same in zip(mine, batch.column("same").to_pylist(), strict=True)]
+            else:
+                mine, fits = [np.frombuffer(g, dtype=np.int64) for g in batch.column("grams").to_pylist()], [True] * len(rs)
+            for r, i, x, fit in zip(rs, names, mine, fits, strict=True):
                 if r != region:
-                    out += done() if len(ids) > 1 else []
+                    out += done()
                     region, ids, sets = r, [], []
-                ids.append(i)
-                sets.append(np.frombuffer(g, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], kind)], ["id", "component"])
-        if len(ids) > 1:
-            out = done()
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([x for _, x in out], kind)], ["id", "component"])
+                if fit:
+                    ids.append(i)
+                    sets.append(x)
+            yield given(out, type_)
+        if type_ is not None:
+            yield given(done(), type_)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("r", "id", "grams").repartition("r").sortWithinPartitions("r").mapInArrow(make, f"id {kind}, component {kind}")
+    columns = ["r", "id", "same", "text"] if width else ["r", "id", "grams"]
+    return rows.select(*columns).repartition("r").sortWithinPartitions("r").mapInArrow(make, f"id {kind}, component {kind}")
 
 
 def _ordered(a: Column, b: Column) -> list[Column]:
@@ -261,26 +294,27 @@ def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, room: int = 1
 
 def _joined(docs: DataFrame, width: int, percent: int, room: int, pivots: int, rounds: int) -> DataFrame:
     points = written(_points(docs, width, percent, _sketch(docs, width)), "points")
-    copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
+    copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("window").alias("window"))
     copies = written(copies, "copies")
     # 2. The windows of one point for each set; sets whose windows meet are a zone.
-    rows = points.select("doc_id", F.col("same").alias("s"), "window").join(copies, (F.col("s") == F.col("same")) & (F.col("doc_id") == F.col("id")), "left_semi")
-    rows = rows.select(F.explode("window").alias("t"), F.col("doc_id").alias("id"))
-    met = written(rows.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high"), "met")
-    members = written(rows.join(met.select("t", "low"), "t"), "members")
+    rows = written(_met(copies), "windows")
+    low = rows.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("t", "low")
+    members = written(rows.join(low, "t"), "members")
     zones = components(members.select(F.col("low").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct())
-    sized = zones.join(copies, "id").groupBy(F.col("component").alias("zone")).agg(F.sum(F.col("n") + SET).alias("size"))
+    sized = zones.join(copies.select("id", "n"), "id").groupBy(F.col("component").alias("zone")).agg(F.sum(F.col("n") + SET).alias("size"))
     wanted = zones.join(copies.select("id", "same"), "id").join(sized.withColumnRenamed("zone", "component"), "component").select("id", "same", F.col("component").alias("zone"), "size")
-    sets = written(_sets(docs, written(wanted, "wanted"), width).dropDuplicates(["id", "same"]), "sets")
+    wanted = written(wanted, "wanted")
     # 3. Zones that a task can hold. An id with several sets is named once a set: its labels are merged below.
-    found = _joined_regions(sets.filter(F.col("size") <= room).withColumnRenamed("zone", "r"), percent)
+    small = _texts(docs, wanted.filter(F.col("size") <= room)).withColumnRenamed("zone", "r")
+    found = _joined_regions(small, percent, width)
     found = written(found.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("other")), "found")
     labels = found.select("id", "component")
     # 4. Larger ones, by the shingles of their windows.
-    large = sets.filter(F.col("size") > room).select("id", "grams")
+    large = wanted.filter(F.col("size") > room)
     if not large.isEmpty():
-        crowd = members.join(large.select("id"), "id", "left_semi").select(F.xxhash64("t").alias("r"), "id", F.lit(False).alias("stuck"))
-        labels = _split(large, crowd, labels, percent=percent, room=room, pivots=pivots, rounds=rounds)
+        sets = written(_sets(_texts(docs, large), width), "sets")
+        crowd = members.join(sets.select("id"), "id", "left_semi").select(F.xxhash64("t").alias("r"), "id", F.lit(False).alias("stuck")).distinct()
+        labels = _split(sets, crowd, labels, percent=percent, room=room, pivots=pivots, rounds=rounds)
     # Rows of one id with different sets make these sets' points one document.
     many = points.filter("same is not null").groupBy("doc_id").agg(F.min("same").alias("s1"), F.max("same").alias("s2")).filter("s1 <> s2").select("doc_id")
     alike = points.join(many, "doc_id").join(copies, "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marlstone.llm.hashing import MIX, Words, grams, least, mixed, parts
+from marlstone.llm.hashing import MIX, Words, bitmap, grams, held, least, mixed, parts
 from marlstone.llm.text import unused
 from marlstone.plans.shared import arrow_rows, written
 
@@ -62,20 +62,6 @@ def _width(window: int, minimiser: int) -> int:
     return min(window, max(minimiser, window - 61))
 
 
-def _bitmap(held: DataFrame, columns: dict[str, object], bits: int) -> list[np.ndarray]:
-    """A bitmap of 2^bits bits for each column of flags: of the upper bits of ``h`` where the flag holds. At most 2^(bits - 6) rows come to the driver."""
-    slot = F.shiftrightunsigned("h", 64 - bits)
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = held.select(F.shiftright(slot, 6).cast("int").alias("word"), *[F.when(flag, bit).otherwise(F.lit(0).cast("long")).alias(name) for name, flag in columns.items()])
-    table = rows.groupBy("word").agg(*[F.bit_or(name).alias(name) for name in columns]).toArrow()
-    out = []
-    for name in columns:
-        made = np.zeros(1 << (bits - 6), dtype=np.uint64)
-        made[table.column("word").to_numpy()] = table.column(name).to_numpy().view(np.uint64)
-        out.append(made)
-    return out
-
-
 def _bitmaps(docs: DataFrame, window: int, minimiser: int, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
     """The bitmaps of the minimisers that occur twice or more, and ``hot`` times or more: each of 2^bits bits whatever the input."""
 
@@ -85,27 +71,22 @@ def _bitmaps(docs: DataFrame, window: int, minimiser: int, bits: int, hot: int)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["h"])
 
     counts = docs.select("text").mapInArrow(make, "h long").groupBy("h").count().filter("count > 1")
-    some, many = _bitmap(counts, {"some": F.lit(True), "hot": F.col("count") >= hot}, bits)
+    some, many = bitmap(counts, {"some": F.lit(True), "hot": F.col("count") >= hot}, bits)
     return some, many
 
 
 def _marked(marks: DataFrame, bits: int) -> np.ndarray:
     """The bitmap of the texts that have marks, by the first eight bytes of their keys."""
     h = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
-    return _bitmap(marks.select(h.alias("h")), {"some": F.lit(True)}, bits)[0]
-
-
-def _held(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    slot = h >> np.uint64(64 - bits)
-    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+    return bitmap(marks.select(h.alias("h")), {"some": F.lit(True)}, bits)[0]
 
 
 def travelling(words: Words, bitmaps: tuple[np.ndarray, np.ndarray], window: int, minimiser: int, bits: int) -> list[tuple[int, int, int, int]]:
     """(text, first window within it, number of windows, minimiser's hash) of the strings that travel; windows by their words from the text's first on."""
     at, n, h = super_kmers(words, window, minimiser)
-    keep = _held(bitmaps[0], h, bits)
+    keep = held(bitmaps[0], h, bits)
     at, n, h = at[keep], n[keep], h[keep]
-    hot = _held(bitmaps[1], h, bits)
+    hot = held(bitmaps[1], h, bits)
     if hot.any():
         alone = np.concatenate([np.arange(a, a + k) for a, k in zip(at[hot].tolist(), n[hot].tolist(), strict=True)])
         own = grams(words.hashes(), window)
@@ -265,7 +246,7 @@ def _deduplicated(docs: DataFrame, window: int, minimiser: int, bits: int, hot:
 
     def split(keys: list[bytes | None]) -> np.ndarray:
         """Which texts can have marks."""
-        return _held(shared.value, np.frombuffer(b"".join(k[:8] if k else bytes(8) for k in keys), dtype=">u8").astype(np.uint64), bits) & np.array([k is not None for k in keys], dtype=bool)
+        return held(shared.value, np.frombuffer(b"".join(k[:8] if k else bytes(8) for k in keys), dtype=">u8").astype(np.uint64), bits) & np.array([k is not None for k in keys], dtype=bool)
 
     def keys_of(batch: pa.RecordBatch) -> list[bytes | None]:
         return [_key(t) if t else None for t in batch.column(text).to_pylist()]
