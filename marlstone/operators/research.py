@@ -90,7 +90,7 @@ def select_arguments(arguments: DataFrame, hypotheses: DataFrame, *, limit: int
     arguments: (investigation_id, argument_id, kind, text, metric_id, period_end, frequency, input_observation_ids); hypotheses: (investigation_id, hypothesis_id, text). Within a kind
     those that share most words with the hypothesis come first, then by latest period, quarterly ones, trends, then by id. Claims, calculations, observations and inferences
     have budgets in this order; observations that a chosen calculation already uses go behind the others of their kind; room that is left is filled by kind in the same order.
-    Scores and ranks are windows over a hypothesis and kind; the dependent step is one anti-join on (hypothesis, observation).
+    Scores and ranks are windows over a hypothesis and kind; the dependent step is one join on (hypothesis, observation).
     """
     if not 1 <= limit <= 20:
         raise ValueError("limit is within [1, 20]")
@@ -103,8 +103,9 @@ def select_arguments(arguments: DataFrame, hypotheses: DataFrame, *, limit: int
     of_kind = W.partitionBy("hypothesis_id", "kind")
     df = df.withColumn("_k", F.row_number().over(of_kind.orderBy(*order)))
     budget = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in BUDGETS], F.lit(0))
-    used = df.filter((F.col("kind") == "calculation") & (F.col("_k") <= dict(BUDGETS)["calculation"])).select("hypothesis_id", F.explode("input_observation_ids").alias("argument_id")).distinct()
-    df = df.drop("input_observation_ids").join(used.withColumnsRenamed({"argument_id": "_used"}), (df["hypothesis_id"] == used["hypothesis_id"]) & (F.col("argument_id") == F.col("_used")) & (F.col("kind") == "observation"), "left").drop(used["hypothesis_id"])
+    used = df.filter((F.col("kind") == "calculation") & (F.col("_k") <= dict(BUDGETS)["calculation"])).select("hypothesis_id", F.explode("input_observation_ids").alias("argument_id"))
+    used = used.distinct().withColumns({"kind": F.lit("observation"), "_used": F.lit(True)})
+    df = df.drop("input_observation_ids").join(used, ["hypothesis_id", "kind", "argument_id"], "left")
     df = df.withColumn("_k", F.row_number().over(of_kind.orderBy(F.col("_used").isNotNull(), "_k")))
     place = F.coalesce(*[F.when(F.col("kind") == k, i) for i, (k, _) in enumerate(BUDGETS)])
     df = df.filter(place.isNotNull()).withColumn("position", F.row_number().over(W.partitionBy("hypothesis_id").orderBy((F.col("_k") > budget).cast("int"), place, "_k")))
