@@ -8,14 +8,14 @@ can't be close. Two documents link when 100 * |x and y| >= percent * |x or y|; e
    of 2 eps around document pivots of the whole corpus would hold everything. Pivots of one shingle come first: against {t} a set has distance
    1 - 1/|x| if it holds t and 1 otherwise, so its nearest pivots are its own shingles; pivots are ordered, those that occur least first. If two
    sets link, the first shingle that both have is among the first |x| - ceil(percent/100 |x|) + 1 of each: that is a set's window.
-   Sets whose windows meet, directly or through others, are a zone; no link leaves a zone.
+   Sets whose windows meet at places that leave enough for a link, directly or through others, are a zone; no link leaves a zone.
 3. Voronoi regions. Within a zone, pivots are its own sets. Each set goes to its nearest pivot's region and, as far as the triangle inequality asks, to
    those of pivots at most 2 eps further away; sets within eps of a pivot link to it. Regions are split again in the same
    way until each holds one component. A region that doesn't shrink is one of sets about equally far from each other: there each set is a pivot
    in its turn. Sets of one component aren't compared again, so near copies of a text cost a row each, not one for each pair.
-4. A zone of up to ``room`` shingles is joined so in one task (zones are dealt to tasks, sets read as a stream). A larger one is first cut by the shingles
-   of step 2, and then by Voronoi regions as above with tables: distances to ``pivots`` pivots a region, ``rounds`` rounds at most, each region within
-   ``room`` going on as in step 3, and what is still larger in pairs of blocks of half that room.
+4. A zone of up to ``room`` shingles is joined so in one task (zones are dealt to tasks, sets read as a stream). A larger one is cut into Voronoi regions
+   in the same way, but with tables: distances to ``pivots`` pivots a region, ``rounds`` rounds at most, each region within ``room`` going on as in step 3.
+   What doesn't shrink is cut by the shingles of its windows (step 2) and goes through the rounds again, and what is too large even then is joined in pairs of blocks of half the room.
 Links are decided on whole shingle sets (64-bit hashes of the words). All steps are exact; the counts behind the order of shingles come from a sketch of
 fixed size over all documents, and any order gives the same result.
 
@@ -26,6 +26,7 @@ one document with several texts; very long texts are one row of their zone, alon
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -105,20 +106,45 @@ def _points(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> Da
 
 
 def _met(copies: DataFrame) -> DataFrame:
-    """(t, id): the shingles of each set's window that other windows have too. Which those are is counted over all windows; only they are dealt out with their ids."""
+    """(t, x): the shingles of each set's window that other windows have too, x with its id, its size n and the shingle's position p. Which those are is counted over all windows; only they are dealt out."""
     often = copies.select(F.explode("window").alias("h")).groupBy("h").count().filter("count > 1")
     shared = copies.sparkSession.sparkContext.broadcast(bitmap(often, {"some": F.lit(True)}, BITS)[0])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(1)
-            t = lists.flatten().to_numpy()
+            lists = batch.column(2)
+            t, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             keep = held(shared.value, t.view(np.uint64), BITS)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), batch.column(0).take(pa.array(owner[keep]))], ["t", "id"])
+            owner = np.repeat(np.arange(batch.num_rows), sizes)
+            place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[keep].astype(np.int32))], ["t", "id", "n", "p"])
 
     kind = copies.schema["id"].dataType.simpleString()
-    return copies.select("id", "window").mapInArrow(make, f"t long, id {kind}")
+    rows = copies.select("id", F.col("n").cast("int").alias("n"), "window").mapInArrow(make, f"t long, id {kind}, n int, p int")
+    return rows.select("t", F.struct("id", "n", "p").alias("x"))
+
+
+def _possible(x: Column, y: Column, percent: int) -> Column:
+    """Whether sizes, and the positions p of a shingle that is the first of both windows' shared ones, leave enough for a link."""
+    rest = F.least(x["n"] - x["p"], y["n"] - y["p"])
+    return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * rest >= percent * (x["n"] + y["n"]))
+
+
+def _zones(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """(id, component): sets that can be linked, directly or through others. Two sets of up to ``leaf`` that have a window shingle meet if their sizes and its positions allow a link;
+    where more have it, all of about one size meet (a set counts for its own size class and the next, as linked sizes differ by one class at most)."""
+    size = rows.groupBy("t").agg(F.count("*").alias("size")).filter("size > 1")
+    mine = written(rows.join(size, "t"), "regions")
+    few = mine.filter(F.col("size") <= leaf).groupBy("t").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    pair = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, leaf), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    few = few.select(F.explode(pair).alias("q")).filter(_possible(F.col("q.x"), F.col("q.y"), percent)).select(F.col("q.x.id").alias("a"), F.col("q.y.id").alias("b"))
+    class_ = F.floor(F.log(F.col("x.n").cast("double")) / -math.log(percent / 100) + 1e-9)
+    many = mine.filter(F.col("size") > leaf).withColumn("c", F.explode(F.array(class_, class_ + 1)))
+    many = written(many.select("t", "c", F.col("x.id").alias("id")), "crowds")
+    low = many.groupBy("t", "c").agg(F.min("id").alias("low"))
+    many = many.join(low, ["t", "c"]).select(F.col("low").alias("a"), F.col("id").alias("b"))
+    return components(few.unionByName(many).filter("a <> b").distinct())
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -286,21 +312,19 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return written(known.unionByName(fresh), "labels")
 
 
-def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, room: int = 1 << 21, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, room: int = 1 << 21, leaf: int = 16, pivots: int = 6, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each document; the component is the smallest doc_id reachable by links. ``room``: the shingles that a task holds at once (a set counts ``SET`` more)."""
     with arrow_rows(docs.sparkSession, 1000):  # all but the last, small joins run in here
-        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, room, pivots, rounds)
+        return _joined(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, percent, room, leaf, pivots, rounds)
 
 
-def _joined(docs: DataFrame, width: int, percent: int, room: int, pivots: int, rounds: int) -> DataFrame:
+def _joined(docs: DataFrame, width: int, percent: int, room: int, leaf: int, pivots: int, rounds: int) -> DataFrame:
     points = written(_points(docs, width, percent, _sketch(docs, width)), "points")
     copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("window").alias("window"))
     copies = written(copies, "copies")
     # 2. The windows of one point for each set; sets whose windows meet are a zone.
     rows = written(_met(copies), "windows")
-    low = rows.groupBy("t").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("t", "low")
-    members = written(rows.join(low, "t"), "members")
-    zones = components(members.select(F.col("low").alias("a"), F.col("id").alias("b")).filter("a <> b").distinct())
+    zones = _zones(rows, percent, leaf)
     sized = zones.join(copies.select("id", "n"), "id").groupBy(F.col("component").alias("zone")).agg(F.sum(F.col("n") + SET).alias("size"))
     wanted = zones.join(copies.select("id", "same"), "id").join(sized.withColumnRenamed("zone", "component"), "component").select("id", "same", F.col("component").alias("zone"), "size")
     wanted = written(wanted, "wanted")
@@ -309,12 +333,15 @@ def _joined(docs: DataFrame, width: int, percent: int, room: int, pivots: int, r
     found = _joined_regions(small, percent, width)
     found = written(found.groupBy("id").agg(F.min("component").alias("component"), F.max("component").alias("other")), "found")
     labels = found.select("id", "component")
-    # 4. Larger ones, by the shingles of their windows.
+    # 4. Larger ones, as tables: by Voronoi regions, then what doesn't shrink by the shingles of its windows.
     large = wanted.filter(F.col("size") > room)
     if not large.isEmpty():
         sets = written(_sets(_texts(docs, large), width), "sets")
-        crowd = members.join(sets.select("id"), "id", "left_semi").select(F.xxhash64("t").alias("r"), "id", F.lit(False).alias("stuck")).distinct()
-        labels = _split(sets, crowd, labels, percent=percent, room=room, pivots=pivots, rounds=rounds)
+        crowd = large.join(sets.select("id"), "id", "left_semi").select(F.xxhash64("zone").alias("r"), "id", F.lit(False).alias("stuck")).distinct()
+        labels, left = _split(sets, crowd, labels, percent=percent, room=room, pivots=pivots, rounds=rounds, last=False)
+        if not left.isEmpty():
+            crowd = rows.select("t", F.col("x.id").alias("id")).join(left.distinct(), "id", "left_semi").select(F.xxhash64("t").alias("r"), "id", F.lit(False).alias("stuck")).distinct()
+            labels, _ = _split(sets, crowd, labels, percent=percent, room=room, pivots=pivots, rounds=rounds, last=True)
     # Rows of one id with different sets make these sets' points one document.
     many = points.filter("same is not null").groupBy("doc_id").agg(F.min("same").alias("s1"), F.max("same").alias("s2")).filter("s1 <> s2").select("doc_id")
     alike = points.join(many, "doc_id").join(copies, "same").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
@@ -334,22 +361,29 @@ def _open_regions(sets: DataFrame, crowd: DataFrame, labels: DataFrame) -> DataF
     return written(crowd.join(held, "r"), "crowd")
 
 
-def _split(sets: DataFrame, crowd: DataFrame, labels: DataFrame, *, percent: int, room: int, pivots: int, rounds: int) -> DataFrame:
-    """The labels, with the links found in large regions taken in. sets: (id, grams); crowd: (r, id, stuck)."""
+def _split(sets: DataFrame, crowd: DataFrame, labels: DataFrame, *, percent: int, room: int, pivots: int, rounds: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """The labels with the links found in large regions taken in, and the ids (id) of regions that are left: too large and not shrinking. With ``last`` none is left:
+    these are joined in pairs of blocks of half the room. sets: (id, grams); crowd: (r, id, stuck)."""
     eps = 1 - percent / 100
+    none = sets.select("id").limit(0)
+    left = none
     for step in range(rounds + 1):
         crowd = _open_regions(sets, crowd, labels)
         if crowd.isEmpty():
-            return labels
-        # Regions with room in a task go there; after the last round all of them, and those that don't shrink, in pairs of blocks.
-        done = crowd if step == rounds else crowd.filter((F.col("size") <= room) | F.col("stuck"))
+            return labels, left
+        # Regions with room in a task go there.
+        fits = F.col("size") <= room
+        if not last:
+            left = left.unionByName(crowd.filter(~fits & (F.col("stuck") | F.lit(step == rounds))).select("id"))
+        done = crowd if step == rounds else crowd.filter(fits | F.col("stuck"))
+        done = done if last else done.filter(fits)
         blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("size") / room)).cast("int")
         blocks = F.when(F.col("size") <= room, 1).otherwise(blocks)
         spread = done.withColumn("i", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
         spread = spread.select(F.xxhash64("r", F.least("i", "j"), F.greatest("i", "j")).alias("r"), "id").distinct()
         inside = _joined_regions(spread.join(sets, "id"), percent).select(*_ordered(F.col("id"), F.col("component")))
         if step == rounds:
-            return _merged(labels, cut(inside.filter("a <> b")))
+            return _merged(labels, cut(inside.filter("a <> b"))), left
         # Pivots: sets of different components where there are some, by hash; a fixed number for each region.
         crowd = crowd.filter((F.col("size") > room) & ~F.col("stuck"))
         slot = F.pmod(F.xxhash64("component", F.lit(step)), F.lit(pivots))
@@ -366,4 +400,4 @@ def _split(sets: DataFrame, crowd: DataFrame, labels: DataFrame, *, percent: int
         stuck = at.groupBy(F.col("r").alias("its")).agg((F.sum(F.size("near")) > 2 * F.count("*")).alias("stuck"))
         at = at.join(stuck, F.col("r") == F.col("its")).withColumn("s", F.explode(F.when(F.col("stuck"), F.slice("near", 1, 1)).otherwise(F.col("near"))))
         crowd = at.select(F.when(F.col("stuck"), F.col("r")).otherwise(F.xxhash64("r", "s.pivot")).alias("r"), "id", "stuck")
-    return labels
+    return labels, left

@@ -86,7 +86,7 @@ def brute_components(texts: dict[int, str | None], width=4, percent=85) -> dict[
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"room": 3000, "pivots": 3, "rounds": 2}, {"room": 1200, "pivots": 2, "rounds": 1}])
+@pytest.mark.parametrize("options", [{}, {"room": 3000, "pivots": 3, "rounds": 2}, {"room": 1200, "leaf": 3, "pivots": 2, "rounds": 1}])
 def test_jaccard_join_is_exact(spark, options):
     rng = random.Random(5)
     base, passage = prose(rng, 90).split(), prose(rng, 60)
