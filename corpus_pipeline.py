@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, jaccard_join, language_id, line_dedup, source_mix
+from marlstone.llm.text import unused
 from marlstone.plans.shared import written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -39,9 +40,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join, the one with the smallest id. Of rows with one id, all or none stay."""
-    groups = jaccard_join.joined(docs)
-    others = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_other")).distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_other"), "left_anti").select(*COLUMNS)
+    groups, other = jaccard_join.joined(docs), unused(docs, "other")
+    others = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(others, F.col("doc_id") == F.col(other), "left_anti").select(*COLUMNS)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
