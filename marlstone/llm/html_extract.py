@@ -4,6 +4,9 @@ A page is cut into flat blocks of text at block-level tags. A block's features a
 of the blocks before and after it, and which kind of container it is in. A decision tree, trained on the small labelled
 table PATTERNS below, says which blocks are main text; these are joined in page order by one space.
 
+Within an article or main element, links in sentences and lists of links are text unless a nav element or a name tells a menu; a label or button between
+words of a sentence is part of it.
+
 Cutting is a small function on each page; features of neighbours, the tree and the joining are column expressions.
 
 Edge cases: a null or empty page gives an empty text; an unclosed tag, comment, script or style ends with the page, as in browsers, and other
@@ -33,12 +36,17 @@ BLOCK = "address article aside blockquote body br button caption center dd detai
 CONTAINER = "article aside blockquote body button dd details dialog div dl dt fieldset figure footer form header label li main menu nav ol p section select span table td th tr ul".split()
 OUTSIDE = "aside button dialog footer form header label menu nav select".split()
 MAIN = "article main".split()
+SENTENCE = "p li td dd".split()
 #: Elements that end an open one of their kind, up to the list or table around it.
 IMPLIED = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "td": ("table", "tr"), "th": ("table", "tr"), "tr": ("table",)}
 #: Words in class, id or role that tell a container which isn't main text, and those that an article or main element within it
 #: overrides if they are only part of a name (a layout that is called after its sidebar).
 HINTS = "ad ads advert advertisement adverts advertising alert banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget".split()
 LAYOUT = "banner breadcrumb breadcrumbs contentinfo footer header menu nav navbar navigation sidebar toc toolbar".split()
+#: Within an article or main element a name tells only if each of its parts is a hint or one of these, or if its last part is one of NOTICES:
+#: a section about a social impact, related work or share prices is text.
+NEUTRAL = "area articles bar block box btn button buttons container content group icon icons inner item items link links list media module outer panel post posts section slot stories unit wrap wrapper".split()
+NOTICES = "ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments cookie cookies disqus nav navbar newsletter popup promo sidebar signup sponsored subscribe toolbar".split()
 #: Parts of a name after which a hint says what else the page has.
 LACKS = "has with no without hide show when".split()
 
@@ -51,7 +59,7 @@ _NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _HREF = re.compile(r"(?<![\w-])href\s*=", re.IGNORECASE)
 _WORD = re.compile(r"\w")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
-_BLOCK, _CONTAINER, _OUTSIDE, _MAIN, _HINTS, _HIDDEN, _LAYOUT, _LACKS = map(frozenset, (BLOCK, CONTAINER, OUTSIDE, MAIN, HINTS, HIDDEN, LAYOUT, LACKS))
+_BLOCK, _CONTAINER, _OUTSIDE, _MAIN, _HINTS, _HIDDEN, _LAYOUT, _LACKS, _NEUTRAL, _NOTICES = map(frozenset, (BLOCK, CONTAINER, OUTSIDE, MAIN, HINTS, HIDDEN, LAYOUT, LACKS, NEUTRAL, NOTICES))
 BLOCKS = "array<struct<text:string,words:int,links:int,main:int,outside:int,hint:int,heading:int>>"
 FEATURES = ["words", "density", "words_before", "density_before", "words_after", "density_after", "main", "outside", "hint", "heading", "page_main"]
 
@@ -62,6 +70,8 @@ def _hint(attrs: str, main: int) -> int:
     for m in _NAMED.finditer(attrs):
         for name in (m[1] or m[2] or m[3] or "").split():
             parts = [p.lower() for p in _PART.findall(name)]
+            if main and parts and not (parts[-1] in _NOTICES or all(p in _HINTS or p in _NEUTRAL for p in parts)):
+                continue
             for k, part in enumerate(parts):
                 if part in _HINTS and not (main and part == "header") and not _LACKS.intersection(parts[:k]):
                     level = max(level, 1 if part in _LAYOUT and len(parts) > 1 else 2)
@@ -71,15 +81,20 @@ def _hint(attrs: str, main: int) -> int:
 def blocks(page: str | None) -> list[dict]:
     """The flat text blocks of a page."""
     found: list[dict] = []
-    texts: list[tuple[str, bool]] = []
+    texts: list[tuple[str, bool, bool]] = []  # text; within a link, within a label or button of a sentence
     open_: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag; inside main, an outside container, a hinted one
     hidden: list[str] = []  # open elements that aren't shown
     linked = 0  # how many containers were open where the link began, or 0
     heading = False
+    inline: list[str] = []  # open labels and buttons that began within a sentence
 
     def close() -> None:
+        inline.clear()
+        for end in (-1, 0):  # one that doesn't stand between words isn't of the sentence
+            while texts and any(ui for _, _, ui in texts) and (texts[end][2] or not texts[end][0].strip()):
+                texts.pop(end)
         if texts:
-            parts = [(html.unescape(t), a) for t, a in texts]
+            parts = [(html.unescape(t), a) for t, a, _ in texts]
             words = "".join(t for t, _ in parts).split()
             if words:
                 counted = sum(1 for w in words if _WORD.search(w))  # separators aren't words
@@ -97,7 +112,7 @@ def blocks(page: str | None) -> list[dict]:
     at = 0
     for m in _TOKEN.finditer(page or ""):
         if m.start() > at and not hidden:
-            texts.append((page[at : m.start()], linked > 0))
+            texts.append((page[at : m.start()], linked > 0, bool(inline)))
         at = m.end()
         if m["raw"] and m["raw"].lower() in ("title", "textarea", "iframe"):
             close()
@@ -121,6 +136,13 @@ def blocks(page: str | None) -> list[dict]:
             if not ends and not m["attrs"].endswith("/"):
                 hidden = [tag]
             continue
+        if tag in ("label", "button"):
+            if ends and tag in inline:
+                inline.remove(tag)
+                continue
+            if not ends and open_[-1][0] in SENTENCE and open_[-1][1] and not open_[-1][2] and any(t.strip() for t, _, _ in texts):
+                inline.append(tag)
+                continue
         if tag in _BLOCK:
             close()
         if tag == "a":
@@ -154,7 +176,7 @@ def blocks(page: str | None) -> list[dict]:
                     close()
                 open_.append((tag, int(main or tag in _MAIN), outside, max(hint, mine)))
     if page and at < len(page) and not hidden:
-        texts.append((page[at:], linked > 0))
+        texts.append((page[at:], linked > 0, bool(inline)))
     close()
     return found
 
@@ -180,9 +202,9 @@ PATTERNS = [
     "<main><p data-main>{A}</p><ul><li data-main>{A}</li><li data-main>{L} {K}.</li></ul><nav>{K} {K}</nav><p data-main>{A}</p></main><aside>{A}</aside>",
     '<div class="banner"><p>{A}</p></div><article><table><tr><td data-main>{S}</td><td data-main>{S}</td></tr></table><form><p>{A}</p></form><p data-main>{A}</p></article><div role="contentinfo"><p>{A}</p></div>',
     "<p>{A}</p><p>{A}</p><article><p data-main>{A}</p></article><p>{A}</p><div>{A}</div>",
-    "<article><h1 data-main>{K}</h1><p data-main>{A}</p>{N}</article><div>{A}</div>",
+    "<article><h1 data-main>{K}</h1><p data-main>{A}</p><nav>{N}</nav></article><div>{A}</div>",
     "<nav>{K}</nav><article><h2 data-main>{K}</h2><p data-main>{A}</p><h2 data-main>{A}</h2><p data-main>{A}</p></article>",
-    "<main><p data-main>{A}</p><p data-main>{L} {K}</p>{N}<p data-main>{A}</p></main><p>{A}</p>",
+    "<main><p data-main>{A}</p><p data-main>{L} {K}</p><nav>{N}</nav><p data-main>{A}</p></main><p>{A}</p>",
     "{N}<article><p data-main>{A}</p><p data-main>{A}</p></article>",
     "{N}<p>{A}</p><main><p data-main>{A}</p><h2 data-main>{S}</h2><p data-main>{A}</p></main>{N}",
     # Pages of plain divisions: length, links and neighbours tell.
@@ -196,6 +218,9 @@ PATTERNS = [
     "<p data-main>{L}</p><p data-main>{A}</p><p data-main>{L}</p>",
     "<div data-main>{A}</div>",
     "{N}<p data-main>{L}</p>{N}",
+    # Links that an article has as text.
+    "{N}<article><p data-main>{S} {K} {S} {K}.</p><ul><li data-main>{K}</li><li data-main>{K}</li><li data-main>{K}</li></ul><p data-main>{A}</p></article>{N}",
+    "<nav>{N}</nav><main><p data-main>{K}</p><ul><li data-main>{K}, {S}</li><li data-main>{K}</li></ul></main><footer>{A}</footer>",
 ]
 FILLINGS = 12
 
