@@ -219,7 +219,7 @@ def voronoi(sets: list[np.ndarray], percent: int, pivots: int = 8, least: int =
             d = np.stack([distances(int(p), region, "pivot_links") for p in chosen])
             near = d <= d.min(axis=0) + 2 * eps + 1e-9
             cells = [region[row] for row in near]
-            if sum(map(len, cells)) <= 2 * len(region) and max(map(len, cells)) < len(region):
+            if 4 * sum(len(c) ** 2 for c in cells) <= 3 * len(region) ** 2 and max(map(len, cells)) < len(region):  # fewer pairs are left than there were
                 todo += cells
                 continue
         # Each set as a pivot in its turn, against those of other components of a size that allows a link.
