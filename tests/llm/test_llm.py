@@ -200,6 +200,38 @@ def test_main_text_of_odd_pages(spark):
     assert hints == [1, 0, 1, 0, 0, 1]
 
 
+def test_main_text_keeps_what_an_article_says(spark):
+    """Sections whose names only contain a hint, sentences and lists of links, and words of controls within a sentence."""
+    rng = random.Random(5)
+    bodies = [
+        ('<section id="social-impact"><p>{a}</p></section><section class="related-work"><p>{b}</p></section><div id="share-prices"><p>{c}</p></div>', "{a} {b} {c}"),
+        ('<p>See <a href="/x">{a}</a> and <a href="/y">the short one</a>.</p>', "See {a} and the short one."), ('<p>{a}</p><ul><li><a href="/1">{b}</a></li><li><a href="/2">{c}</a></li></ul>', "{a} {b} {c}"),
+        ("<p>Press the <button>Go</button> key or <label>tick</label> it.</p><p>{a} <button>Share</button></p>", "Press the Go key or tick it. {a}"), ('<p>{a}</p><div class="share-buttons"><p>{b}</p></div><div class="reader-comments"><p>{c}</p></div>', "{a}"),
+        ('<div class="cookie-notice">{a}</div><nav><a href="/">{b}</a></nav><p>{c}</p>', "{c}"), ('<p class="market-share">{a}</p><aside>{b}</aside><table><tr><td><a href="/">{c}</a></td></tr></table>', "{a} {c}"),
+    ]
+    menu = '<ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li><li><a href="/n">News</a></li></ul>'
+    pages, want = [], []
+    for k in range(70):
+        body, text = bodies[k % len(bodies)]
+        fill = {x: prose(rng, rng.choice([3, 12, 50])) for x in "abc"}
+        pages.append((k, f"<html><body><nav>{menu}</nav><article><h1>Title</h1>{body.format(**fill)}</article><div>{menu}</div><footer>End</footer></body></html>"))
+        want.append("Title " + text.format(**fill))
+    got = {r.page_id: r.main_text for r in html_extract.extracted(spark.createDataFrame(pages, "page_id long, html string")).collect()}
+    wrong = [(pages[k][1], want[k], got[k]) for k in range(70) if got[k] != want[k]]
+    assert not wrong, (len(wrong), wrong[0])
+
+
+def test_voronoi_regions_find_the_links():
+    """Texts that drift away from each other a few words at a time, and some alone: links come from distances to pivots, within regions that get smaller."""
+    rng = random.Random(3)
+    w, texts = [prose(rng, 1) for _ in range(200)], []
+    for k in range(400):
+        w[k % 200] = prose(rng, 1)
+        texts.append(" ".join(w))
+    roots, did = jaccard_join.voronoi(jaccard_join.shingle_sets(texts, 4), 85, pivots=16)
+    assert roots == list(brute_components(dict(enumerate(texts))).values()) and did["regions"] > 1 and did["pivot_links"] > did["other_links"]
+
+
 def test_chat_round_trip_and_rewriting(spark):
     rng = random.Random(4)
     pieces = ["\\", "###", "</turn>", "<turn>", ": ", "\n", "a", "\\\\", "### Assistant: ", "é\U0001f600", ""]
