@@ -65,6 +65,22 @@ def test_secrets_and_lookalikes(spark):
     assert got[(0, key)] and not got[(1, key)] and not got[(2, "get_default_user_config_v2")] and (3, "4785380592391139") not in got and len(got) == 4
 
 
+def test_short_and_lettered_secrets(spark):
+    """Values after telling names and in URLs, short or without digits, against words and stand-ins in the same places."""
+    rng = random.Random(9)
+    names = ["password: {}", "Passwort: {}", 'secret = "{}"', "pwd={}", "token: {}", "db at postgres://admin:{}@db.example/x", "mot de passe : {} ."]
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    secret = [lambda: draw("abcdefghijkmnpqrstuvwxyz23456789", rng.randint(9, 14)), lambda: draw("bcdfghjklmnpqrstvwxz", rng.randint(10, 20)), lambda: "hunter" + draw("23456789", 2) + draw("bcdfghjk", 4)]
+    other = [lambda: rng.choice(["important", "required", "changeme", "optional", "your_password", "everything"]), lambda: rng.choice(["response_token", "user_name", "request_value"])]
+    texts = [f"{prose(rng, 12)} {rng.choice(names).format((secret if k % 2 == 0 else other)[k % (3 if k % 2 == 0 else 2)]())} {prose(rng, 8)}" for k in range(120)]
+    texts += ["password = hunter2longer", "postgres://admin:s3cr3tPassw0rd@db", "Passwort: qwertzuiopasdfghjk", "token: abcdefghijklmnopqrst"]
+    rows = secret_scan.scanned(docs_of(spark, texts).withColumn("path", F.lit("src"))).collect()
+    found = {r.doc_id for r in rows if r.is_secret}
+    true = {k for k in range(120) if k % 2 == 0} | {120, 121, 122, 123}
+    assert {r.doc_id for r in rows} >= true  # every one is a candidate
+    assert len(found & true) >= 0.9 * len(true) and len(found - true) <= 0.1 * len(found), (sorted(true - found), [texts[k] for k in sorted(found - true)][:5])
+
+
 def brute_components(texts: dict[int, str | None], width=4, percent=85) -> dict[int, int]:
     sets = {}
     for i, t in texts.items():
