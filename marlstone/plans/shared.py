@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset (local runs, tests) a new one is made and set."""
+    """The folder in spark.checkpoint.dir. Only where it is unset and everything runs in one process (local runs, tests) a new one is made and set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-marlstone-", dir="/tmp")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
