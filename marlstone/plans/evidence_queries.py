@@ -157,9 +157,9 @@ def _diverse(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.select_diverse(h, 12).select("task_id", "hit_id", "position")
 
 
-# --- claims: each sentence of a user's turn is a claim and is quoted from it, now and then with quotation marks or a change.
+# --- claims: each sentence of a turn is a claim and is quoted from it, now and then with quotation marks or a change.
 def _claims(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    c = table(spark, sf, "conversations").filter("role = 'user'").withColumn("document_id", F.col("conv_id") * 100 + F.col("turn"))
+    c = table(spark, sf, "conversations").withColumn("document_id", F.col("conv_id") * 100 + F.col("turn"))
     one = c.select("document_id", "conv_id", F.posexplode(F.split("text", r"\. ")).alias("k", "part"))
     turn = (F.col("document_id") + F.col("k")) % 3
     quote = F.when(turn == 0, F.col("part")).when(turn == 1, F.concat(F.lit('"'), F.col("part"), F.lit('"'))).otherwise(F.upper("part"))
@@ -173,7 +173,7 @@ def _grounded(spark: SparkSession, sf: str) -> DataFrame:
 
 _STRIP = "regexp_replace({0}, '{1}', '')"
 _MARKS = "[\"''“”‘’«»]+"
-_GROUND = f"""WITH t AS (SELECT conv_id * 100 + turn AS document_id, text, unnest(string_split(text, '. ')) AS claim, generate_subscripts(string_split(text, '. '), 1) - 1 AS k FROM conversations WHERE role = 'user'),
+_GROUND = f"""WITH t AS (SELECT conv_id * 100 + turn AS document_id, text, unnest(string_split(text, '. ')) AS claim, generate_subscripts(string_split(text, '. '), 1) - 1 AS k FROM conversations),
 c AS (SELECT *, CASE (document_id + k) % 3 WHEN 0 THEN claim WHEN 1 THEN '"' || claim || '"' ELSE upper(claim) END AS quote FROM t),
 o AS (SELECT *, regexp_replace(trim(quote), '^{_MARKS}', '') AS q1, regexp_replace(trim(quote), '{_MARKS}$', '') AS q2, regexp_replace(trim(quote), '^{_MARKS}|{_MARKS}$', '', 'g') AS q3 FROM c),
 g AS (SELECT DISTINCT document_id, claim, coalesce(CASE WHEN quote <> '' AND contains(text, quote) THEN quote END, CASE WHEN q1 <> '' AND contains(text, q1) THEN q1 END, CASE WHEN q2 <> '' AND contains(text, q2) THEN q2 END, CASE WHEN q3 <> '' AND contains(text, q3) THEN q3 END) AS grounded FROM o)

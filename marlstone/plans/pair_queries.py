@@ -73,11 +73,11 @@ def signals_on_date(spark: SparkSession, sf: str) -> DataFrame:
 
 def _brands(spark: SparkSession, sf: str) -> DataFrame:
     """Memberships of brands by their parts' sizes; several a brand."""
-    p = inputs.table(spark, sf, "part").filter("p_size <= 12")
+    p = inputs.table(spark, sf, "part")
     return p.select(F.col("p_brand").alias("ticker"), F.concat(F.lit("u"), F.col("p_size") % 3).alias("universe"), F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("c"), F.col("p_size") % 2)).alias("currency"), F.when(F.col("p_size") % 7 == 0, "unmapped").otherwise("mapped").alias("mapping_status"))
 
 
-_BRANDS = "brands AS (SELECT p_brand AS ticker, 'u' || p_size % 3 AS universe, CASE WHEN p_size % 5 > 0 THEN 'c' || p_size % 2 END AS currency, CASE WHEN p_size % 7 = 0 THEN 'unmapped' ELSE 'mapped' END AS mapping_status FROM part WHERE p_size <= 12)"
+_BRANDS = "brands AS (SELECT p_brand AS ticker, 'u' || p_size % 3 AS universe, CASE WHEN p_size % 5 > 0 THEN 'c' || p_size % 2 END AS currency, CASE WHEN p_size % 7 = 0 THEN 'unmapped' ELSE 'mapped' END AS mapping_status FROM part)"
 
 
 def group_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +126,7 @@ QUERIES: dict[str, Query] = {
     "resolve_session": sessions,
     "top_signals": signals_on_date,
     "universe_groups": group_counts,
-    "attach_group": lambda s, sf: universe.attach_group(inputs.table(s, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker")), _brands(s, sf).filter("currency = 'c1'")),
+    "attach_group": lambda s, sf: universe.attach_group(inputs.table(s, sf, "part").select("p_partkey", F.col("p_brand").alias("ticker")), _brands(s, sf)),
     "merge_securities": lambda s, sf: universe.merge_securities(_universe(s, sf)),
     "pit_peers": pit_peers,
 }
@@ -171,7 +171,7 @@ SELECT a, b, as_of, entry, horizon, date, round(path * 100, 4) + 0 AS return_pct
     "top_signals": f"{_BASE}, {_CAL}, {_TOP}, {_fits(_PAST)}, {_Z} SELECT a, b, round(z, 4) + 0 AS z, row_number() OVER (ORDER BY abs(z) DESC, a, b) AS rank FROM zz WHERE date = DATE '{AS_OF}' QUALIFY rank <= 50",
     "universe_groups": f"""{_BASE}, {_BRANDS}, m AS (SELECT DISTINCT ticker, universe || '|' || coalesce(currency, '') AS grp FROM brands WHERE mapping_status = 'mapped')
 SELECT grp, count(DISTINCT ticker) AS tickers, count(*) AS bars, min(date) AS first_date FROM weekly JOIN m USING (ticker) GROUP BY 1 HAVING count(DISTINCT ticker) >= 2""",
-    "attach_group": f"WITH {_BRANDS} SELECT p_partkey, p_brand AS ticker, coalesce((SELECT min(universe) FROM brands WHERE ticker = p_brand AND currency = 'c1'), 'unknown') AS \"group\" FROM part",
+    "attach_group": f"WITH {_BRANDS} SELECT p_partkey, p_brand AS ticker, coalesce((SELECT min(universe) FROM brands WHERE ticker = p_brand), 'unknown') AS \"group\" FROM part",
     "merge_securities": f"WITH {_UNIVERSE} SELECT upper(trim(ticker)) AS ticker, arg_min(name, input_pos) FILTER (WHERE trim(name) <> '') AS name, arg_min(sector, input_pos) FILTER (WHERE trim(coalesce(sector, '')) <> '') AS sector, string_agg(DISTINCT universe, ',' ORDER BY universe) AS universes FROM uni WHERE mapping_status = 'mapped' GROUP BY 1",
     "pit_peers": f"""WITH {_MEMBERSHIP}, v AS (SELECT * FROM mem WHERE valid_from <= DATE '2001-01-01' AND (valid_to IS NULL OR DATE '2001-01-01' < valid_to)),
 b AS (SELECT DISTINCT t.ticker, p.ticker AS peer FROM v t JOIN v p ON t.universe IS NOT DISTINCT FROM p.universe AND t.currency IS NOT DISTINCT FROM p.currency AND t.sector = p.sector AND t.ticker <> p.ticker AND (t.industry IS NULL OR t.industry = p.industry))
