@@ -226,11 +226,16 @@ def read_records(index: DataFrame) -> DataFrame:
     return out.select(number("record").alias("page_id"), "url", "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"), "payload")
 
 
-def round_trip(pages: DataFrame, *, part_bytes: int = 4 << 20, **options) -> DataFrame:
+def readers(total: int, cores: int, *, least_bytes: int = 4 << 20, most_bytes: int = 128 << 20, most: int = 50_000) -> int:
+    """How many tasks read archives of so many bytes: enough for four rounds of the cores if each then has ``least_bytes``, as many as ``most_bytes`` a task ask for, ``most`` at most."""
+    return max(1, min(most, max(min(-(-total // least_bytes), 4 * cores), -(-total // most_bytes))))
+
+
+def round_trip(pages: DataFrame, *, parts: int | None = None, **options) -> DataFrame:
     """The pages' records, written as packages and read back.
 
-    Readers are dealt records, not packages, in file order, so many that each reads about ``part_bytes`` of the archives.
+    Readers are dealt records, not packages, in file order; their number, if not given, is that of ``readers``.
     """
     packages = archived(pages, new_path(pages.sparkSession, "packages"), **options)
-    parts = -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // part_bytes)
-    return read_records(indexed(packages).repartitionByRange(max(1, parts), "package", "at"))
+    total = packages.agg(F.sum("bytes")).first()[0] or 0
+    return read_records(indexed(packages).repartitionByRange(parts or readers(total, pages.sparkSession.sparkContext.defaultParallelism), "package", "at"))

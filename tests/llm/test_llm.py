@@ -248,6 +248,10 @@ def test_voronoi_regions_find_the_links():
     assert roots == list(brute_components(dict(enumerate(texts))).values()) and did["regions"] > 1 and did["pivot_links"] > did["other_links"]
 
 
+def test_readers_grow_with_the_archives():
+    assert [warc_zip.readers(n, 8) for n in (0, 1 << 20, 40 << 20, 1 << 30, 10 << 30, 100 << 40)] == [1, 1, 10, 32, 80, 50_000]
+
+
 def test_chat_round_trip_and_rewriting(spark):
     rng = random.Random(4)
     pieces = ["\\", "###", "</turn>", "<turn>", ": ", "\n", "a", "\\\\", "### Assistant: ", "é\U0001f600", ""]
