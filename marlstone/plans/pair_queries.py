@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marlstone.operators import pairs, universe
@@ -44,7 +45,8 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
     bars = _grouped(spark, sf)
     fits = _statistics(spark, sf, bars.filter(F.col("date") < F.lit(AS_OF).cast("date")))
     signals = pairs.spread_z(bars.filter(F.col("date") == F.lit(AS_OF).cast("date")), fits).join(fits, ["grp", "a", "b"]).select("a", "b", F.col("date").alias("as_of"), "z", "beta")
-    return rounded(pairs.forward_outcomes(signals, bars.withColumn("open", F.col("close")), horizons=(1, 5, 10, 20)))
+    before = F.lag("close").over(W.partitionBy("ticker").orderBy("date"))  # an index opens half way from the close before
+    return rounded(pairs.forward_outcomes(signals, bars.withColumn("open", F.coalesce((F.col("close") + before) / 2, F.col("close"))), horizons=(1, 5, 10, 20)))
 
 
 def fit_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,8 +163,9 @@ ORACLE: dict[str, str] = {
 SELECT a, b, min(date) AS window_start, max(date) AS window_end, min(date) FILTER (WHERE abs(z) > 1.5) AS first_flag, count(*) FILTER (WHERE abs(z) > 1.5) AS n_days_flagged, round(arg_max(z, date), 4) + 0 AS z_score,
   round(max(abs(z)), 4) + 0 AS max_abs_z, CASE WHEN arg_max(z, date) > 0 THEN 'a_rich' ELSE 'b_rich' END AS direction, 'PAIR-' || a || '-' || b || '-' || max(date) AS anomaly_id FROM zw GROUP BY a, b HAVING count(*) FILTER (WHERE abs(z) > 1.5) > 0""",
     "forward_outcomes": f"""{_BASE}, {_CAL}, {_TOP}, {_fits(_PAST)}, {_Z}, sg AS (SELECT a, b, date AS as_of, z, beta FROM zz WHERE date = DATE '{AS_OF}'),
-mk AS (SELECT sg.*, x.date, x.close AS ca, y.close AS cb FROM sg JOIN weekly x ON x.ticker = a AND x.date > as_of JOIN weekly y ON y.ticker = b AND y.date = x.date),
-m1 AS (SELECT *, first_value(date) OVER w AS entry, first_value(ca) OVER w AS oa, first_value(cb) OVER w AS ob, row_number() OVER w AS horizon FROM mk WINDOW w AS (PARTITION BY a, b ORDER BY date)),
+wo AS (SELECT *, coalesce((close + lag(close) OVER (PARTITION BY ticker ORDER BY date)) / 2, close) AS open FROM weekly),
+mk AS (SELECT sg.*, x.date, x.close AS ca, y.close AS cb, x.open AS xo, y.open AS yo FROM sg JOIN wo x ON x.ticker = a AND x.date > as_of JOIN wo y ON y.ticker = b AND y.date = x.date),
+m1 AS (SELECT *, first_value(date) OVER w AS entry, first_value(xo) OVER w AS oa, first_value(yo) OVER w AS ob, row_number() OVER w AS horizon FROM mk WINDOW w AS (PARTITION BY a, b ORDER BY date)),
 m2 AS (SELECT *, -sign(z) / (1 + abs(beta)) * (ca / oa - 1) + sign(z) * beta / (1 + abs(beta)) * (cb / ob - 1) AS path FROM m1),
 m3 AS (SELECT *, greatest(0, max(path) OVER (PARTITION BY a, b ORDER BY date)) AS peak FROM m2), m4 AS (SELECT *, min(path - peak) OVER (PARTITION BY a, b ORDER BY date) AS dd FROM m3)
 SELECT a, b, as_of, entry, horizon, date, round(path * 100, 4) + 0 AS return_pct, round(dd * 100, 4) + 0 AS drawdown_pct FROM m4 WHERE horizon IN (1, 5, 10, 20)""",
