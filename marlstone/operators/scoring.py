@@ -6,7 +6,7 @@ published_at); criterion (assessment_id, name, value, evidence_ids).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The policy's weights, role qualities and thresholds.
@@ -21,6 +21,11 @@ LEAST_COVERAGE, CORE_FLOOR, THIN_CAP, WEAK_CAP, PLAUSIBLE, STRONG = 0.70, 0.25,
 SUPPLIED = [c for c in WEIGHTS if c not in ("temporal_fit", "source_independence", "primary_source_support")]
 
 
+def _rounded(c: Column, digits: int) -> Column:
+    """c to so many digits, halves away from zero, as SQL rounds doubles: 0.53125 is 0.5313."""
+    return F.round(c * 10.0**digits) / 10.0**digits
+
+
 def available_evidence(assessments: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence out by the earlier of cutoff and end of the anomaly."""
     cut = assessments.select("assessment_id", "anomaly_start_at", F.least("as_of_at", "anomaly_end_at").alias("cutoff"))
@@ -57,18 +62,18 @@ def causal_score(assessments: DataFrame, evidence: DataFrame, criteria: DataFram
     fit = F.when(hours <= GRACE_HOURS, F.lit(1.0)).otherwise(F.pow(F.lit(0.5), (hours - GRACE_HOURS) / HALF_LIFE_HOURS))
     eligible = F.col("first_public").isNotNull()
     against = F.least(F.lit(1.0), F.try_divide(F.coalesce("contradicts", F.lit(0.0)), F.col("supports")))
-    df = df.withColumns({"eligible": eligible, "temporal_fit": F.bround(fit, 4), "source_independence": F.bround(F.least(F.lit(1.0), F.col("lineages") / SOURCES), 4), "contradiction": F.bround(F.coalesce(F.when(F.col("supports") > 0, against), F.lit(0.0)), 4)})
+    df = df.withColumns({"eligible": eligible, "temporal_fit": _rounded(fit, 4), "source_independence": _rounded(F.least(F.lit(1.0), F.col("lineages") / SOURCES), 4), "contradiction": _rounded(F.coalesce(F.when(F.col("supports") > 0, against), F.lit(0.0)), 4)})
     coverage = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in WEIGHTS.items()), F.lit(0.0))
     base = sum((w * F.coalesce(F.col(c), F.lit(0.0)) for c, w in WEIGHTS.items()), F.lit(0.0))
     missing = sum((F.col(c).isNull().cast("int") for c in CORE), F.lit(0)) > 0
     weak = sum((F.coalesce(F.col(c) < CORE_FLOOR, F.lit(False)).cast("int") for c in CORE), F.lit(0)) > 0
     df = df.withColumns({"coverage": coverage, "raw": 100 * F.greatest(F.lit(0.0), base - PENALTY * F.col("contradiction")), "missing_core": missing, "weak_core": weak})
-    thin = F.round("coverage", 9) < LEAST_COVERAGE
+    thin = _rounded(F.col("coverage"), 9) < LEAST_COVERAGE
     score = F.least(F.col("raw"), F.when(thin, F.lit(THIN_CAP)).otherwise(F.lit(1e9)), F.when(F.col("weak_core"), F.lit(WEAK_CAP)).otherwise(F.lit(1e9)))
-    df = df.withColumn("capped", F.round(score, 9))
+    df = df.withColumn("capped", _rounded(score, 9))
     label = F.when(~F.col("eligible"), "ineligible").when(F.col("missing_core") | thin, "insufficient_evidence").when(F.col("capped") >= STRONG, "strong_candidate").when(F.col("capped") >= PLAUSIBLE, "plausible").otherwise("weak")
     zero = lambda c: F.when(F.col("eligible"), c).otherwise(F.lit(0.0))
-    return df.select("assessment_id", "eligible", zero(F.bround("capped", 1)).alias("score"), label.alias("classification"), zero(F.bround("coverage", 3)).alias("coverage"), zero(F.col("contradiction")).alias("contradiction"))
+    return df.select("assessment_id", "eligible", zero(_rounded(F.col("capped"), 1)).alias("score"), label.alias("classification"), zero(_rounded(F.col("coverage"), 3)).alias("coverage"), zero(F.col("contradiction")).alias("contradiction"))
 
 
 def assessment_violations(assessments: DataFrame, evidence: DataFrame, criteria: DataFrame) -> DataFrame:

@@ -92,6 +92,14 @@ def test_score_counts_a_lineage_once_and_drops_late_criteria(spark):
     assert [v.violation for v in scoring.assessment_violations(assess, evs, bad).collect()] == ["unknown evidence"]
 
 
+def test_score_rounds_halves_away_from_zero(spark):
+    assess = spark.createDataFrame([(1, T(2024, 1, 3), T(2024, 1, 1, 12), T(2024, 1, 2))], "assessment_id long, as_of_at timestamp, anomaly_start_at timestamp, anomaly_end_at timestamp")
+    ev = [(1, 1, "independent_reporting", "supports", "L1", T(2024, 1, 1)), (1, 2, "independent_reporting", "supports", "L2", T(2024, 1, 1)), (1, 3, "secondary_analysis", "contradicts", "L3", T(2024, 1, 1)), (1, 4, "syndicated_report", "contradicts", "L4", T(2024, 1, 1))]
+    evs = spark.createDataFrame(ev, "assessment_id long, evidence_id long, role string, stance string, lineage_id string, published_at timestamp")
+    crits = spark.createDataFrame([], "assessment_id long, name string, value double, evidence_ids array<long>")
+    assert scoring.causal_score(assess, evs, crits).first().contradiction == 0.5313  # 0.85 / 1.6 = 0.53125
+
+
 def test_graph_closure_cycles_and_statuses(spark):
     edges = spark.createDataFrame([("g", a, b, "derived_from") for a, b in (("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "gone"))], "graph_id string, source string, target string, kind string")
     assert {(r.root, r.node) for r in graph.lineage_closure(edges).collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("x", "y"), ("y", "x"), ("x", "x"), ("y", "y"), ("z", "gone")}
