@@ -7,8 +7,9 @@ can't be close. Two documents link when 100 * |x and y| >= percent * |x or y|; e
 2. Zones. Nearly all documents of a corpus are at a distance of about 1 from each other, and from any pivots chosen among them, so windows
    of 2 eps around document pivots of the whole corpus would hold everything. Pivots of one shingle come first: against {t} a set has distance
    1 - 1/|x| if it holds t and 1 otherwise, so its nearest pivots are its own shingles; pivots are ordered, those that occur least first. If two
-   sets link, the first shingle that both have is among the first |x| - ceil(percent/100 |x|) + 1 of each: that is a set's window.
-   Sets whose windows meet at places that leave enough for a link, directly or through others, are a zone; no link leaves a zone.
+   sets link, the first k shingles that both have are among the first |x| - ceil(percent/100 |x|) + k of each: that is a set's window.
+   Sets whose windows meet k times (``MEET``; fewer where a link needs fewer) at places that leave enough for a link, directly or through others, are a zone; no link leaves a zone.
+   Unlike texts meet once by chance, the more of them the more often, and would chain ever larger zones; they hardly meet k times.
 3. Voronoi regions. Within a zone, pivots are its own sets. Each set goes to its nearest pivot's region and, as far as the triangle inequality asks, to
    those of pivots at most 2 eps further away; sets within eps of a pivot link to it. Regions are split again in the same
    way until each holds one component. A region that doesn't shrink is one of sets about equally far from each other: there each set is a pivot
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ from marlstone.plans.shared import arrow_rows, cut, written
 
 SKETCH_BITS = 22  # 16 MB of counts; a bucket then has 25 shingles or so for each 100 million
 BITS = 26  # 8 MB each for which window shingles several sets have, and which ids have a zone: they say yes too often at most
+MEET = 3  # the shingles that windows of linked sets share at least
 SET = 512  # what a set counts besides its shingles, so that many small ones don't share a task either
 _UPPER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _NONE = np.empty(0, dtype=np.int64)
@@ -96,7 +98,7 @@ def _points(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> Da
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), width)
-            first = [x[np.argsort(shared.value[_bucket(x)], kind="stable")[: len(x) - -(-percent * len(x) // 100) + 1]] if len(x) else _NONE for x in sets]
+            first = [x[np.argsort(shared.value[_bucket(x)], kind="stable")[: len(x) - -(-percent * len(x) // 100) + MEET]] if len(x) else _NONE for x in sets]
             same = [xxhash.xxh128_digest(x.tobytes()) if len(x) else None for x in sets]
             windows = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, first)]), pa.int32()), pa.array(np.concatenate([_NONE, *first])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(same, pa.binary()), windows], ["doc_id", "n_shingles", "same", "window"])
@@ -105,46 +107,76 @@ def _points(docs: DataFrame, width: int, percent: int, sketch: np.ndarray) -> Da
     return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {kind}, n_shingles long, same binary, window array<long>")
 
 
-def _met(copies: DataFrame) -> DataFrame:
-    """(t, x): the shingles of each set's window that other windows have too, x with its id, its size n and the shingle's position p. Which those are is counted over all windows; only they are dealt out."""
-    often = copies.select(F.explode("window").alias("h")).groupBy("h").count().filter("count > 1")
-    shared = copies.sparkSession.sparkContext.broadcast(bitmap(often, {"some": F.lit(True)}, BITS)[0])
+def _met(points: DataFrame, copies: DataFrame) -> DataFrame:
+    """(t, x): the shingles of each set's window that other windows have too, x with its id, its size n and the shingle's position p. Which those are is counted over all windows; only they are dealt out.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Windows stay where they are: a bitmap tells the points that stand for their copies. A few others pass as well; what they meet is met by the point of their set, too.
+    Bits are those of the shingles' hashes mixed again, as windows are of few buckets of the sketch, which are upper bits.
+    """
+    sc = points.sparkSession.sparkContext
+    first = sc.broadcast(bitmap(copies.select(F.xxhash64("same", "id").alias("h")), {"some": F.lit(True)}, BITS)[0])
+    named = points.filter("same is not null and doc_id is not null").select("doc_id", F.col("n_shingles").cast("int").alias("n"), "window", F.xxhash64("same", "doc_id").alias("h"))
+
+    def ours(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(held(first.value, batch.column(3).to_numpy().view(np.uint64), BITS)))
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mixed(ours(batch).column(2).flatten().to_numpy().view(np.uint64)).view(np.int64))], ["h"])
+
+    # Nearly all are there once: dealt out first, they need no map of counts on either side.
+    often = named.mapInArrow(every, "h long").repartition("h").groupBy("h").count().filter("count > 1")
+    shared = sc.broadcast(bitmap(often, {"some": F.lit(True)}, BITS)[0])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in map(ours, batches):
             lists = batch.column(2)
             t, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            keep = held(shared.value, t.view(np.uint64), BITS)
+            keep = held(shared.value, mixed(t.view(np.uint64)), BITS)
             owner = np.repeat(np.arange(batch.num_rows), sizes)
             place = np.arange(len(t)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             at = pa.array(owner[keep])
             yield pa.RecordBatch.from_arrays([pa.array(t[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(place[keep].astype(np.int32))], ["t", "id", "n", "p"])
 
-    kind = copies.schema["id"].dataType.simpleString()
-    rows = copies.select("id", F.col("n").cast("int").alias("n"), "window").mapInArrow(make, f"t long, id {kind}, n int, p int")
-    return rows.select("t", F.struct("id", "n", "p").alias("x"))
+    kind = points.schema["doc_id"].dataType.simpleString()
+    return named.mapInArrow(make, f"t long, id {kind}, n int, p int").select("t", F.struct("id", "n", "p").alias("x"))
 
 
 def _possible(x: Column, y: Column, percent: int) -> Column:
-    """Whether sizes, and the positions p of a shingle that is the first of both windows' shared ones, leave enough for a link."""
-    rest = F.least(x["n"] - x["p"], y["n"] - y["p"])
+    """Whether sizes, and the positions p of a shingle that is one of the first ``MEET`` shared ones of both windows, leave enough for a link."""
+    rest = F.least(x["n"] - x["p"], y["n"] - y["p"]) + MEET - 1
     return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & ((100 + percent) * rest >= percent * (x["n"] + y["n"]))
 
 
+def _class(n: Column, percent: int) -> Column:
+    """The size class; linked sizes differ by one class at most."""
+    return F.floor(F.log(n.cast("double")) / -math.log(percent / 100) + 1e-9)
+
+
 def _zones(rows: DataFrame, percent: int, leaf: int) -> DataFrame:
-    """(id, component): sets that can be linked, directly or through others. Two sets of up to ``leaf`` that have a window shingle meet if their sizes and its positions allow a link;
-    where more have it, all of about one size meet (a set counts for its own size class and the next, as linked sizes differ by one class at most)."""
+    """(id, component): sets that can be linked, directly or through others. Where up to ``leaf`` sets have a window shingle, two of them meet if their sizes and its positions allow a link,
+    and belong together if they meet ``MEET`` times, or as often as a link of small sets needs. Where more have it, this goes by size class (a set counts for its own class and the next, and two sets meet
+    in the class of the larger one); where more than ``leaf`` of about one size have it, all of them belong together."""
     size = rows.groupBy("t").agg(F.count("*").alias("size")).filter("size > 1")
     mine = written(rows.join(size, "t"), "regions")
-    few = mine.filter(F.col("size") <= leaf).groupBy("t").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    pair = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, leaf), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-    few = few.select(F.explode(pair).alias("q")).filter(_possible(F.col("q.x"), F.col("q.y"), percent)).select(F.col("q.x.id").alias("a"), F.col("q.y.id").alias("b"))
-    class_ = F.floor(F.log(F.col("x.n").cast("double")) / -math.log(percent / 100) + 1e-9)
-    many = mine.filter(F.col("size") > leaf).withColumn("c", F.explode(F.array(class_, class_ + 1)))
-    many = written(many.select("t", "c", F.col("x.id").alias("id")), "crowds")
-    low = many.groupBy("t", "c").agg(F.min("id").alias("low"))
-    many = many.join(low, ["t", "c"]).select(F.col("low").alias("a"), F.col("id").alias("b"))
-    return components(few.unionByName(many).filter("a <> b").distinct())
+
+    def meetings(groups: DataFrame, where: Callable[[Column, Column], Column]) -> DataFrame:
+        pair = F.flatten(F.transform("xs", lambda x, i: F.transform(F.slice("xs", i + 2, leaf), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+        q = groups.withColumn("q", F.explode(pair)).filter(_possible(F.col("q.x"), F.col("q.y"), percent) & where(F.col("q.x"), F.col("q.y")))
+        need = F.least(F.lit(MEET), F.ceil(percent * F.greatest("q.x.n", "q.y.n") / 100))
+        return q.select(F.col("q.x.id").alias("a"), F.col("q.y.id").alias("b"), need.cast("int").alias("need"))
+
+    grouped = F.sort_array(F.collect_list("x")).alias("xs")
+    few = meetings(mine.filter(F.col("size") <= leaf).groupBy("t").agg(grouped), lambda x, y: F.lit(True))
+    class_ = _class(F.col("x.n"), percent)
+    many = written(mine.filter(F.col("size") > leaf).select("t", "x", F.explode(F.array(class_, class_ + 1)).alias("c")), "crowds")
+    crowd = many.groupBy("t", "c").agg(F.count("*").alias("size"), F.min("x.id").alias("low"))
+    many = written(many.join(crowd, ["t", "c"]), "crowds")
+    part = many.filter(F.col("size").between(2, leaf)).groupBy("t", "c").agg(grouped)
+    few = few.unionByName(meetings(part, lambda x, y: F.col("c") == _class(F.greatest(x["n"], y["n"]), percent)))
+    few = few.filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+    many = many.filter(F.col("size") > leaf).select(F.col("low").alias("a"), F.col("x.id").alias("b"))
+    return components(few.unionByName(many.filter("a <> b").distinct()))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -320,10 +352,10 @@ def joined(docs: DataFrame, *, width: int = 4, percent: int = 85, room: int = 1
 
 def _joined(docs: DataFrame, width: int, percent: int, room: int, leaf: int, pivots: int, rounds: int) -> DataFrame:
     points = written(_points(docs, width, percent, _sketch(docs, width)), "points")
-    copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("window").alias("window"))
+    copies = points.filter("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"))
     copies = written(copies, "copies")
     # 2. The windows of one point for each set; sets whose windows meet are a zone.
-    rows = written(_met(copies), "windows")
+    rows = written(_met(points, copies), "windows")
     zones = _zones(rows, percent, leaf)
     sized = zones.join(copies.select("id", "n"), "id").groupBy(F.col("component").alias("zone")).agg(F.sum(F.col("n") + SET).alias("size"))
     wanted = zones.join(copies.select("id", "same"), "id").join(sized.withColumnRenamed("zone", "component"), "component").select("id", "same", F.col("component").alias("zone"), "size")

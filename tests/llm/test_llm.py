@@ -9,6 +9,7 @@ import re
 import zipfile
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -497,3 +498,18 @@ def test_new_links_join_components(spark):
     got = {r.id: r.component for r in jaccard_join._merged(labels, links).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 7: 7, 8: 7, 9: 7, 20: 20, 21: 20}
     assert {r.id: r.component for r in jaccard_join._merged(labels, links.filter("a = 1")).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 7: 7, 8: 7}
+
+
+def test_unlike_texts_that_meet_once_are_no_zone(spark, monkeypatch):
+    """A chain of texts, each with one shingle of the next at the head of its window."""
+    phrases = [f"p{k} q{k} r{k} s{k}" for k in range(20000)]
+    hashes = [int(x[0]) for x in jaccard_join.shingle_sets(phrases, 4)]
+    low = [phrases[k] for k in np.argsort(hashes)[:31]]
+    texts = [" ".join([low[i], *(f"w{i}x{j}" for j in range(40)), low[i + 1]]) for i in range(30)]
+    near = [texts[0] + " more", texts[7] + " more"]
+    zones, real = [], jaccard_join._zones
+    monkeypatch.setattr(jaccard_join, "_sketch", lambda docs, width: np.zeros(1 << jaccard_join.SKETCH_BITS, dtype=np.int32))  # windows by hash alone
+    monkeypatch.setattr(jaccard_join, "_zones", lambda *a: zones.append(real(*a)) or zones[-1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.joined(docs_of(spark, texts + near)).collect()}
+    assert got == {i: i for i in range(30)} | {30: 0, 31: 7}
+    assert sorted(r.id for r in zones[0].collect()) == [0, 7, 30, 31]
