@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,12 +24,21 @@ def members_at(membership: DataFrame, cutoff: str) -> DataFrame:
 
 
 def pit_peers(membership: DataFrame, targets: DataFrame, cutoff: str, limit: int = 3) -> DataFrame:
-    """(ticker, peer, rank): valid members of the same universe, currency and sector, and industry if the target has one."""
-    valid = members_at(membership, cutoff)
-    own = valid.join(targets.select("ticker"), "ticker", "left_semi").alias("t")
-    cond = F.col("t.universe").eqNullSafe(F.col("p.universe")) & F.col("t.currency").eqNullSafe(F.col("p.currency")) & (F.col("t.sector") == F.col("p.sector")) & (F.col("t.ticker") != F.col("p.ticker"))
-    cond = cond & (F.col("t.industry").isNull() | (F.col("t.industry") == F.col("p.industry")))
-    both = own.join(valid.alias("p"), cond).select(F.col("t.ticker").alias("ticker"), F.col("p.ticker").alias("peer")).distinct()
+    """(ticker, peer, rank): valid members of the same universe, currency and sector, and industry if the target has one.
+
+    Of each class only its first ``limit`` + 1 tickers meet the targets: one of them may be the target itself, and no later one can rank.
+    """
+    valid = members_at(membership, cutoff).filter(F.col("sector").isNotNull())
+    key = ["universe", "currency", "sector", "industry"]
+    # A class of one industry, or, marked, of all of them: a target is in one of the two.
+    each = valid.filter(F.col("industry").isNotNull()).select(*key, "ticker", F.lit(False).alias("every"))
+    every = valid.select(*key[:3], F.lit(None).cast("string").alias("industry"), "ticker", F.lit(True).alias("every"))
+    members = each.unionByName(every).filter(F.col("ticker").isNotNull()).distinct()
+    first = F.row_number().over(W.partitionBy(*key, "every").orderBy("ticker"))
+    heads = members.withColumn("_n", first).filter(F.col("_n") <= limit + 1).groupBy(*key, "every").agg(F.collect_list("ticker").alias("peers")).alias("p")
+    own = valid.join(targets.select("ticker"), "ticker", "left_semi").select("ticker", *key, F.col("industry").isNull().alias("every")).distinct().alias("t")
+    same = reduce(lambda a, b: a & b, [F.col(f"t.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*key, "every"]])
+    both = own.join(heads, same).select("t.ticker", F.explode("p.peers").alias("peer")).filter("ticker <> peer").distinct()
     return both.withColumn("rank", F.row_number().over(W.partitionBy("ticker").orderBy("peer"))).filter(F.col("rank") <= limit)
 
 

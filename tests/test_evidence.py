@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import threading
 import time
 
 from pyspark.sql import functions as F
@@ -126,6 +127,24 @@ def test_universe_rules(spark):
     assert sorted(r.ticker for r in universe.index_members(h, "2020-01-01", "2020-12-31").collect()) == ["A", "B", "C"]
 
 
+def test_peers_of_a_large_class_need_no_pairs(spark):
+    """All pairs of this class would be 1.6 billion rows, which a minute doesn't do; rows of several classes of a ticker are ranked together."""
+    n = 40000
+    m = spark.range(n).select(F.format_string("t%05d", "id").alias("ticker"), F.lit("u").alias("universe"), F.lit(None).cast("string").alias("currency"), F.lit("s").alias("sector"), F.when(F.col("id") % 2 == 0, F.lit("i")).alias("industry"), F.lit(D(2020, 1, 1)).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    m = m.unionByName(m.filter("ticker in ('t00001', 't00009')").withColumn("ticker", F.translate("ticker", "19", "84")).withColumn("industry", F.lit(None).cast("string")))
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        rows = universe.pit_peers(m, m.select("ticker"), "2020-03-01").collect()
+    finally:
+        late.cancel()
+    got = {}
+    for r in rows:
+        got.setdefault(r.ticker, {})[r["rank"]] = r.peer
+    assert len(got) == n and got["t00000"] == {1: "t00002", 2: "t00004", 3: "t00006"} and got["t00001"] == {1: "t00000", 2: "t00002", 3: "t00003"}
+    assert got["t00008"] == {1: "t00000", 2: "t00001", 3: "t00002"} == got["t00004"] and got["t00006"] == {1: "t00000", 2: "t00002", 3: "t00004"}
+
+
 def test_streams(spark, tmp_path):
     def run(df, name):
         q = df.writeStream.outputMode("append").format("memory").queryName(name).start()
