@@ -15,6 +15,8 @@ from marlstone.plans.shared import cut, written
 
 #: Edge kinds that lead to what a node was made from.
 LINEAGE = ["derived_from", "calculated_from", "observed_in", "inferred_from", "extracted_from"]
+#: Edge kinds that lead on from a hypothesis that a requirement bears on.
+HOPS = ["supports", "weakens", "contradicts", "context"]
 
 
 def lineage_closure(edges: DataFrame, roots: DataFrame | None = None, *, kinds: list[str] | None = None) -> DataFrame:
@@ -33,13 +35,14 @@ def lineage_closure(edges: DataFrame, roots: DataFrame | None = None, *, kinds:
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """(graph_id, node_id) of calculations that wait for each other, found by peeling off what has no open input."""
-    rest = cut(edges.select("graph_id", "source", "target").distinct())
+    rest = written(edges.select("graph_id", "source", "target").distinct(), "waiting")
+    left = rest.count()
     while True:
         heads = rest.select("graph_id", F.col("source").alias("target")).distinct()
-        kept = cut(rest.join(heads, ["graph_id", "target"], "left_semi"))
-        if kept.isEmpty() or kept.count() == rest.count():
-            return kept.select("graph_id", F.col("source").alias("node_id")).distinct()
-        rest = kept
+        rest = written(rest.join(heads, ["graph_id", "target"], "left_semi"), "waiting")
+        before, left = left, rest.count()
+        if left in (0, before):
+            return rest.select("graph_id", F.col("source").alias("node_id")).distinct()
 
 
 def temporal_statuses(nodes: DataFrame, edges: DataFrame, cutoff: str) -> DataFrame:
@@ -154,7 +157,7 @@ def temporal_summary(roles: DataFrame) -> DataFrame:
 def affected_hypotheses(edges: DataFrame, requirements: DataFrame) -> DataFrame:
     """(graph_id, requirement, node): parents by 'requires', and one edge of support, weakening, contradiction or context on."""
     parents = edges.filter("kind = 'requires'").join(requirements.select("graph_id", F.col("node_id").alias("target")), ["graph_id", "target"]).select("graph_id", F.col("target").alias("requirement"), F.col("source").alias("node"))
-    hop = edges.filter(F.col("kind").isin("supports", "weakens", "contradicts", "context")).select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"))
+    hop = edges.filter(F.col("kind").isin(HOPS)).select("graph_id", F.col("source").alias("node"), F.col("target").alias("next"))
     return parents.unionByName(parents.join(hop, ["graph_id", "node"]).select("graph_id", "requirement", F.col("next").alias("node"))).distinct()
 
 

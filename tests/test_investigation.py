@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import context, investigation, pairs, research, screens, statements
-from marlstone.plans import scan_queries
+from marlstone.plans import investigation_queries, scan_queries
+from marlstone.plans.shared import shared_folder
 
 SCHEMAS = {
     "investigations": "graph_id string, anomaly_id string, summary string", "documents": "graph_id string, document_id string, publisher string, host string, title string", "model_runs": "graph_id string, run_id string, provider string, model string, operation string",
@@ -75,6 +77,36 @@ def test_cycles_of_calculations(spark):
     assert {(r.check, r.id) for r in violations.collect()} == {("cycle", f"Z{i}") for i in range(4)}
 
 
+def test_nodes_and_affected_hypotheses_read_no_other_references(spark, monkeypatch):
+    whole = {name: spark.createDataFrame(rows, SCHEMAS[name]) for name, rows in WHOLE.items()}
+    no = F.raise_error(F.lit("read")).cast("string")
+    t = whole | {"assessments": whole["assessments"].withColumn("source_id", no)}
+    assert investigation.investigation_graph(t)[0].count() == 16
+    t = whole | {"claims": whole["claims"].withColumn("document_id", no)}
+    monkeypatch.setattr(investigation_queries, "tables", lambda *_: dict(t))
+    assert [tuple(r) for r in investigation_queries.QUERIES["affected_hypotheses"](spark, "").collect()] == [("g", "evidence_requirement:Q", "hypothesis:H")]
+
+
+def test_edges_and_audit_resolve_references_in_one_shuffle(spark):
+    t = {name: spark.createDataFrame([*rows, *rows], SCHEMAS[name]) for name, rows in WHOLE.items()}
+    written = lambda: set(Path(shared_folder(spark)).glob("*/references"))
+    before = written()
+    _, edges, violations = investigation.investigation_graph(t)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(graph_id" in plan and not any("edge_id" in line for line in plan.splitlines() if "hashpartitioning" in line) and written() == before
+    rows = [tuple(r) for r in edges.collect()]
+    once = [tuple(r) for r in graph(spark)[1].collect()]
+    assert sorted(rows) == sorted(once)  # of rows that are there twice an edge is given once
+    assert {r.check.split()[0] for r in violations.collect()} == {"duplicate"}
+
+
+def test_cycles_of_the_query_need_no_lines(spark, tmp_path):
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = investigation_queries.QUERIES["cycle_nodes"](spark, str(tmp_path)).collect()
+    assert all(r.node_id.startswith("calculation:K") for r in got)
+
+
 def facts(spark, rows):
     return statements.with_fact_ids(spark.createDataFrame([("T", c, c, "USD", s, e, v, "10-K", dt.date(2024, 2, 1), "0000000001-24-000001") for c, s, e, v in rows], "ticker string, concept string, tag string, unit string, period_start date, period_end date, value double, form string, filed_at date, accession string"))
 
