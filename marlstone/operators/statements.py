@@ -222,21 +222,22 @@ def quarterly_view(nodes: DataFrame, edges: DataFrame, *, expanded: DataFrame |
     they were made from, however far. Graphs without a snapshot of a quarter stay as they are.
     """
     snapshot = F.col("subtype") == "fundamental_snapshot"
-    latest = nodes.filter(snapshot).groupBy("graph_id", "entity").agg(F.max("period_end").alias("_latest"))
-    quarterly = latest.select("graph_id").distinct().withColumn("_quarterly", F.lit(True))
-    df = nodes.join(latest, ["graph_id", "entity"], "left").join(quarterly, "graph_id", "left")
+    df = nodes.withColumn("_shown", F.lit(False))
+    if expanded is not None:
+        roots = expanded.select("graph_id", "node_id").distinct()
+        below = lineage_closure(edges, roots, kinds=MADE_FROM).select("graph_id", F.col("node").alias("node_id"))
+        df = df.unionByName(roots.unionByName(below).withColumn("_shown", F.lit(True)), allowMissingColumns=True)
+    # One shuffle by graph: what is shown, the graph's quarters and its entities' latest ones are windows within it.
+    graph, own = W.partitionBy("graph_id"), F.col("graph_id").isNotNull()
+    df = df.withColumn("_quarterly", F.max(F.when(snapshot & own, True)).over(graph)).withColumn("_latest", F.when(own & F.col("entity").isNotNull(), F.max(F.when(snapshot, F.col("period_end"))).over(W.partitionBy("graph_id", "entity"))))
+    df = df.withColumn("_marked", F.max("_shown").over(W.partitionBy("graph_id", "node_id")) & own & F.col("node_id").isNotNull()).filter("not _shown")
     no = lambda cond: ~F.coalesce(cond, F.lit(False))
     calculated = (F.col("kind") == "calculation") & F.col("metric_id").isNotNull()
     headline = (F.col("frequency") == "quarterly") & (F.col("period_end") == F.col("_latest")) & F.col("metric_id").rlike(SHOWN) & (F.col("metric_id").contains("margin") | F.col("metric_id").endswith("growth"))
     filed = F.col("kind").isin("observation", "document") & (F.col("provider") == "SEC EDGAR") | (F.col("kind") == "source") & F.col("label").contains("SEC EDGAR")
     stays = no(F.col("older_quarter") & ~F.lit(older)) & no(filed) & (no(calculated) | F.coalesce(headline, F.lit(False)))
     stays = F.col("_quarterly").isNull() | F.lit(atomic) | stays
-    if expanded is not None:
-        roots = expanded.select("graph_id", "node_id").distinct()
-        below = lineage_closure(edges, roots, kinds=MADE_FROM).select("graph_id", F.col("node").alias("node_id"))
-        df = df.join(roots.unionByName(below).distinct().withColumn("_shown", F.lit(True)), ["graph_id", "node_id"], "left")
-        stays = stays | F.col("_shown").isNotNull()
-    kept = df.filter(stays).select(*nodes.columns)
+    kept = written(df.filter(stays | F.coalesce("_marked", F.lit(False))).select(*nodes.columns), "kept")  # read by the nodes and by both ends of edges
     ends = kept.select("graph_id", "node_id").distinct()
     for end in ("source", "target"):
         edges = edges.join(ends.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")

@@ -107,6 +107,19 @@ def test_cycles_of_the_query_need_no_lines(spark, tmp_path):
     assert all(r.node_id.startswith("calculation:K") for r in got)
 
 
+def test_the_quarterly_view_joins_no_nodes(spark):
+    columns = "graph_id string, node_id string, kind string, label string, subtype string, provider string, entity string, metric_id string, frequency string, period_end string, older_quarter boolean"
+    quarter = lambda g, s, p, old: (g, s, "context", p, "fundamental_snapshot", None, "e", None, None, p, old)
+    calc = lambda g, n, p, entity="e": (g, n, "calculation", n, None, None, entity, "revenue_qoq_growth", "quarterly", p, None)
+    filed = lambda g, n: (g, n, "observation", n, None, "SEC EDGAR", "e", None, None, "1", None)
+    nodes = spark.createDataFrame([quarter("g", "S1", "1", True), quarter("g", "S2", "2", False), calc("g", "K1", "1"), calc("g", "K2", "2"), calc("g", "K0", "2", None), filed("g", "O1"), filed("g", "O2"), filed("plain", "O1"), (None, *filed("g", "N")[1:])], columns)
+    edges = spark.createDataFrame([("g", "S1", "K1", "derived_from"), ("g", "K1", "O1", "calculated_from"), ("g", "K2", "O2", "calculated_from"), ("g", "S2", "K2", "derived_from")], "graph_id string, source string, target string, kind string")
+    kept, links = statements.quarterly_view(nodes, edges, expanded=spark.createDataFrame([("g", "S1"), ("g", "gone")], "graph_id string, node_id string"))
+    assert "Join" not in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((r.graph_id or "", r.node_id) for r in kept.collect())) == [("", "N"), ("g", "K1"), ("g", "K2"), ("g", "O1"), ("g", "S1"), ("g", "S2"), ("plain", "O1")]
+    assert sorted((r.source, r.target) for r in links.collect()) == [("K1", "O1"), ("S1", "K1"), ("S2", "K2")]
+
+
 def facts(spark, rows):
     return statements.with_fact_ids(spark.createDataFrame([("T", c, c, "USD", s, e, v, "10-K", dt.date(2024, 2, 1), "0000000001-24-000001") for c, s, e, v in rows], "ticker string, concept string, tag string, unit string, period_start date, period_end date, value double, form string, filed_at date, accession string"))
 
